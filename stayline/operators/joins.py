@@ -1,12 +1,13 @@
 """Joins that stay balanced when a few keys hold most of the rows."""
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_KEYS = 1000
-SPREAD = 4096
+LANES = 256
 
 
 def heaviest(counts: DataFrame, keys: Sequence[str], weight: str, limit: int = HEAVY_KEYS) -> DataFrame:
@@ -25,60 +26,39 @@ def look_up(
     spread_by: Sequence[str],
     nulls_match: bool = False,
 ) -> DataFrame:
-    """Left join to a table with one row per key, whatever the skew of `left`.
+    """Left join that splits the heaviest keys of `left` over many tasks.
 
-    `heavy` lists the heaviest keys of `left` (see `heaviest`). Their rows get
-    their values from a broadcast table of at most that many rows; in the
-    shuffle join that serves all other keys they are spread by `spread_by` over
-    many partitions instead of meeting in one. All rows of `left` are kept.
+    `heavy` lists those keys (see `heaviest`). Their left rows are dealt by
+    `spread_by` into lanes, and their right rows are copied into every lane, so
+    the join meets on key and lane. All other keys use lane 0 and are not
+    copied. No row of either side is left out.
 
-    Being a broadcast of at most HEAVY_KEYS rows, the size of the broadcast
-    side does not grow with the data.
+    `heavy` holds at most HEAVY_KEYS rows, so its broadcast and, for a right
+    side with one row per key, the copies stay the same however large the data.
     """
     values = [c for c in right.columns if c not in keys]
-    heavy_names = {k: f"__h_{k}" for k in keys}
-    cold_names = {k: f"__c_{k}" for k in keys}
 
-    def same(a: Column, b: Column) -> Column:
-        return a.eqNullSafe(b) if nulls_match else a == b
+    def same(a: str, b: str):
+        return F.col(a).eqNullSafe(F.col(b)) if nulls_match else F.col(a) == F.col(b)
 
-    def matched(names: dict[str, str]) -> Column:
-        cond = F.lit(True)
-        for k, other in names.items():
-            cond = cond & same(F.col(k), F.col(other))
-        return cond
+    def matched(prefix: str, other: str):
+        return reduce(lambda x, y: x & y, [same(f"{prefix}{k}", f"{other}{k}") for k in keys])
 
-    wanted = heavy.withColumnsRenamed(heavy_names)
-    found = right.join(F.broadcast(wanted), matched(heavy_names), "left_semi")
-    found = found.select(
-        *[F.col(k).alias(f"__f_{k}") for k in keys],
-        *[F.col(v).alias(f"__hv_{v}") for v in values],
-    )
-    on_found = F.lit(True)
-    for k in keys:
-        on_found = on_found & same(F.col(f"__h_{k}"), F.col(f"__f_{k}"))
-    heavy_rows = (
-        wanted.join(F.broadcast(found), on_found, "left")
-        .drop(*[f"__f_{k}" for k in keys])
-        .withColumn("__hot", F.lit(True))
-    )
-
-    cold_rows = right.select(
-        *[F.col(k).alias(cold_names[k]) for k in keys],
-        *[F.col(v).alias(f"__cv_{v}") for v in values],
-        F.lit(0).alias("__c_lane"),
-    )
-    alone = F.coalesce(F.col("__hot"), F.lit(False))
+    marks = F.broadcast(heavy.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
+    marked_names = [f"__h_{k}" for k in keys]
+    dealt = F.pmod(F.hash(*spread_by), F.lit(LANES))
+    lane = F.when(F.col("__hot"), dealt)
     if not nulls_match:  # a missing key matches nothing, so it may go anywhere
-        for k in keys:
-            alone = alone | F.col(k).isNull()
-    lane = F.when(alone, 1 + F.pmod(F.hash(*spread_by), F.lit(SPREAD))).otherwise(F.lit(0))
-    joined = (
-        left.join(F.broadcast(heavy_rows), matched(heavy_names), "left")
-        .withColumn("__lane", lane)
-        .join(cold_rows, matched(cold_names) & (F.col("__lane") == F.col("__c_lane")), "left")
-    )
-    return joined.select(
-        *left.columns,
-        *[F.when(F.col("__hot"), F.col(f"__hv_{v}")).otherwise(F.col(f"__cv_{v}")).alias(v) for v in values],
+        lane = lane.when(reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys]), dealt)
+    spread = left.join(marks, matched("", "__h_"), "left").withColumn("__lane", lane.otherwise(F.lit(0)))
+
+    lanes = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(LANES - 1))).otherwise(F.array(F.lit(0)))
+    copied = (
+        right.join(marks, matched("", "__h_"), "left")
+        .drop(*marked_names)
+        .withColumn("__r_lane", F.explode(lanes))
+        .drop("__hot")
+        .withColumnsRenamed({k: f"__r_{k}" for k in keys})
     )
+    joined = spread.join(copied, matched("", "__r_") & (F.col("__lane") == F.col("__r_lane")), "left")
+    return joined.select(*left.columns, *values)

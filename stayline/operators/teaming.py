@@ -129,14 +129,13 @@ def pair_legs(legs: DataFrame, mode: str = "as_written", keep_last: bool = False
         F.min(leg).alias("first"),
         F.max(leg).alias("last"),
     )
-    swapped = pairs.select(
-        F.col("lgh_driver2").alias("lgh_driver1"),
-        F.col("lgh_driver1").alias("lgh_driver2"),
-        "leg_count",
-        "first",
-        "last",
+    one, two, rest = F.col("lgh_driver1"), F.col("lgh_driver2"), ["leg_count", "first", "last"]
+    # both sides come from the one pair row, so the legs are read once
+    sides = F.array(
+        F.struct(one.alias("lgh_driver1"), two.alias("lgh_driver2"), *rest),
+        F.struct(two.alias("lgh_driver1"), one.alias("lgh_driver2"), *rest),
     )
-    both = pairs.unionByName(swapped)
+    both = pairs.select(F.explode(sides).alias("side")).select("side.*")
     first = F.min(F.struct("first", "leg_count")).alias("f")
     last = F.max(F.struct("last", "leg_count")).alias("l")
     rows = both.groupBy(*PAIR).agg(first, last, F.sum("leg_count").alias("stacked"))
