@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stayline import constants as K
 from stayline.analogue import oracle
 from stayline.analogue import views as V
+from stayline.functions import scalars as S
 from stayline.operators import crosstab as C
 from stayline.operators import demographics as D
 from stayline.operators import describe as N
@@ -33,23 +34,19 @@ class Query:
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.plan(V.Analogue(spark, folder))
-        return df.select(*[_spark_column(c) for c in self.shape.split()])
+        return df.selectExpr(*[_spark_column(c) for c in self.shape.split()])
 
     def reference(self) -> str:
         columns = ", ".join(_sql_column(c) for c in self.shape.split())
         return oracle.sql(f"SELECT {columns} FROM ({self.sql}) result")
 
 
-def _spark_column(spec: str):
+def _spark_column(spec: str) -> str:
     name, kind = spec.split(":")
-    col = F.col(f"`{name}`")
-    if kind == "s":
-        return col.cast("string").alias(name)
-    if kind == "i":
-        return col.cast("bigint").alias(name)
-    if kind == "t":
-        return col.cast("timestamp_ntz").alias(name)
-    return F.round(col.cast("double"), int(kind[1:])).alias(name)
+    types = {"s": "STRING", "i": "BIGINT", "t": "TIMESTAMP_NTZ"}
+    if kind in types:
+        return f"CAST(`{name}` AS {types[kind]}) AS `{name}`"
+    return f"round(CAST(`{name}` AS DOUBLE), {kind[1:]}) AS `{name}`"
 
 
 def _sql_column(spec: str) -> str:
@@ -156,12 +153,12 @@ _STATS = f"stayed:i mpp_id:s Drivertype:s mpp_type1:s {_TOTALS} termedbinary:i m
 
 @register("driver_pay_stats", _STATS, "SELECT * FROM all_steps")
 def driver_pay_stats(a):
-    return P.with_group_pay(pay_profile.driver_stats(_workforce(a)))
+    return P.with_group_pay(pay_profile.driver_stats(a.pay_side()))
 
 
 @register("driver_pay_stats_intended", _STATS, "SELECT * FROM all_steps_intended")
 def driver_pay_stats_intended(a):
-    return P.with_group_pay(pay_profile.driver_stats(_workforce(a), dedupe="as_intended"))
+    return P.with_group_pay(pay_profile.driver_stats(a.pay_side(), dedupe="as_intended"))
 
 
 _MODEL = " ".join(f"{name}:d2" for name, _ in K.DRIVER_TOTALS) + " avgdriverpay:d6 groupavgpay:d6"
@@ -173,7 +170,7 @@ _MODEL = " ".join(f"{name}:d2" for name, _ in K.DRIVER_TOTALS) + " avgdriverpay:
     "SELECT * FROM model",
 )
 def cohort_union(a):
-    return pay_profile.model(_workforce(a))
+    return pay_profile.model(a.pay_side())
 
 
 _STAR = f"stayed:i mpp_id:s Drivertype:s DriverName:s phone:s {_MODEL} Critical:i seniority:i daystoacc:i CSA:d4 Violations:i"
@@ -181,12 +178,12 @@ _STAR = f"stayed:i mpp_id:s Drivertype:s DriverName:s phone:s {_MODEL} Critical:
 
 @register("safety_star", _STAR, "SELECT * FROM added")
 def safety_star(a):
-    return pay_profile.safety_profile(_workforce(a))
+    return pay_profile.safety_profile(a.workforce(None))
 
 
 @register("safety_star_as_written", _STAR, "SELECT * FROM added_as_written")
 def safety_star_as_written(a):
-    return pay_profile.safety_profile(_workforce(a), fanout="as_written")
+    return pay_profile.safety_profile(a.workforce(None), fanout="as_written")
 
 
 @register(
@@ -198,9 +195,7 @@ FROM v_profile p JOIN v_violations v
 GROUP BY mpp_id""",
 )
 def violations_by_person(a):
-    name = F.coalesce(F.concat("mpp_firstname", F.lit(" "), "mpp_lastname"), F.lit("UNKNOWN"))
-    people = a.profile().select("mpp_id", name.alias("DriverName"))
-    found = safety.violations_by_person(people, a.violations())
+    found = safety.violations_by_person(a.names(), a.violations())
     return found.withColumnRenamed("v_id", "mpp_id")
 
 
@@ -213,8 +208,6 @@ def violations_by_person(a):
 FROM (SELECT mpp_hiredate, date_diff('month', mpp_hiredate, {oracle.AS_OF}) AS m FROM v_profile) x GROUP BY 1""",
 )
 def tenure_bands(a):
-    from stayline.functions import scalars as S
-
     months = S.month_boundaries(F.col("mpp_hiredate"), S.ntz(V.AS_OF))
     return (
         a.profile()
@@ -282,7 +275,7 @@ _PROFILE = {
     + " FROM all_steps GROUP BY stayed, Drivertype, mpp_type1",
 )
 def group_profile(a):
-    return P.group_profile(pay_profile.driver_stats(_workforce(a)))
+    return P.group_profile(pay_profile.driver_stats(a.pay_side()))
 
 
 @register(
@@ -372,8 +365,7 @@ def _people(a: V.Analogue) -> DataFrame:
 
 def _hr_people(a: V.Analogue) -> DataFrame:
     """Labels only, for tables that read no measure."""
-    keys = a.profile().select("mpp_id", F.when(F.col("mpp_status") == "OUT", 0).otherwise(1).alias("stayed"))
-    return demographics.people(keys, a.hr(), a.dependents())
+    return demographics.people(a.cohort_labels(), a.hr(), a.dependents())
 
 
 @register(

@@ -6,10 +6,12 @@ All view columns are expressions over scan columns, so column pruning and the
 conditions that can be pushed still reach the Parquet scans.
 """
 
+from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stayline import constants as K
 from stayline.functions import scalars as S
@@ -45,35 +47,47 @@ LEXICON = [
 ]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def pick(number: str, values) -> str:
+    """SQL that takes one of the values by the remainder of a number."""
+    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values) if v is not None)
+    return f"CASE {number} % {len(values)} {arms} END"
+
+
+def moment(day: date | datetime) -> str:
+    return f"TIMESTAMP_NTZ'{day:%Y-%m-%d %H:%M:%S}'"
+
+
 class Analogue:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-    def _pick(self, number, values):
-        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (number % len(values) + 1).cast("int"))
+        """A generated table; its file schema is looked up once per process."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # --- people --------------------------------------------------------------
     def profile(self) -> DataFrame:
-        key = F.col("c_custkey")
-        out = key % 3 == 0
-
-        def days_after(first: date, days):
-            return F.date_add(F.lit(first), days.cast("int")).cast("timestamp_ntz")
-
-        return self.table("customer").select(
-            key.cast("string").alias("mpp_id"),
-            F.when(out, days_after(CUTOFF, key % 365)).otherwise(S.ntz(K.ACTIVE_UNTIL)).alias("mpp_terminationdt"),
-            F.concat(F.lit("S"), F.col("c_nationkey")).alias("mpp_state"),
-            F.when(F.col("c_nationkey") % 5 == 0, "lease").otherwise(K.COMPANY).alias("mpp_type1"),
-            self._pick(key, CLASS_CODES).alias("mpp_type2"),
-            F.when(out, "OUT").otherwise("ACT").alias("mpp_status"),
-            F.when(key % 50 != 0, F.col("c_mktsegment")).alias("mpp_firstname"),
-            F.col("c_name").alias("mpp_lastname"),
-            F.concat(F.lit("555-"), key).alias("mpp_currentphone"),
-            days_after(date(1995, 1, 1), key * 7 % 2000).alias("mpp_hiredate"),
+        def days_after(first: date, days: str) -> str:
+            return f"CAST(date_add(DATE'{first}', CAST({days} AS INT)) AS TIMESTAMP_NTZ)"
+
+        return self.table("customer").selectExpr(
+            "CAST(c_custkey AS STRING) AS mpp_id",
+            f"CASE WHEN c_custkey % 3 = 0 THEN {days_after(CUTOFF, 'c_custkey % 365')} "
+            f"ELSE {moment(K.ACTIVE_UNTIL)} END AS mpp_terminationdt",
+            "concat('S', c_nationkey) AS mpp_state",
+            "CASE WHEN c_nationkey % 5 = 0 THEN 'lease' ELSE 'company' END AS mpp_type1",
+            f"{pick('c_custkey', CLASS_CODES)} AS mpp_type2",
+            "CASE WHEN c_custkey % 3 = 0 THEN 'OUT' ELSE 'ACT' END AS mpp_status",
+            "CASE WHEN c_custkey % 50 <> 0 THEN c_mktsegment END AS mpp_firstname",
+            "c_name AS mpp_lastname",
+            "concat('555-', c_custkey) AS mpp_currentphone",
+            f"{days_after(date(1995, 1, 1), 'c_custkey * 7 % 2000')} AS mpp_hiredate",
         )
 
     def pay_lines(self, since: date | None = None) -> DataFrame:
@@ -85,82 +99,78 @@ class Analogue:
         """
         orders = self.table("orders")
         if since is not None:
-            orders = orders.where(F.col("o_orderdate") >= S.ntz(since))
+            orders = orders.where(f"o_orderdate >= {moment(since)}")
         orders = orders.select(
             "o_orderkey",
-            F.col("o_custkey").cast("string").alias("asgn_id"),
+            F.expr("CAST(o_custkey AS STRING) AS asgn_id"),
             S.monday_of(F.col("o_orderdate")).alias("pyh_payperiod"),
         )
-        code = self._pick(F.col("l_partkey"), PAY_CODES)
-        amount = (F.col("l_quantity") * 10).cast("decimal(19,4)")
-        lines = self.table("lineitem").select(
+        lines = self.table("lineitem").selectExpr(
             "l_orderkey",
-            F.when(F.col("l_linenumber") == 7, "TRC").otherwise("DRV").alias("asgn_type"),
-            code.alias("pyt_itemcode"),
-            F.when(code == "FINES", -amount).otherwise(amount).alias("pyd_amount"),
+            "CASE WHEN l_linenumber = 7 THEN 'TRC' ELSE 'DRV' END AS asgn_type",
+            f"{pick('l_partkey', PAY_CODES)} AS pyt_itemcode",
+            f"CAST(CASE WHEN l_partkey % {len(PAY_CODES)} = {PAY_CODES.index('FINES')} "
+            "THEN -l_quantity ELSE l_quantity END * 10 AS DECIMAL(19,4)) AS pyd_amount",
         )
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
 
     # --- safety --------------------------------------------------------------
     def events(self) -> DataFrame:
-        kind = F.col("event_type")
-        return self.table("events").select(
-            F.col("user_id").cast("string").alias("DriverID"),
-            F.when(kind == "view", "X_Lane_Departure_Y").otherwise(kind).alias("EventTrigger"),
+        return self.table("events").selectExpr(
+            "CAST(user_id AS STRING) AS DriverID",
+            "CASE WHEN event_type = 'view' THEN 'X_Lane_Departure_Y' ELSE event_type END AS EventTrigger",
         )
 
     def accidents(self) -> DataFrame:
-        return self.table("events").where(F.col("event_type") == "error").select(
-            F.col("user_id").cast("string").alias("MISC2_NM"),
-            F.add_months(F.col("ts").cast("date"), -(24 * 12 + 1)).cast("timestamp_ntz").alias("REPORT_DT"),
-            F.when(F.col("event_id") % 2 == 0, "Chargeable").otherwise("Other").alias("SPECIAL23"),
+        return self.table("events").where("event_type = 'error'").selectExpr(
+            "CAST(user_id AS STRING) AS MISC2_NM",
+            "CAST(add_months(CAST(ts AS DATE), -289) AS TIMESTAMP_NTZ) AS REPORT_DT",
+            "CASE WHEN event_id % 2 = 0 THEN 'Chargeable' ELSE 'Other' END AS SPECIAL23",
         )
 
-    def violations(self) -> DataFrame:
+    def names(self) -> DataFrame:
+        """Ids with the full name that violations are filed under."""
         name = S.joined_name(F.col("mpp_firstname"), F.col("mpp_lastname"))
-        people = self.profile().select("mpp_id", name.alias("DriverName"))
-        bought = self.table("events").where(F.col("event_type") == "purchase").select(
-            F.col("user_id").cast("string").alias("id"),
-            F.floor("value").cast("string").alias("ViolationValue"),
+        return self.profile().select("mpp_id", name.alias("DriverName"))
+
+    def violations(self) -> DataFrame:
+        bought = self.table("events").where("event_type = 'purchase'").selectExpr(
+            "CAST(user_id AS STRING) AS id", "CAST(floor(value) AS STRING) AS ViolationValue"
         )
-        return bought.join(people, F.col("id") == F.col("mpp_id")).select("DriverName", "ViolationValue")
+        return bought.join(self.names(), F.col("id") == F.col("mpp_id")).select("DriverName", "ViolationValue")
 
     def expirations(self) -> DataFrame:
-        return self.table("customer").where(F.col("c_custkey") % 4 == 1).select(
-            F.col("c_custkey").cast("string").alias("DriverID")
-        )
+        return self.table("customer").where("c_custkey % 4 = 1").selectExpr("CAST(c_custkey AS STRING) AS DriverID")
 
     # --- legs ----------------------------------------------------------------
     def legs(self) -> DataFrame:
-        part, supp, ship = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_shipdate")
-        return self.table("lineitem").select(
-            F.col("l_orderkey").cast("string").alias("ord_hdrnumber"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("lgh_number"),
-            F.when(F.col("l_linenumber") == 7, "UNKNOWN").otherwise(F.concat(F.lit("D"), supp)).alias("lgh_driver1"),
-            F.when(part % 4 == 0, "UNKNOWN").otherwise(F.concat(F.lit("D"), part % 100)).alias("lgh_driver2"),
-            ship.alias("lgh_startdate"),
-            S.shift_hours(ship, F.col("l_quantity")).alias("lgh_enddate"),
-            F.when(F.col("l_returnflag") == "R", "SOLU").otherwise(F.col("l_returnflag")).alias("lgh_class1"),
-            F.col("l_linestatus").alias("trc_division"),
-            (supp % 25).cast("string").alias("lgh_startcity"),
-            (part % 25).cast("string").alias("lgh_endcity"),
+        return self.table("lineitem").selectExpr(
+            "CAST(l_orderkey AS STRING) AS ord_hdrnumber",
+            "CAST(l_orderkey * 10 + l_linenumber AS STRING) AS lgh_number",
+            "CASE WHEN l_linenumber = 7 THEN 'UNKNOWN' ELSE concat('D', l_suppkey) END AS lgh_driver1",
+            "CASE WHEN l_partkey % 4 = 0 THEN 'UNKNOWN' ELSE concat('D', l_partkey % 100) END AS lgh_driver2",
+            "l_shipdate AS lgh_startdate",
+            "l_shipdate + make_dt_interval(0, CAST(l_quantity AS INT)) AS lgh_enddate",
+            "CASE WHEN l_returnflag = 'R' THEN 'SOLU' ELSE l_returnflag END AS lgh_class1",
+            "l_linestatus AS trc_division",
+            "CAST(l_suppkey % 25 AS STRING) AS lgh_startcity",
+            "CAST(l_partkey % 25 AS STRING) AS lgh_endcity",
         )
 
     def city(self) -> DataFrame:
-        return self.table("nation").select(
-            F.col("n_nationkey").cast("string").alias("cty_code"),
-            F.concat(F.lit("Z"), F.col("n_nationkey")).alias("cty_zip"),
-            (F.col("n_regionkey") + 4).alias("cty_GMTDelta"),
+        return self.table("nation").selectExpr(
+            "CAST(n_nationkey AS STRING) AS cty_code",
+            "concat('Z', n_nationkey) AS cty_zip",
+            "n_regionkey + 4 AS cty_GMTDelta",
         )
 
     # --- survey --------------------------------------------------------------
     def survey(self) -> DataFrame:
-        doc, english = F.col("doc_id"), F.col("lang") == "en"
-        return self.table("documents").select(
-            F.when(english, F.col("text")).alias("whyleft"),
-            F.when(~english, F.col("text")).alias("whatsgood"),
-            (doc % 75).cast("int").alias("seniority"),
-            F.when(doc % 10 != 0, (doc % 70).cast("int")).alias("CVENtime"),
+        return self.table("documents").selectExpr(
+            "CASE WHEN lang = 'en' THEN text END AS whyleft",
+            "CASE WHEN lang <> 'en' THEN text END AS whatsgood",
+            "CAST(doc_id % 75 AS INT) AS seniority",
+            "CASE WHEN doc_id % 10 <> 0 THEN CAST(doc_id % 70 AS INT) END AS CVENtime",
         )
 
     def stop_words(self) -> DataFrame:
@@ -172,20 +182,22 @@ class Analogue:
 
     # --- human resources -----------------------------------------------------
     def hr(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.table("customer").select(
-            key.alias("EMPLOYID"),
-            F.when(key % 17 != 0, (S.int_div(key, F.lit(7)) % 4).cast("int")).alias("GENDER"),
-            (F.col("c_nationkey") % 9).alias("ETHNORGN"),
-            (key % 4).cast("int").alias("MARITALSTATUS"),
+        return self.table("customer").selectExpr(
+            "c_custkey AS EMPLOYID",
+            "CASE WHEN c_custkey % 17 <> 0 THEN CAST((c_custkey DIV 7) % 4 AS INT) END AS GENDER",
+            "c_nationkey % 9 AS ETHNORGN",
+            "CAST(c_custkey % 4 AS INT) AS MARITALSTATUS",
         )
 
     def dependents(self) -> DataFrame:
-        return self.table("orders").where(F.col("o_orderkey") % 5 == 0).select(
-            F.col("o_custkey").alias("EMPLOYID"),
-            F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey").cast("string")).alias("DEPENDENTSSN"),
+        return self.table("orders").where("o_orderkey % 5 = 0").selectExpr(
+            "o_custkey AS EMPLOYID",
+            "CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS STRING) END AS DEPENDENTSSN",
         )
 
+    def cohort_labels(self) -> DataFrame:
+        return self.profile().selectExpr("mpp_id", "CASE WHEN mpp_status = 'OUT' THEN 0 ELSE 1 END AS stayed")
+
     def retention(self) -> DataFrame:
         """One row per profile with measures of the person's order lines.
 
@@ -197,25 +209,26 @@ class Analogue:
         )
         per_person = (
             per_order.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy(F.col("o_custkey").cast("string").alias("mpp_id"))
+            .groupBy(F.expr("CAST(o_custkey AS STRING) AS mpp_id"))
             .agg(
-                (F.sum("q") / F.sum("n")).alias("dayshome"),
-                (F.sum("d") / F.sum("n")).alias("active_driving_day_per"),
-                F.sum("n").cast("double").alias("active_driving_day_count"),
+                F.expr("sum(q) / sum(n) AS dayshome"),
+                F.expr("sum(d) / sum(n) AS active_driving_day_per"),
+                F.expr("CAST(sum(n) AS DOUBLE) AS active_driving_day_count"),
             )
         )
-        people = self.profile().select("mpp_id", F.when(F.col("mpp_status") == "OUT", 0).otherwise(1).alias("stayed"))
-        return people.join(per_person, "mpp_id", "left")
+        return self.cohort_labels().join(per_person, "mpp_id", "left")
 
     # --- together ------------------------------------------------------------
-    def workforce(self, teaming: DataFrame) -> Workforce:
-        return Workforce(
-            profile=self.profile(),
-            pay=self.pay_lines(since=earliest_period(CUTOFF, AS_OF)),
+    def pay_side(self) -> Workforce:
+        """The tables the pay steps read."""
+        pay = self.pay_lines(since=earliest_period(CUTOFF, AS_OF))
+        return Workforce(self.profile(), pay, CUTOFF, AS_OF)
+
+    def workforce(self, teaming: DataFrame | None) -> Workforce:
+        return replace(
+            self.pay_side(),
             events=self.events(),
             accidents=self.accidents(),
             violations=self.violations(),
             teaming=teaming,
-            cutoff=CUTOFF,
-            as_of=AS_OF,
         )

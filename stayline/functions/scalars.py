@@ -110,25 +110,38 @@ def words_of(text: Column) -> Column:
 
 
 # --- recoding ----------------------------------------------------------------
-def first_match(col: Column, groups: Mapping[str, Sequence[str]], default: Column) -> Column:
-    """Label of the group whose code list holds the value."""
-    expr = None
-    for label, codes in groups.items():
-        test = col.isin(list(codes))
-        expr = F.when(test, label) if expr is None else expr.when(test, label)
-    return default if expr is None else expr.otherwise(default)
+# Built as one SQL text per expression: the code lists are long, and a text is
+# one call where a chain of column objects is one per code.
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def driver_class(code: Column) -> Column:
+def in_list(name: str, values: Sequence[str]) -> str:
+    """SQL test that a column holds one of the values."""
+    return f"`{name}` IN ({', '.join(quoted(v) for v in values)})"
+
+
+def first_match(name: str, groups: Mapping[str, Sequence[str]], default: str) -> str:
+    """SQL label of the group whose code list holds the column's value."""
+    arms = " ".join(f"WHEN {in_list(name, codes)} THEN {quoted(label)}" for label, codes in groups.items() if codes)
+    return f"CASE {arms} ELSE {default} END" if arms else default
+
+
+def driver_class(name: str) -> Column:
     # OTR is both a listed class and the fallback, so only the others need a test
     listed = {k: v for k, v in K.DRIVER_CLASSES.items() if k != K.DEFAULT_DRIVER_CLASS}
-    return first_match(code, listed, F.lit(K.DEFAULT_DRIVER_CLASS))
+    return F.expr(first_match(name, listed, quoted(K.DEFAULT_DRIVER_CLASS)))
 
 
-def pay_bucket(code: Column) -> Column:
+def pay_bucket(name: str) -> Column:
     """Bucket of a pay code; NULL for a missing code, which is in no bucket."""
-    listed = first_match(code, K.PAY_BUCKETS, F.lit(K.OTHER_BUCKET))
-    return F.when(code.isNotNull(), listed)
+    listed = first_match(name, K.PAY_BUCKETS, quoted(K.OTHER_BUCKET))
+    return F.expr(f"CASE WHEN `{name}` IS NOT NULL THEN {listed} END")
+
+
+def theme_of(name: str, themes: Mapping[str, Sequence[str]]) -> Column:
+    """Theme a word belongs to; the word itself when it has none."""
+    return F.expr(first_match(name, themes, f"`{name}`"))
 
 
 def band(value: Column, edges: Sequence[tuple[int, str]], above: str, null: str | None = None) -> Column:
@@ -147,22 +160,16 @@ def survey_tenure(months: Column) -> Column:
     return band(months, K.SURVEY_TENURE, K.SURVEY_TENURE_ABOVE)
 
 
-def relabel(code: Column, labels: Mapping[int, str]) -> Column:
-    """Integer codes to labels; a code without a label stays, as text."""
-    expr = None
-    for value, label in labels.items():
-        test = code == value
-        expr = F.when(test, label) if expr is None else expr.when(test, label)
-    return expr.otherwise(code.cast("string"))
+def relabel(name: str, labels: Mapping[int, str]) -> str:
+    """SQL label of an integer code; a code without a label stays, as text."""
+    arms = " ".join(f"WHEN {value} THEN {quoted(label)}" for value, label in labels.items())
+    return f"CASE `{name}` {arms} ELSE CAST(`{name}` AS STRING) END"
 
 
-def dependents_band(n: Column, mode: str = "as_intended") -> Column:
-    """Dependants to none / 1 / 2+ (the person's own row is counted in n).
+def dependents_band(name: str, mode: str = "as_intended") -> str:
+    """SQL for dependants to none / 1 / 2+ (the person's own row is counted).
 
     As written, 9 and everything above 10 were forgotten and stay numbers.
     """
-    n = n.cast("bigint")
-    labelled = relabel(n, K.DEPENDENT_LABELS)
-    if mode == "as_written":
-        return labelled
-    return F.when(n >= 3, "2+").otherwise(labelled)
+    listed = relabel(name, K.DEPENDENT_LABELS)
+    return listed if mode == "as_written" else f"CASE WHEN `{name}` >= 3 THEN '2+' ELSE {listed} END"

@@ -46,12 +46,11 @@ def _id_as_text(df: DataFrame) -> DataFrame:
 
 def labelled(people: DataFrame, mode: str = "as_intended") -> DataFrame:
     """Codes replaced by their labels."""
-    return people.withColumns(
-        {
-            "stayed": S.relabel(F.col("stayed"), K.STAYED_LABELS),
-            "GENDER": S.relabel(F.col("GENDER"), K.GENDER_LABELS),
-            "MARITALSTATUS": S.relabel(F.col("MARITALSTATUS"), K.MARITAL_LABELS),
-            "ETHNORGN": S.relabel(F.col("ETHNORGN"), K.ETHNICITY_LABELS),
-            "DEPENDENTSSN": S.dependents_band(F.col("DEPENDENTSSN"), mode),
-        }
-    )
+    labels = {
+        "stayed": S.relabel("stayed", K.STAYED_LABELS),
+        "GENDER": S.relabel("GENDER", K.GENDER_LABELS),
+        "MARITALSTATUS": S.relabel("MARITALSTATUS", K.MARITAL_LABELS),
+        "ETHNORGN": S.relabel("ETHNORGN", K.ETHNICITY_LABELS),
+        "DEPENDENTSSN": S.dependents_band("DEPENDENTSSN", mode),
+    }
+    return people.withColumns({name: F.expr(text) for name, text in labels.items()})

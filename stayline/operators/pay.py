@@ -6,7 +6,6 @@ person side, so the pay fact is read, aggregated and shuffled once for both.
 
 from datetime import date, datetime
 from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +42,7 @@ def _cohort(profile: DataFrame, start, stayed: int) -> DataFrame:
         "mpp_state",
         "mpp_type2",
         "mpp_type1",
-        S.driver_class(F.col("mpp_type2")).alias("Drivertype"),
+        S.driver_class("mpp_type2").alias("Drivertype"),
     )
 
 
@@ -113,7 +112,6 @@ def _coded(pay: DataFrame, cohorts: DataFrame, earliest: date | None) -> DataFra
     Placed on mpp_id once: every later grouping includes that column, so none
     of them shuffles again.
     """
-    code, lines = F.col("pyt_itemcode"), F.col("lines")
     rows = in_window(pay_totals(pay, earliest), cohorts).repartition("mpp_id")
     return rows.select(
         *PERSON,
@@ -123,11 +121,11 @@ def _coded(pay: DataFrame, cohorts: DataFrame, earliest: date | None) -> DataFra
         "mpp_state",
         "mpp_type1",
         "Drivertype",
-        S.pay_bucket(code).alias("bucket"),
-        F.when(code.isNotNull(), F.col("amount")).otherwise(F.lit(0)).alias("amount"),
-        F.when(~code.isin(K.UNCOUNTED_CODES), lines).otherwise(F.lit(0)).alias("count"),
-        F.when(code == K.LATE_HOME_CODE, lines).otherwise(F.lit(0)).alias("latehome"),
-        F.when(code == K.LAYOVER_CODE, lines).otherwise(F.lit(0)).alias("layover"),
+        S.pay_bucket("pyt_itemcode").alias("bucket"),
+        F.expr("CASE WHEN pyt_itemcode IS NOT NULL THEN amount ELSE 0 END AS amount"),
+        F.expr(f"CASE WHEN NOT {S.in_list('pyt_itemcode', K.UNCOUNTED_CODES)} THEN lines ELSE 0 END AS count"),
+        F.expr(f"CASE WHEN pyt_itemcode = '{K.LATE_HOME_CODE}' THEN lines ELSE 0 END AS latehome"),
+        F.expr(f"CASE WHEN pyt_itemcode = '{K.LAYOVER_CODE}' THEN lines ELSE 0 END AS layover"),
     )
 
 
@@ -147,12 +145,8 @@ def code_rows(
     return rows
 
 
-def _bucket_amounts(rows: DataFrame) -> list:
-    """One expression per bucket column of the wide form."""
-    return [
-        F.when(F.col("bucket") == name, F.col("amount")).otherwise(F.lit(0)).alias(name)
-        for name in K.BUCKET_NAMES
-    ]
+# one SQL expression per bucket column of the wide form
+BUCKET_AMOUNTS = {name: f"CASE WHEN bucket = '{name}' THEN amount ELSE 0 END" for name in K.BUCKET_NAMES}
 
 
 def pay_code_buckets(
@@ -167,33 +161,28 @@ def pay_code_buckets(
     keys = [*PERSON, "pyh_payperiod", "mpp_terminationdt", "StartDate", "mpp_state", "mpp_type1", "Drivertype"]
     counts = ["count", "latehome", "layover"]
     if mode == "as_written":
-        return rows.select(*keys, *_bucket_amounts(rows), *counts)
-    wide = rows.select(*keys, *_bucket_amounts(rows), *counts)
-    return wide.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in [*K.BUCKET_NAMES, *counts]])
+        return rows.selectExpr(*keys, *[f"{text} AS {name}" for name, text in BUCKET_AMOUNTS.items()], *counts)
+    sums = {**BUCKET_AMOUNTS, **{c: c for c in counts}}
+    return rows.groupBy(*keys).agg(*[F.expr(f"sum({text}) AS {name}") for name, text in sums.items()])
 
 
 # --- weeks -------------------------------------------------------------------
 def weekly_totals(rows: DataFrame) -> DataFrame:
     """Week pay, flags and counts per person and week, from `code_rows`."""
-    wide = rows.select(*WEEK, *_bucket_amounts(rows), "count", "latehome", "layover")
-    week = wide.groupBy(*WEEK).agg(
-        *[F.sum(b).alias(f"sum_{b}") for b in K.BUCKET_NAMES],
-        F.sum("count").alias("count"),
-        F.sum("latehome").alias("sum_latehome"),
-        F.sum("layover").alias("sum_layover"),
-    )
+    sums = {**BUCKET_AMOUNTS, "count": "count", "latehome": "latehome", "layover": "layover"}
+    week = rows.groupBy(*WEEK).agg(*[F.expr(f"sum({text}) AS sum_{name}") for name, text in sums.items()])
 
-    def raised(total, sign: int):
-        return F.when(total < 0 if sign < 0 else total > 0, 1).otherwise(0)
+    def raised(total: str, sign: int, flag: str) -> str:
+        return f"CASE WHEN sum_{total} {'<' if sign < 0 else '>'} 0 THEN 1 ELSE 0 END AS {flag}"
 
-    return week.select(
+    return week.selectExpr(
         *WEEK,
-        reduce(add, [F.col(f"sum_{b}") for b in K.BUCKET_NAMES]).alias("weekpay"),
-        *[raised(F.col(f"sum_{b}"), sign).alias(flag) for flag, b, sign in K.WEEK_FLAGS],
-        F.lit(1).alias("termedbinary"),
-        "count",
-        raised(F.col("sum_latehome"), 1).alias("latehomebinary"),
-        raised(F.col("sum_layover"), 1).alias("layoverbinary"),
+        " + ".join(f"sum_{b}" for b in K.BUCKET_NAMES) + " AS weekpay",
+        *[raised(b, sign, flag) for flag, b, sign in K.WEEK_FLAGS],
+        "1 AS termedbinary",
+        "sum_count AS count",
+        raised("latehome", 1, "latehomebinary"),
+        raised("layover", 1, "layoverbinary"),
     )
 
 
@@ -227,7 +216,7 @@ def driver_pay_stats(weeks: DataFrame, mode: str = "as_written") -> DataFrame:
         counted_weeks(weeks, mode)
         .groupBy(*person)
         .agg(
-            *[F.sum(src).cast("decimal(10,2)").alias(name) for name, src in K.DRIVER_TOTALS],
+            *[F.expr(f"CAST(sum({src}) AS DECIMAL(10,2)) AS {name}") for name, src in K.DRIVER_TOTALS],
             F.max("termedbinary").alias("termedbinary"),
             F.avg("weekpay").alias("avgdriverpay"),
             F.min("weekpay").alias("low"),
@@ -290,17 +279,20 @@ def cohort_model(stats: DataFrame, profile: DataFrame) -> DataFrame:
 def group_profile(stats: DataFrame) -> DataFrame:
     """Means of the personal measures by class and type within one cohort."""
     pay = with_group_pay(stats)
+    means = {
+        "FINESavg": "finescount",
+        "DETavg": "detentioncount",
+        "DRVSLYavg": "DRVSLYcount",
+        "endorseavg": "endorsecount",
+        "chargebackavg": "chargebackcount",
+        "safetyavg": "safetycount",
+        "correctionavg": "correctioncount",
+        "payavg": "paydetails",
+        "mindriavg": "mindridiff",
+        "maxdiravg": "maxdridiff",
+        "avgdripayavg": "avgdriverpay",
+        "groupavgpayavg": "groupavgpay",
+    }
     return pay.groupBy("stayed", "Drivertype", "mpp_type1").agg(
-        F.avg("finescount").alias("FINESavg"),
-        F.avg("detentioncount").alias("DETavg"),
-        F.avg("DRVSLYcount").alias("DRVSLYavg"),
-        F.avg("endorsecount").alias("endorseavg"),
-        F.avg("chargebackcount").alias("chargebackavg"),
-        F.avg("safetycount").alias("safetyavg"),
-        F.avg("correctioncount").alias("correctionavg"),
-        F.avg("paydetails").alias("payavg"),
-        F.avg("mindridiff").alias("mindriavg"),
-        F.avg("maxdridiff").alias("maxdiravg"),
-        F.avg("avgdriverpay").alias("avgdripayavg"),
-        F.avg("groupavgpay").alias("groupavgpayavg"),
+        *[F.expr(f"avg({column}) AS {name}") for name, column in means.items()]
     )

@@ -21,7 +21,7 @@ def explode_words(df: DataFrame, text: str) -> DataFrame:
 
 def without_words(df: DataFrame, words: Sequence[str]) -> DataFrame:
     """Drop the listed words; a missing word stays."""
-    return df.where(F.coalesce(~F.col("word").isin(list(words)), F.lit(True))) if words else df
+    return df.where(f"coalesce(NOT {S.in_list('word', words)}, true)") if words else df
 
 
 def without_stop_words(df: DataFrame, stop_words: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def top_terms(counts: DataFrame, k: int = 50, min_freq: int = 3) -> DataFrame:
 def recode_themes(df: DataFrame, themes: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Replace the words of a theme by its name; other words stay."""
     themes = K.THEMES if themes is None else themes
-    return df.withColumn("word", S.first_match(F.col("word"), themes, F.col("word")))
+    return df.withColumn("word", S.theme_of("word", themes))
 
 
 def recode_counts(counts: DataFrame, themes: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

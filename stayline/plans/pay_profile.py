@@ -15,18 +15,19 @@ from stayline.operators import safety, teaming
 class Workforce:
     """Input tables and the two dates that fix the cohorts.
 
-    `master` is the profile that names, phones and hire dates come from, by
-    default the one the cohorts are taken from.
+    The pay steps need the profile and the pay lines only. `master` is the
+    profile that names, phones and hire dates come from, by default the one
+    the cohorts are taken from.
     """
 
     profile: DataFrame
     pay: DataFrame
-    events: DataFrame
-    accidents: DataFrame
-    violations: DataFrame
-    teaming: DataFrame
     cutoff: date
     as_of: date | datetime | None = None
+    events: DataFrame | None = None
+    accidents: DataFrame | None = None
+    violations: DataFrame | None = None
+    teaming: DataFrame | None = None
     master: DataFrame | None = None
 
 
