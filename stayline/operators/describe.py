@@ -3,6 +3,8 @@
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +32,14 @@ def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     )
 
 
-def settled(df: DataFrame, limit: int = SETTLED_ROWS) -> DataFrame:
+def settled(df: DataFrame, limit: int = SETTLED_ROWS) -> tuple[DataFrame, pa.Table | None]:
     """A table checked to have at most `limit` rows, as literal rows to be
-    broadcast; a larger one is returned as it is and joined by shuffle."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    broadcast, with these rows; a larger one stays as it is and is joined by
+    shuffle."""
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
 
 
 def _same(keys: Sequence[str], prefix: str):
@@ -44,42 +47,50 @@ def _same(keys: Sequence[str], prefix: str):
 
 
 # --- quantiles ---------------------------------------------------------------
+def value_spans(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return long.groupBy(*keys).agg(
+        F.count("value").alias("count"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+
+
 def exact_quantiles(
     long: DataFrame,
     keys: Sequence[str],
     probs: Sequence[float] = QUARTILES,
     bracket_rows: int = BRACKET_ROWS,
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation of `value` per key group.
 
     The built-in exact percentile keeps every distinct value of a group in one
     buffer. Here each quantile is first enclosed in a bracket that narrows, by a
     fixed-size sketch, until few values lie inside; the values inside are then
-    counted and ranked. One step cuts the inside to about 3/GRID, the counts
-    around it are exact, and no task holds more than bracket_rows values of a
-    quantile however large the group is.
+    counted and ranked. One step cuts the inside to a few grid steps out of
+    GRID, the counts around it are exact, and no task holds more than
+    bracket_rows values of a quantile however large the group is.
+
+    `spans` gives count, min and max per key group if they are known already.
     """
     keys, bracket_rows = list(keys), max(bracket_rows, 100)
     value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    spans = long.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    goal = F.col("prob") * (F.col("count") - 1)
+    targets = (value_spans(long, keys) if spans is None else spans).withColumn(
+        "prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     )
-    goal = F.col("prob") * (F.col("n") - 1)
-    targets = spans.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    targets = targets.select(
-        *keys,
-        "prob",
-        "n",
-        F.floor(goal).alias("rank"),
-        (goal - F.floor(goal)).alias("part"),
-        "lo",
-        "hi",
-        F.lit(0).cast("bigint").alias("below"),
-        F.col("n").alias("inside"),
+    targets, rows = settled(
+        targets.select(
+            *keys,
+            "prob",
+            F.floor(goal).alias("rank"),
+            (goal - F.floor(goal)).alias("part"),
+            F.col("min").alias("lo"),
+            F.col("max").alias("hi"),
+            F.lit(0).cast("bigint").alias("below"),
+            F.col("count").alias("inside"),
+        )
     )
-    targets = settled(targets)
-    while _widest(targets) > bracket_rows:
-        targets = settled(_recount(long, keys, _narrowed(long, keys, targets, bracket_rows)))
+    while _widest(targets, rows) > bracket_rows:
+        targets, rows = settled(_recount(long, keys, _narrowed(long, keys, targets, bracket_rows)))
 
     # rank the values inside each bracket, ties counted together: a heavy value
     # is one row of counts here
@@ -103,9 +114,11 @@ def exact_quantiles(
     return found.select(*id_, exact.alias("quantile"))
 
 
-def _widest(targets: DataFrame) -> int:
+def _widest(targets: DataFrame, rows: pa.Table | None) -> int:
     """Most values strictly inside a bracket; the edges are one value each."""
-    return targets.agg(F.max("inside")).first()[0] or 0
+    if rows is None:
+        return targets.agg(F.max("inside")).first()[0] or 0
+    return pc.max(rows["inside"]).as_py() or 0
 
 
 def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows: int) -> DataFrame:
@@ -113,21 +126,24 @@ def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows
 
     The sketch may be off by 1/SKETCH of the values, a tenth of a grid step, so
     one step of slack on each side keeps both wanted ranks in the bracket.
+    Quantiles that still share a bracket share its sketch.
     """
-    state = ["prob", "n", "rank", "part", "lo", "hi"]
+    state = ["prob", "rank", "part", "lo", "hi"]
+    bracket = ["lo", "hi", "below"]
     wide = targets.where(F.col("inside") > bracket_rows)
-    t = wide.select(*[F.col(k).alias(f"t_{k}") for k in keys], *state, "below")
     value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     inner = F.when(value > lo, value)
-    sketched = (
-        long.join(t, _same(keys, "t_") & (value >= lo) & (value < hi))
-        .groupBy(*keys, *state, "below")
+    shared, _ = settled(wide.select(*[F.col(k).alias(f"t_{k}") for k in keys], *bracket).distinct())
+    sketches, _ = settled(
+        long.join(shared, _same(keys, "t_") & (value >= lo) & (value < hi))
+        .groupBy(*keys, *bracket)
         .agg(
             F.percentile_approx(inner, [i / GRID for i in range(GRID + 1)], SKETCH).alias("grid"),
             F.count(inner).alias("m"),
             F.count(F.when(value == lo, 1)).alias("at_lo"),
         )
     )
+    sketched = wide.join(sketches.withColumnsRenamed({c: f"s_{c}" for c in [*keys, *bracket]}), _same([*keys, *bracket], "s_"))
     # 0-based position of the wanted value among the m inner ones
     position = F.col("rank") - F.col("below") - F.col("at_lo")
     step = F.lit(float(GRID)) / F.col("m")
@@ -136,14 +152,13 @@ def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows
     near = sketched.select(
         *keys,
         "prob",
-        "n",
         "rank",
         "part",
         F.when(down >= 1, F.try_element_at("grid", down + 1)).otherwise(lo).alias("lo"),
         F.when(position + 1 < 0, lo).when(up < GRID, F.try_element_at("grid", up + 1)).otherwise(hi).alias("hi"),
     )
     narrow = targets.where(F.col("inside") <= bracket_rows).select(*keys, *state)
-    return settled(near.unionByName(narrow))
+    return settled(near.unionByName(narrow))[0]
 
 
 def _recount(long: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
@@ -152,7 +167,7 @@ def _recount(long: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame
     value = F.col("value")
     return (
         long.join(t, _same(keys, "t_"))
-        .groupBy(*keys, "prob", "n", "rank", "part", "lo", "hi")
+        .groupBy(*keys, "prob", "rank", "part", "lo", "hi")
         .agg(
             F.count(F.when(value < F.col("lo"), 1)).alias("below"),
             F.count(F.when((value > F.col("lo")) & (value < F.col("hi")), 1)).alias("inside"),
@@ -167,14 +182,16 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
     columns = list(columns or [c for c in numeric_columns(df) if c not in by])
     long = long_form(df, columns, by)
     keys = [*by, "column"]
-    basic = long.groupBy(*keys).agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    basic, _ = settled(
+        long.groupBy(*keys).agg(
+            F.count("value").alias("count"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
     )
-    quantiles = exact_quantiles(long, keys)
+    quantiles = exact_quantiles(long, keys, spans=basic)
     names = {p: f"p{int(p * 100)}" for p in QUARTILES}
     rows = quantiles.groupBy(*keys).agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in names.items()]

@@ -124,55 +124,39 @@ def pair_legs(legs: DataFrame, mode: str = "as_written", keep_last: bool = False
         legs = legs.withColumns(
             {"lgh_driver1": F.when(flip, b).otherwise(a), "lgh_driver2": F.when(flip, a).otherwise(b)}
         )
+    ends = {"first": F.min, "last": F.max} if keep_last else {"first": F.min}
     pairs = legs.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).cast("int").alias("leg_count"),
-        F.min(leg).alias("first"),
-        F.max(leg).alias("last"),
+        F.count(F.lit(1)).cast("int").alias("leg_count"), *[pick(leg).alias(name) for name, pick in ends.items()]
     )
-    one, two, rest = F.col("lgh_driver1"), F.col("lgh_driver2"), ["leg_count", "first", "last"]
     # both sides come from the one pair row, so the legs are read once
+    one, two, rest = F.col("lgh_driver1"), F.col("lgh_driver2"), ["leg_count", *ends]
     sides = F.array(
         F.struct(one.alias("lgh_driver1"), two.alias("lgh_driver2"), *rest),
         F.struct(two.alias("lgh_driver1"), one.alias("lgh_driver2"), *rest),
     )
-    both = pairs.select(F.explode(sides).alias("side")).select("side.*")
-    first = F.min(F.struct("first", "leg_count")).alias("f")
-    last = F.max(F.struct("last", "leg_count")).alias("l")
-    rows = both.groupBy(*PAIR).agg(first, last, F.sum("leg_count").alias("stacked"))
+    rows = (
+        pairs.select(F.explode(sides).alias("side"))
+        .select("side.*")
+        .groupBy(*PAIR)
+        .agg(
+            F.sum("leg_count").alias("legs"),
+            *[pick(F.struct(name, "leg_count")).alias(name) for name, pick in ends.items()],
+        )
+    )
 
-    def out(side: str, moment: str):
+    def values(name: str):
         return [
-            *PAIR,
-            F.col(f"{side}.leg_count").alias("leg_count"),
-            F.col(f"{side}.{moment}.lgh_startdateEST").alias("lgh_startdateEST"),
-            F.col(f"{side}.{moment}.lgh_enddateEST").alias("lgh_enddateEST"),
+            F.col(f"{name}.leg_count").alias("leg_count"),
+            F.col(f"{name}.{name}.lgh_startdateEST").alias("lgh_startdateEST"),
+            F.col(f"{name}.{name}.lgh_enddateEST").alias("lgh_enddateEST"),
         ]
 
-    firsts = rows.select(*out("f", "first"))
     if not keep_last:
-        return firsts
-    return rows.select(
-        *PAIR,
-        F.explode(
-            F.when(F.col("stacked") > 1, F.array(*_ends(both=True))).otherwise(F.array(*_ends(both=False)))
-        ).alias("end"),
-    ).select(*PAIR, "end.*")
-
-
-def _ends(both: bool):
-    first = F.struct(
-        F.lit("first").alias("which"),
-        F.col("f.leg_count").alias("leg_count"),
-        F.col("f.first.lgh_startdateEST").alias("lgh_startdateEST"),
-        F.col("f.first.lgh_enddateEST").alias("lgh_enddateEST"),
-    )
-    last = F.struct(
-        F.lit("last").alias("which"),
-        F.col("l.leg_count").alias("leg_count"),
-        F.col("l.last.lgh_startdateEST").alias("lgh_startdateEST"),
-        F.col("l.last.lgh_enddateEST").alias("lgh_enddateEST"),
-    )
-    return [first, last] if both else [first]
+        return rows.select(*PAIR, *values("first"))
+    first, last = (F.struct(F.lit(name).alias("which"), *values(name)) for name in ends)
+    # a pair with a single leg has that one row only
+    kept = F.when(F.col("legs") > 1, F.array(first, last)).otherwise(F.array(first))
+    return rows.select(*PAIR, F.explode(kept).alias("end")).select(*PAIR, "end.*")
 
 
 def team_history(pairs: DataFrame) -> DataFrame:
