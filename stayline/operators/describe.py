@@ -86,7 +86,7 @@ def exact_quantiles(
             F.col("min").alias("lo"),
             F.col("max").alias("hi"),
             F.lit(0).cast("bigint").alias("below"),
-            F.col("count").alias("inside"),
+            F.when(F.col("min") < F.col("max"), F.col("count")).otherwise(F.lit(0)).alias("inside"),
         )
     )
     while _widest(targets, rows) > bracket_rows:
@@ -146,7 +146,7 @@ def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows
     sketched = wide.join(sketches.withColumnsRenamed({c: f"s_{c}" for c in [*keys, *bracket]}), _same([*keys, *bracket], "s_"))
     # 0-based position of the wanted value among the m inner ones
     position = F.col("rank") - F.col("below") - F.col("at_lo")
-    step = F.lit(float(GRID)) / F.col("m")
+    step = F.try_divide(F.lit(float(GRID)), F.col("m"))  # none when only edges are left
     down = F.least(F.floor(position * step) - 1, F.lit(GRID)).cast("int")
     up = (F.ceil((position + 3) * step) + 1).cast("int")
     near = sketched.select(

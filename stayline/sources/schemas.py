@@ -3,8 +3,20 @@
 from pyspark.sql import types as T
 
 
+TYPES = {
+    "STRING": T.StringType(),
+    "INT": T.IntegerType(),
+    "BIGINT": T.LongType(),
+    "DOUBLE": T.DoubleType(),
+    "DECIMAL(19,4)": T.DecimalType(19, 4),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from 'name TYPE, …'; needs no running session."""
+    columns = [column.split(" ") for column in text.split(", ")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in columns])
 
 
 PROFILE = _schema(
