@@ -147,7 +147,7 @@ def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows
     # 0-based position of the wanted value among the m inner ones
     position = F.col("rank") - F.col("below") - F.col("at_lo")
     step = F.try_divide(F.lit(float(GRID)), F.col("m"))  # none when only edges are left
-    down = F.least(F.floor(position * step) - 1, F.lit(GRID)).cast("int")
+    down = F.when(step.isNotNull(), F.least(F.floor(position * step) - 1, F.lit(GRID))).cast("int")
     up = (F.ceil((position + 3) * step) + 1).cast("int")
     near = sketched.select(
         *keys,
