@@ -148,7 +148,7 @@ def weekly_rollup(a):
 
 
 _TOTALS = " ".join(f"{name}:d2" for name, _ in K.DRIVER_TOTALS)
-_STATS = f"stayed:i mpp_id:s Drivertype:s mpp_type1:s {_TOTALS} termedbinary:i mindridiff:d2 maxdridiff:d2 avgdriverpay:d6 groupavgpay:d4"
+_STATS = f"stayed:i mpp_id:s Drivertype:s mpp_type1:s {_TOTALS} termedbinary:i mindridiff:d2 maxdridiff:d2 avgdriverpay:d6 groupavgpay:d6"
 
 
 @register("driver_pay_stats", _STATS, "SELECT * FROM all_steps")
@@ -158,7 +158,7 @@ def driver_pay_stats(a):
 
 @register("driver_pay_stats_intended", _STATS, "SELECT * FROM all_steps_intended")
 def driver_pay_stats_intended(a):
-    return P.with_group_pay(pay_profile.driver_stats(a.pay_side(), dedupe="as_intended"))
+    return P.with_group_pay(pay_profile.driver_stats(a.pay_side(), pay_profile.Modes(dedupe="as_intended")))
 
 
 _MODEL = " ".join(f"{name}:d2" for name, _ in K.DRIVER_TOTALS) + " avgdriverpay:d6 groupavgpay:d6"
@@ -183,7 +183,7 @@ def safety_star(a):
 
 @register("safety_star_as_written", _STAR, "SELECT * FROM added_as_written")
 def safety_star_as_written(a):
-    return pay_profile.safety_profile(a.workforce(None), fanout="as_written")
+    return pay_profile.safety_profile(a.workforce(None), pay_profile.Modes(fanout="as_written"))
 
 
 @register(
@@ -229,7 +229,7 @@ def team_statistics(a):
 
 @register("team_statistics_as_written", _PEOPLE, "SELECT * FROM teaming_people_as_written")
 def team_statistics_as_written(a):
-    return pay_profile.people(_workforce(a), fanout="as_written")
+    return pay_profile.people(_workforce(a), pay_profile.Modes(fanout="as_written"))
 
 
 _SUMMARY = (
@@ -256,7 +256,7 @@ def cohort_summary(a):
 
 @register("cohort_summary_as_written", _SUMMARY, _summary_sql("teaming_people_as_written"))
 def cohort_summary_as_written(a):
-    return pay_profile.summary(_workforce(a), fanout="as_written")
+    return pay_profile.summary(_workforce(a), pay_profile.Modes(fanout="as_written"))
 
 
 _PROFILE = {

@@ -51,11 +51,11 @@ def accident_multiples(accidents: DataFrame) -> DataFrame:
     )
 
 
-def violations_by_name(violations: DataFrame) -> DataFrame:
+def violation_totals(violations: DataFrame, key: str = "DriverName") -> DataFrame:
     value = F.col("ViolationValue").cast("double")
     return (
-        violations.where(F.col("DriverName").isNotNull())
-        .groupBy("DriverName")
+        violations.where(F.col(key).isNotNull())
+        .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("vio_rows"),
             F.count(value).alias("vio_values"),
@@ -64,21 +64,18 @@ def violations_by_name(violations: DataFrame) -> DataFrame:
     )
 
 
-def violations_by_person(people: DataFrame, violations: DataFrame) -> DataFrame:
+def violations_by_person(people: DataFrame, violations: DataFrame, key: str = "DriverName") -> DataFrame:
     """Violations of everybody who bears the name they were filed under.
 
     Namesakes share their violations, and so do all people whose name is
-    unknown, which makes some names very common: the heaviest names are looked
-    up in a broadcast table of fixed size.
+    unknown, which makes some names very common: the rows of the heaviest names
+    are split over many tasks. Where the violations carry a person id, pass its
+    column as `key` and nothing is shared.
     """
-    people = people.select("mpp_id", "DriverName")
-    bearers = people.groupBy("DriverName").agg(F.count(F.lit(1)).alias("bearers"))
+    people = people.select("mpp_id", key) if key != "mpp_id" else people.select("mpp_id")
+    bearers = people.groupBy(key).agg(F.count(F.lit(1)).alias("bearers"))
     found = look_up(
-        people,
-        violations_by_name(violations),
-        ["DriverName"],
-        heaviest(bearers, ["DriverName"], "bearers"),
-        spread_by=["mpp_id"],
+        people, violation_totals(violations, key), [key], heaviest(bearers, [key], "bearers"), spread_by=["mpp_id"]
     )
     return found.where(F.col("vio_rows").isNotNull()).select(
         F.col("mpp_id").alias("v_id"), "vio_rows", "vio_values", "vio_sum"
@@ -93,6 +90,7 @@ def safety_star(
     as_of: date | datetime | None = None,
     people: DataFrame | None = None,
     mode: str = "as_intended",
+    violation_key: str = "DriverName",
 ) -> DataFrame:
     """Add events, tenure, days since the last accident and violations.
 
@@ -108,10 +106,11 @@ def safety_star(
     id_ = F.col("mpp_id")
     if people is None:
         people = model.select("mpp_id", "DriverName").distinct()
+    found = violations_by_person(people, violations, violation_key)
     rows = (
         model.join(event_counts(events), id_ == F.col("e_id"), "left")
         .join(last_accidents(accidents), id_ == F.col("a_id"), "left")
-        .join(violations_by_person(people, violations), id_ == F.col("v_id"), "left")
+        .join(found, id_ == F.col("v_id"), "left")
     )
     events_n = F.coalesce("events", F.lit(0))
     vio_n = F.coalesce("vio_values", F.lit(0))

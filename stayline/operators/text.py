@@ -78,8 +78,16 @@ def recode_counts(counts: DataFrame, themes: Mapping[str, Sequence[str]] | None
     return recode_themes(counts, themes).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def band_tenures(df: DataFrame, columns: Sequence[str] = ("seniority", "CVENtime")) -> DataFrame:
-    return df.withColumns({c: S.survey_tenure(F.col(c)) for c in columns})
+def band_tenures(df: DataFrame, mode: str = "as_intended") -> DataFrame:
+    """Tenure in the trade and in the company as bands.
+
+    As written, a misspelt column leaves the longest tenures in the trade
+    without a band.
+    """
+    trade = S.survey_tenure(F.col("seniority"))
+    if mode == "as_written":
+        trade = F.when(F.col("seniority") <= K.SURVEY_TENURE[-1][0], trade)
+    return df.withColumns({"seniority": trade, "CVENtime": S.survey_tenure(F.col("CVENtime"))})
 
 
 # --- sentiment ---------------------------------------------------------------

@@ -31,46 +31,63 @@ class Workforce:
     master: DataFrame | None = None
 
 
-def cohorts(w: Workforce, mode: str = "as_intended") -> DataFrame:
-    return P.select_cohorts(w.profile, w.cutoff, w.as_of, mode)
+@dataclass(frozen=True)
+class Modes:
+    """How to treat the oddities of the original definitions.
+
+    Each is as_written (the letter) or as_intended (the evident meaning); the
+    defaults are the ones whose results are meant to be used.
+
+    cohort    leavers by an id that reads 'company', or by status and date only
+    rows      equal pay codes of a bucket collapse within a week, or all count
+    dedupe    equal weeks of a person weigh once, or each weighs
+    fanout    safety counts multiply each other, or are taken one by one
+    integers  averages and ratios of whole numbers are truncated, or not
+    """
+
+    cohort: str = "as_intended"
+    rows: str = "as_written"
+    dedupe: str = "as_written"
+    fanout: str = "as_intended"
+    integers: str = "as_written"
 
 
-def _earliest(w: Workforce) -> date:
-    return P.earliest_period(w.cutoff, w.as_of or date.today())
+def cohorts(w: Workforce, modes: Modes = Modes()) -> DataFrame:
+    return P.select_cohorts(w.profile, w.cutoff, w.as_of, modes.cohort)
 
 
-def weeks(w: Workforce, rows: str = "as_written", cohort: str = "as_intended") -> DataFrame:
-    coded = P.code_rows(w.pay, cohorts(w, cohort), _earliest(w), rows)
-    return P.weekly_totals(coded)
+def weeks(w: Workforce, modes: Modes = Modes()) -> DataFrame:
+    earliest = P.earliest_period(w.cutoff, w.as_of or date.today())
+    return P.weekly_totals(P.code_rows(w.pay, cohorts(w, modes), earliest, modes.rows))
 
 
-def driver_stats(w: Workforce, rows: str = "as_written", dedupe: str = "as_written") -> DataFrame:
-    return P.driver_pay_stats(weeks(w, rows), dedupe)
+def driver_stats(w: Workforce, modes: Modes = Modes()) -> DataFrame:
+    return P.driver_pay_stats(weeks(w, modes), modes.dedupe)
 
 
-def model(w: Workforce) -> DataFrame:
-    return P.cohort_model(driver_stats(w), w.profile if w.master is None else w.master)
+def model(w: Workforce, modes: Modes = Modes()) -> DataFrame:
+    return P.cohort_model(driver_stats(w, modes), w.profile if w.master is None else w.master)
 
 
-def safety_profile(w: Workforce, fanout: str = "as_intended") -> DataFrame:
+def safety_profile(w: Workforce, modes: Modes = Modes()) -> DataFrame:
     """The company people of both cohorts with their safety record."""
     people = None
     if w.master is None:  # the cohorts' own profile covers the model
         name = S.joined_name(F.col("mpp_firstname"), F.col("mpp_lastname"))
         people = w.profile.select("mpp_id", name.alias("DriverName"))
     return safety.safety_star(
-        model(w), w.events, w.accidents, w.violations, w.as_of, people=people, mode=fanout
+        model(w, modes), w.events, w.accidents, w.violations, w.as_of, people=people, mode=modes.fanout
     )
 
 
-def people(w: Workforce, fanout: str = "as_intended", integers: str = "as_written") -> DataFrame:
+def people(w: Workforce, modes: Modes = Modes()) -> DataFrame:
     """One row per person of the teamed classes, all measures together."""
-    return teaming.with_team_stats(safety_profile(w, fanout), w.teaming, fanout, integers)
+    return teaming.with_team_stats(safety_profile(w, modes), w.teaming, modes.fanout, modes.integers)
 
 
-def summary(w: Workforce, fanout: str = "as_intended", integers: str = "as_written") -> DataFrame:
-    return teaming.cohort_summary(people(w, fanout, integers), integers)
+def summary(w: Workforce, modes: Modes = Modes()) -> DataFrame:
+    return teaming.cohort_summary(people(w, modes), modes.integers)
 
 
-def expiring(w: Workforce, expirations: DataFrame) -> DataFrame:
-    return teaming.with_expirations(people(w), expirations)
+def expiring(w: Workforce, expirations: DataFrame, modes: Modes = Modes()) -> DataFrame:
+    return teaming.with_expirations(people(w, modes), expirations)

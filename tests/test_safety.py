@@ -85,6 +85,14 @@ def test_as_written_equals_row_by_row(spark, seed):
     assert got == brute_force_as_written(people, events, accidents, violations)
 
 
+def test_violations_by_id_are_not_shared(spark, rows):
+    people = model(spark, ("a", "A A"), ("b", "A A"))
+    filed = spark.createDataFrame([("a", "2"), ("a", "1")], "mpp_id STRING, ViolationValue STRING")
+    events, accidents, _ = tables(spark)
+    got = safety.safety_star(people, events, accidents, filed, AS_OF, violation_key="mpp_id")
+    assert rows(got, "mpp_id", "CSA", "Violations") == [("a", 3.0, 2), ("b", 0.0, 0)]
+
+
 def test_bad_violation_value_is_an_error(spark):
     people = model(spark, ("a", "A A"))
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):

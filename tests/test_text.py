@@ -82,6 +82,13 @@ def test_themed_words_carry_tenure_bands(answers, stop, rows):
     assert got == [("5+", "1 year")] * 3
 
 
+def test_misspelt_band_as_written(answers, rows):
+    df = answers.select("seniority", "CVENtime")
+    written = rows(X.band_tenures(df, mode="as_written"))
+    assert written == [("1 year", "<6"), ("<6", None), (None, "1 year"), (None, "5+")]
+    assert ("5+", "1 year") in rows(X.band_tenures(df))
+
+
 def test_domain_words_keep_missing_word(spark):
     df = spark.createDataFrame([("driver",), (None,), ("x",)], "word STRING")
     assert sorted(str(r[0]) for r in X.without_words(df, ["driver"]).collect()) == ["None", "x"]
