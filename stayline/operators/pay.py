@@ -277,8 +277,11 @@ def cohort_model(stats: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def group_profile(stats: DataFrame) -> DataFrame:
-    """Means of the personal measures by class and type within one cohort."""
-    pay = with_group_pay(stats)
+    """Means of the personal measures by class and type within one cohort.
+
+    The group's mean week pay is the same for all its people, so it is taken
+    from the group's own sums and needs no join.
+    """
     means = {
         "FINESavg": "finescount",
         "DETavg": "detentioncount",
@@ -291,8 +294,8 @@ def group_profile(stats: DataFrame) -> DataFrame:
         "mindriavg": "mindridiff",
         "maxdiravg": "maxdridiff",
         "avgdripayavg": "avgdriverpay",
-        "groupavgpayavg": "groupavgpay",
     }
-    return pay.groupBy("stayed", "Drivertype", "mpp_type1").agg(
-        *[F.expr(f"avg({column}) AS {name}") for name, column in means.items()]
+    return stats.groupBy("stayed", "Drivertype", "mpp_type1").agg(
+        *[F.expr(f"avg({column}) AS {name}") for name, column in means.items()],
+        (F.sum("pay_sum") / F.sum("pay_weeks")).alias("groupavgpayavg"),
     )

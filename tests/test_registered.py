@@ -58,6 +58,17 @@ def test_pay_fact_is_read_once(spark, no_broadcast):
     assert "ReusedExchange" in plan
 
 
+def test_summary_reads_pay_and_legs_once_each(spark, no_broadcast):
+    plan = final_plan(RUNS["cohort_summary"](spark, FOLDER))
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 2
+    assert "Window" not in plan
+
+
+def test_inner_orders_are_not_sorted(spark):
+    plan = final_plan(RUNS["top_terms_liked"](spark, FOLDER))
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
 def test_pay_chain_shuffles_once_after_the_join(spark, no_broadcast):
     plan = final_plan(RUNS["weekly_rollup"](spark, FOLDER))
     exchanges = re.findall(r"(?<!Reused)Exchange hashpartitioning\(([^)]*)\)", plan)
