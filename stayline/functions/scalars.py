@@ -68,8 +68,14 @@ def shift_hours(moment: Column, hours: Column) -> Column:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    """Elapsed hours with minute resolution kept as a fraction."""
-    return F.timestamp_diff("SECOND", start, end) / F.lit(3600.0)
+    """Elapsed hours, fractions kept.
+
+    Taken from the interval between the zone-free times: the built-in
+    differences would read both on the session's clock and its summer time.
+    """
+    gap = end - start
+    part = {unit: F.extract(F.lit(unit), gap).cast("double") for unit in ("DAY", "HOUR", "MINUTE", "SECOND")}
+    return part["DAY"] * 24 + part["HOUR"] + part["MINUTE"] / 60 + part["SECOND"] / 3600
 
 
 def monday_of(moment: Column) -> Column:

@@ -53,6 +53,17 @@ def test_shift_hours(one):
 
 def test_hours_between_keeps_fraction(one):
     assert one(S.hours_between(ts(2018, 1, 1, 0), ts(2018, 1, 1, 1, 30))) == 1.5
+    assert one(S.hours_between(ts(2018, 1, 2, 0), ts(2018, 1, 1, 22, 0))) == -2
+    assert one(S.hours_between(ts(2018, 1, 1, 0), ts(2018, 1, 3, 0, 0, 36))) == pytest.approx(48.01)
+
+
+def test_hours_between_ignores_summer_time(spark, one):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert one(S.hours_between(ts(2018, 3, 11, 0), ts(2018, 3, 11, 6))) == 6
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_integer_division_truncates(one):
