@@ -5,12 +5,12 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUARTILES = (0.25, 0.5, 0.75)
-BRACKET_ROWS = 200_000  # values that may meet in one quantile window
+BRACKET_ROWS = 1_000_000  # values that may lie inside one quantile's bracket
 GRID = 1000
 SKETCH = 10_000
 SETTLED_ROWS = 10_000
@@ -47,9 +47,21 @@ def _same(keys: Sequence[str], prefix: str):
 
 
 # --- quantiles ---------------------------------------------------------------
-def value_spans(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+def grid_sketch(value: Column) -> Column:
+    """GRID + 1 evenly spaced quantiles, each off by at most 1/SKETCH of the
+    values; the buffer does not grow with them."""
+    return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], SKETCH)
+
+
+def value_spans(long: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Count, ends and sketch of the values per key group."""
+    value = F.col("value")
     return long.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.min("value").alias("min"), F.max("value").alias("max")
+        F.count(value).alias("count"),
+        *more,
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        grid_sketch(value).alias("grid"),
     )
 
 
@@ -63,116 +75,132 @@ def exact_quantiles(
     """Exact quantiles with linear interpolation of `value` per key group.
 
     The built-in exact percentile keeps every distinct value of a group in one
-    buffer. Here each quantile is first enclosed in a bracket that narrows, by a
-    fixed-size sketch, until few values lie inside; the values inside are then
-    counted and ranked. One step cuts the inside to a few grid steps out of
-    GRID, the counts around it are exact, and no task holds more than
-    bracket_rows values of a quantile however large the group is.
+    buffer. Here a sketch of fixed size first encloses each quantile in a
+    bracket that holds a few grid steps of the values, and brackets with more
+    than bracket_rows values inside are narrowed again. Then all values are
+    counted: those in a bracket one by one, the others by the gap they fall in.
+    That table is small, and the running count over it finds the exact ranks.
 
-    `spans` gives count, min and max per key group if they are known already.
+    `spans` is the result of `value_spans` if it is known already.
     """
-    keys, bracket_rows = list(keys), max(bracket_rows, 100)
-    value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    keys, probs, bracket_rows = list(keys), [float(p) for p in probs], max(bracket_rows, 100)
+    spans = value_spans(long, keys) if spans is None else spans
     goal = F.col("prob") * (F.col("count") - 1)
-    targets = (value_spans(long, keys) if spans is None else spans).withColumn(
-        "prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    )
-    targets, rows = settled(
-        targets.select(
-            *keys,
-            "prob",
-            F.floor(goal).alias("rank"),
-            (goal - F.floor(goal)).alias("part"),
-            F.col("min").alias("lo"),
-            F.col("max").alias("hi"),
-            F.lit(0).cast("bigint").alias("below"),
-            F.when(F.col("min") < F.col("max"), F.col("count")).otherwise(F.lit(0)).alias("inside"),
-        )
+    wanted = spans.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs]))).select(
+        *keys,
+        "prob",
+        F.floor(goal).alias("rank"),
+        (goal - F.floor(goal)).alias("part"),
+        F.col("min").alias("lo"),
+        F.col("max").alias("hi"),
+        "grid",
+        F.col("count").alias("inner"),
+        F.lit(0).cast("bigint").alias("passed"),
     )
+    targets, rows = settled(_tighter(wanted, keys))
     while _widest(targets, rows) > bracket_rows:
-        targets, rows = settled(_recount(long, keys, _narrowed(long, keys, targets, bracket_rows)))
-
-    # rank the values inside each bracket, ties counted together: a heavy value
-    # is one row of counts here
-    t = targets.withColumnsRenamed({k: f"t_{k}" for k in keys})
-    id_ = [*keys, "prob"]
-    counts = (
-        long.join(t, _same(keys, "t_") & (value >= lo) & (value <= hi))
-        .groupBy(*id_, "rank", "part", "below", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    upto = Window.partitionBy(*id_).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("last", F.col("below") + F.sum("copies").over(upto))
-    first = F.col("last") - F.col("copies")
-
-    def at(rank):
-        return F.max(F.when((first <= rank) & (rank < F.col("last")), value))
-
-    found = placed.groupBy(*id_, "part").agg(at(F.col("rank")).alias("a"), at(F.col("rank") + 1).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    exact = F.when(F.col("part") > 0, a + (b - a) * F.col("part")).otherwise(a)
-    return found.select(*id_, exact.alias("quantile"))
+        targets, rows = settled(_narrowed(long, keys, targets, bracket_rows))
+    return _ranked(long, keys, probs, targets)
 
 
 def _widest(targets: DataFrame, rows: pa.Table | None) -> int:
-    """Most values strictly inside a bracket; the edges are one value each."""
+    """Most values that can lie strictly inside a bracket."""
     if rows is None:
         return targets.agg(F.max("inside")).first()[0] or 0
     return pc.max(rows["inside"]).as_py() or 0
 
 
-def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows: int) -> DataFrame:
-    """Tighter brackets: neighbouring grid points of a sketch of the inside.
+def _tighter(brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Each bracket cut down to the grid points around its quantile.
 
-    The sketch may be off by 1/SKETCH of the values, a tenth of a grid step, so
-    one step of slack on each side keeps both wanted ranks in the bracket.
-    Quantiles that still share a bracket share its sketch.
+    `grid` sketches the `inner` values of the bracket, `passed` values come
+    before them. The sketch may be off by a tenth of a grid step, so a step of
+    slack on each side keeps both wanted ranks in the bracket.
     """
-    state = ["prob", "rank", "part", "lo", "hi"]
-    bracket = ["lo", "hi", "below"]
-    wide = targets.where(F.col("inside") > bracket_rows)
-    value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    inner = F.when(value > lo, value)
-    shared, _ = settled(wide.select(*[F.col(k).alias(f"t_{k}") for k in keys], *bracket).distinct())
-    sketches, _ = settled(
-        long.join(shared, _same(keys, "t_") & (value >= lo) & (value < hi))
-        .groupBy(*keys, *bracket)
-        .agg(
-            F.percentile_approx(inner, [i / GRID for i in range(GRID + 1)], SKETCH).alias("grid"),
-            F.count(inner).alias("m"),
-            F.count(F.when(value == lo, 1)).alias("at_lo"),
-        )
-    )
-    sketched = wide.join(sketches.withColumnsRenamed({c: f"s_{c}" for c in [*keys, *bracket]}), _same([*keys, *bracket], "s_"))
-    # 0-based position of the wanted value among the m inner ones
-    position = F.col("rank") - F.col("below") - F.col("at_lo")
-    step = F.try_divide(F.lit(float(GRID)), F.col("m"))  # none when only edges are left
+    lo, hi, inner = F.col("lo"), F.col("hi"), F.col("inner")
+    position = F.col("rank") - F.col("passed")
+    step = F.try_divide(F.lit(float(GRID)), inner)  # none when only edges are left
     down = F.when(step.isNotNull(), F.least(F.floor(position * step) - 1, F.lit(GRID))).cast("int")
-    up = (F.ceil((position + 3) * step) + 1).cast("int")
-    near = sketched.select(
+    up = F.when(step.isNotNull(), F.ceil((position + 3) * step) + 1).cast("int")
+    steps = F.least(up, F.lit(GRID)) - F.greatest(down, F.lit(0))
+    cut = brackets.select(
         *keys,
         "prob",
         "rank",
         "part",
         F.when(down >= 1, F.try_element_at("grid", down + 1)).otherwise(lo).alias("lo"),
         F.when(position + 1 < 0, lo).when(up < GRID, F.try_element_at("grid", up + 1)).otherwise(hi).alias("hi"),
+        F.coalesce(F.ceil(steps / step + inner * (2.0 / SKETCH) + 2), F.lit(0)).alias("inside"),
     )
-    narrow = targets.where(F.col("inside") <= bracket_rows).select(*keys, *state)
-    return settled(near.unionByName(narrow))[0]
+    return cut.withColumn("inside", F.when(F.col("lo") < F.col("hi"), F.col("inside")).otherwise(F.lit(0)))
 
 
-def _recount(long: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
-    """Exact numbers of values below and strictly inside each bracket."""
-    t = brackets.withColumnsRenamed({k: f"t_{k}" for k in keys})
-    value = F.col("value")
-    return (
-        long.join(t, _same(keys, "t_"))
-        .groupBy(*keys, "prob", "rank", "part", "lo", "hi")
+def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows: int) -> DataFrame:
+    """Brackets that are still wide, sketched on their own and cut down again.
+
+    Quantiles that share a bracket share its sketch.
+    """
+    wide = targets.where(F.col("inside") > bracket_rows)
+    value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    inner = F.when(value > lo, value)
+    shared, _ = settled(wide.select(*[F.col(k).alias(f"t_{k}") for k in keys], "lo", "hi").distinct())
+    sketches, _ = settled(
+        long.join(shared, _same(keys, "t_") & (value < hi))
+        .groupBy(*keys, "lo", "hi")
         .agg(
-            F.count(F.when(value < F.col("lo"), 1)).alias("below"),
-            F.count(F.when((value > F.col("lo")) & (value < F.col("hi")), 1)).alias("inside"),
+            grid_sketch(inner).alias("grid"),
+            F.count(inner).alias("inner"),
+            F.count(F.when(value <= lo, 1)).alias("passed"),
         )
     )
+    same = [*keys, "lo", "hi"]
+    found = wide.join(sketches.withColumnsRenamed({c: f"s_{c}" for c in same}), _same(same, "s_"))
+    return _tighter(found, keys).unionByName(targets.where(F.col("inside") <= bracket_rows))
+
+
+def _ranked(long: DataFrame, keys: list[str], probs: list[float], targets: DataFrame) -> DataFrame:
+    """Quantiles from the running count over bracket values and gaps."""
+    value, state = F.col("value"), ["lo", "hi", "rank", "part"]
+
+    def of(name: str, i: int) -> Column:
+        return F.col(f"{name}_{i}")
+
+    # one row per key group, so each value meets all its brackets at once
+    brackets, _ = settled(
+        targets.groupBy(*[F.col(k).alias(f"t_{k}") for k in keys]).agg(
+            *[F.max(F.when(F.col("prob") == p, F.col(c))).alias(f"{c}_{i}") for i, p in enumerate(probs) for c in state]
+        )
+    )
+    within = reduce(lambda a, b: a | b, [value.between(of("lo", i), of("hi", i)) for i in range(len(probs))])
+    # a value between brackets stands for the gap above the last bracket it passed
+    edges = [F.when(of("hi", i) < value, of("hi", i)) for i in range(len(probs))]
+    passed = F.greatest(*edges) if len(edges) > 1 else edges[0]
+    counts = (
+        long.join(brackets, _same(keys, "t_"))
+        .groupBy(*keys, F.when(within, value).otherwise(passed).alias("at"), (~within).alias("gap"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    upto = (
+        Window.partitionBy(*keys)
+        .orderBy(F.asc_nulls_first("at"), "gap")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = counts.withColumn("last", F.sum("copies").over(upto)).join(brackets, _same(keys, "t_"))
+
+    def at(rank: Column) -> Column:
+        holds = (F.col("last") - F.col("copies") <= rank) & (rank < F.col("last"))
+        return F.max(F.when(holds, F.col("at")))
+
+    ends = placed.groupBy(*keys, *[f"part_{i}" for i in range(len(probs))]).agg(
+        *[at(of("rank", i) + shift).alias(f"{side}_{i}") for i in range(len(probs)) for side, shift in (("a", 0), ("b", 1))]
+    )
+
+    def exact(i: int) -> Column:
+        a, b, part = of("a", i), of("b", i), of("part", i)
+        return F.when(part > 0, a + (b - a) * part).otherwise(a)
+
+    found = [F.struct(F.lit(p).alias("prob"), exact(i).alias("quantile")) for i, p in enumerate(probs)]
+    return ends.select(*keys, F.explode(F.array(*found)).alias("q")).select(*keys, "q.*")
 
 
 # --- tables ------------------------------------------------------------------
@@ -183,12 +211,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
     long = long_form(df, columns, by)
     keys = [*by, "column"]
     basic, _ = settled(
-        long.groupBy(*keys).agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
+        value_spans(
+            long, keys, F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
         )
     )
     quantiles = exact_quantiles(long, keys, spans=basic)
