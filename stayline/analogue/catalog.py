@@ -89,17 +89,11 @@ def _workforce(a: V.Analogue) -> pay_profile.Workforce:
     return a.workforce(_history(a).withColumn("DriverID", F.expr("substr(DriverID, 2)")))
 
 
-def _both(sql0: str, sql1: str | None = None) -> str:
-    """The same step of both cohort chains, labelled."""
-    parts = [f"SELECT *, 0 AS stayed FROM {sql0}0", f"SELECT *, 1 AS stayed FROM {sql1 or sql0}1"]
-    return " UNION ALL ".join(parts)
-
-
 # --- pay, safety and tenure --------------------------------------------------
 @register(
     "cohort_select",
     "stayed:i mpp_id:s StartDate:t mpp_terminationdt:t mpp_state:s mpp_type2:s mpp_type1:s Drivertype:s",
-    f"SELECT *, {oracle._class_case()} AS Drivertype FROM ({_both('drivers')}) d",
+    "SELECT * FROM cohort",
 )
 def cohort_select(a):
     return _cohorts(a)
@@ -108,7 +102,7 @@ def cohort_select(a):
 @register(
     "pay_interval_join",
     "stayed:i mpp_id:s pyh_payperiod:t pyt_itemcode:s pyd_amount:d4 mpp_terminationdt:t StartDate:t",
-    _both("pay"),
+    "SELECT * FROM paid",
 )
 def pay_interval_join(a):
     return P.in_window(a.pay_lines(EARLIEST), _cohorts(a), EARLIEST)
@@ -118,7 +112,7 @@ _BUCKETS = " ".join(f"{b}:d4" for b in K.BUCKET_NAMES) + " count:i latehome:i la
 _WEEK_KEYS = "stayed:i mpp_id:s pyh_payperiod:t mpp_terminationdt:t StartDate:t mpp_state:s mpp_type1:s Drivertype:s"
 
 
-@register("pay_code_buckets", f"{_WEEK_KEYS} {_BUCKETS}", _both("segregate"))
+@register("pay_code_buckets", f"{_WEEK_KEYS} {_BUCKETS}", "SELECT * FROM code_rows")
 def pay_code_buckets(a):
     return P.pay_code_buckets(a.pay_lines(EARLIEST), _cohorts(a), EARLIEST)
 
@@ -126,10 +120,7 @@ def pay_code_buckets(a):
 @register(
     "pay_code_buckets_intended",
     f"{_WEEK_KEYS} {_BUCKETS}",
-    f"""SELECT stayed, mpp_id, pyh_payperiod, mpp_terminationdt, StartDate, mpp_state, mpp_type1,
-       {oracle._class_case()} AS Drivertype, {oracle._intended_columns()}
-FROM ({_both("pay")}) p
-GROUP BY stayed, mpp_id, pyh_payperiod, mpp_terminationdt, StartDate, mpp_state, mpp_type1, mpp_type2""",
+    "SELECT * FROM code_sums",
 )
 def pay_code_buckets_intended(a):
     return P.pay_code_buckets(a.pay_lines(EARLIEST), _cohorts(a), EARLIEST, mode="as_intended")
@@ -141,7 +132,7 @@ _FACTS = " ".join(f"{f}:i" for f in P.WEEK_FACTS)
 @register(
     "weekly_rollup",
     f"stayed:i mpp_id:s Drivertype:s mpp_type1:s pyh_payperiod:t weekpay:d4 {_FACTS} ranking:i",
-    _both("week"),
+    "SELECT * FROM weeks",
 )
 def weekly_rollup(a):
     return P.weekly_rollup(P.code_rows(a.pay_lines(EARLIEST), _cohorts(a), EARLIEST))
@@ -151,12 +142,12 @@ _TOTALS = " ".join(f"{name}:d2" for name, _ in K.DRIVER_TOTALS)
 _STATS = f"stayed:i mpp_id:s Drivertype:s mpp_type1:s {_TOTALS} termedbinary:i mindridiff:d2 maxdridiff:d2 avgdriverpay:d6 groupavgpay:d6"
 
 
-@register("driver_pay_stats", _STATS, "SELECT * FROM all_steps")
+@register("driver_pay_stats", _STATS, "SELECT * FROM totals")
 def driver_pay_stats(a):
     return P.with_group_pay(pay_profile.driver_stats(a.pay_side()))
 
 
-@register("driver_pay_stats_intended", _STATS, "SELECT * FROM all_steps_intended")
+@register("driver_pay_stats_intended", _STATS, "SELECT * FROM totals_each")
 def driver_pay_stats_intended(a):
     return P.with_group_pay(pay_profile.driver_stats(a.pay_side(), pay_profile.Modes(dedupe="as_intended")))
 
@@ -167,7 +158,7 @@ _MODEL = " ".join(f"{name}:d2" for name, _ in K.DRIVER_TOTALS) + " avgdriverpay:
 @register(
     "cohort_union",
     f"stayed:i mpp_id:s Drivertype:s mpp_type1:s DriverName:s {_MODEL}",
-    "SELECT * FROM model",
+    "SELECT * FROM company",
 )
 def cohort_union(a):
     return pay_profile.model(a.pay_side())
@@ -176,12 +167,12 @@ def cohort_union(a):
 _STAR = f"stayed:i mpp_id:s Drivertype:s DriverName:s phone:s {_MODEL} Critical:i seniority:i daystoacc:i CSA:d4 Violations:i"
 
 
-@register("safety_star", _STAR, "SELECT * FROM added")
+@register("safety_star", _STAR, "SELECT * FROM record")
 def safety_star(a):
     return pay_profile.safety_profile(a.workforce(None))
 
 
-@register("safety_star_as_written", _STAR, "SELECT * FROM added_as_written")
+@register("safety_star_as_written", _STAR, "SELECT * FROM record_as_written")
 def safety_star_as_written(a):
     return pay_profile.safety_profile(a.workforce(None), pay_profile.Modes(fanout="as_written"))
 
@@ -202,8 +193,7 @@ def violations_by_person(a):
 @register(
     "tenure_bands",
     "seniority:s people:i newest:t",
-    f"""SELECT CASE WHEN m <= 6 THEN '6 months' WHEN m <= 12 THEN '6m- 1 year' WHEN m <= 24 THEN '1-2 years'
-            WHEN m <= 60 THEN '2-5' WHEN m > 60 THEN '5+' ELSE 'UNKNOWN' END AS seniority,
+    f"""SELECT {oracle.bands("m", K.PROFILE_TENURE, K.PROFILE_TENURE_ABOVE, "'UNKNOWN'")} AS seniority,
        count(*) AS people, max(mpp_hiredate) AS newest
 FROM (SELECT mpp_hiredate, date_diff('month', mpp_hiredate, {oracle.AS_OF}) AS m FROM v_profile) x GROUP BY 1""",
 )
@@ -222,12 +212,12 @@ _PEOPLE = (
 )
 
 
-@register("team_statistics", _PEOPLE, "SELECT * FROM teaming_people")
+@register("team_statistics", _PEOPLE, "SELECT * FROM people")
 def team_statistics(a):
     return pay_profile.people(_workforce(a))
 
 
-@register("team_statistics_as_written", _PEOPLE, "SELECT * FROM teaming_people_as_written")
+@register("team_statistics_as_written", _PEOPLE, "SELECT * FROM people_as_written")
 def team_statistics_as_written(a):
     return pay_profile.people(_workforce(a), pay_profile.Modes(fanout="as_written"))
 
@@ -238,23 +228,26 @@ _SUMMARY = (
 )
 
 
+_MEANS_OF = {
+    "endorse": "endorsecount", "chargeback": "chargebackcount", "safety": "safetycount", "correction": "correctioncount",
+    "latehome": "latehomecount", "layover": "layoverbinary", "paydetails": "paydetails", "avgpay": "groupavgpay",
+    "CSA": "CSA_month", "solo": "numteams - partsolo", "stdevtenure": "stdevtenure",
+}
+_WHOLE_MEANS_OF = {"Critical": "Critical", "Vio": "Vio_month", "numteams": "numteams", "avgtenure": "avgtenure"}
+
+
 def _summary_sql(source: str) -> str:
-    return f"""SELECT DISTINCT stayed, Drivertype, seniority,
-       sum(Critical) // count(Critical) AS Critical, avg(endorsecount) AS endorse, avg(chargebackcount) AS chargeback,
-       avg(safetycount) AS safety, avg(correctioncount) AS correction, avg(latehomecount) AS latehome,
-       avg(layoverbinary) AS layover, avg(paydetails) AS paydetails, avg(groupavgpay) AS avgpay, count(*) AS "count",
-       avg(CSA_month) AS CSA, sum(Vio_month) // count(Vio_month) AS Vio, sum(numteams) // count(numteams) AS numteams,
-       avg(numteams - partsolo) AS solo, sum(avgtenure) // nullif(count(avgtenure), 0) AS avgtenure,
-       avg(stdevtenure) AS stdevtenure
-FROM {source} GROUP BY stayed, Drivertype, seniority"""
+    means = [f"avg({expr}) AS {name}" for name, expr in _MEANS_OF.items()]
+    means += [f"sum({c}) // nullif(count({c}), 0) AS {name}" for name, c in _WHOLE_MEANS_OF.items()]
+    return f'SELECT stayed, Drivertype, seniority, count(*) AS "count", {", ".join(means)} FROM {source} GROUP BY ALL'
 
 
-@register("cohort_summary", _SUMMARY, _summary_sql("teaming_people"))
+@register("cohort_summary", _SUMMARY, _summary_sql("people"))
 def cohort_summary(a):
     return pay_profile.summary(_workforce(a))
 
 
-@register("cohort_summary_as_written", _SUMMARY, _summary_sql("teaming_people_as_written"))
+@register("cohort_summary_as_written", _SUMMARY, _summary_sql("people_as_written"))
 def cohort_summary_as_written(a):
     return pay_profile.summary(_workforce(a), pay_profile.Modes(fanout="as_written"))
 
@@ -272,7 +265,7 @@ _PROFILE = {
     "stayed:i Drivertype:s mpp_type1:s " + " ".join(f"{n}:d6" for n in _PROFILE),
     "SELECT stayed, Drivertype, mpp_type1, "
     + ", ".join(f"avg({c}) AS {n}" for n, c in _PROFILE.items())
-    + " FROM all_steps GROUP BY stayed, Drivertype, mpp_type1",
+    + " FROM totals GROUP BY ALL",
 )
 def group_profile(a):
     return P.group_profile(pay_profile.driver_stats(a.pay_side()))
@@ -281,7 +274,7 @@ def group_profile(a):
 @register(
     "expiry_list",
     "mpp_id:s stayed:i Drivertype:s DriverName:s phone:s seniority:s Critical:i numteams:i DriverID:s",
-    "SELECT * FROM teaming_people t JOIN v_expirations e ON t.mpp_id = e.DriverID",
+    "SELECT * FROM people JOIN v_expirations ON mpp_id = DriverID",
 )
 def expiry_list(a):
     return pay_profile.expiring(_workforce(a), a.expirations())
@@ -619,8 +612,7 @@ def top_terms_liked(a):
 
 
 def _survey_band(c: str) -> str:
-    return f"""CASE WHEN {c} <= 6 THEN '<6' WHEN {c} <= 12 THEN '1 year' WHEN {c} <= 24 THEN '2 year'
-            WHEN {c} <= 60 THEN '2-5 years' WHEN {c} > 60 THEN '5+' END"""
+    return oracle.bands(c, K.SURVEY_TENURE, K.SURVEY_TENURE_ABOVE, "NULL")
 
 
 @register(

@@ -140,7 +140,7 @@ class Analogue:
         return bought.join(self.names(), F.col("id") == F.col("mpp_id")).select("DriverName", "ViolationValue")
 
     def expirations(self) -> DataFrame:
-        return self.table("customer").where("c_custkey % 4 = 1").selectExpr("CAST(c_custkey AS STRING) AS DriverID")
+        return self.table("customer").where("c_mktsegment = 'BUILDING'").selectExpr("CAST(c_custkey AS STRING) AS DriverID")
 
     # --- legs ----------------------------------------------------------------
     def legs(self) -> DataFrame:
@@ -190,7 +190,7 @@ class Analogue:
         )
 
     def dependents(self) -> DataFrame:
-        return self.table("orders").where("o_orderkey % 5 = 0").selectExpr(
+        return self.table("orders").where("o_orderpriority = '1-URGENT'").selectExpr(
             "o_custkey AS EMPLOYID",
             "CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS STRING) END AS DEPENDENTSSN",
         )
