@@ -172,7 +172,12 @@ def safety_star(a):
     return pay_profile.safety_profile(a.workforce(None))
 
 
-@register("safety_star_as_written", _STAR, "SELECT * FROM record_as_written")
+def _beyond_bigint(shape: str) -> str:
+    """The multiplied counts may be larger than a whole number column holds."""
+    return " ".join(c.replace(":i", ":d0") if c in ("Critical:i", "Violations:i", "Vio_month:i", "Vio:i") else c for c in shape.split())
+
+
+@register("safety_star_as_written", _beyond_bigint(_STAR), "SELECT * FROM record_as_written")
 def safety_star_as_written(a):
     return pay_profile.safety_profile(a.workforce(None), pay_profile.Modes(fanout="as_written"))
 
@@ -217,7 +222,7 @@ def team_statistics(a):
     return pay_profile.people(_workforce(a))
 
 
-@register("team_statistics_as_written", _PEOPLE, "SELECT * FROM people_as_written")
+@register("team_statistics_as_written", _beyond_bigint(_PEOPLE), "SELECT * FROM people_as_written")
 def team_statistics_as_written(a):
     return pay_profile.people(_workforce(a), pay_profile.Modes(fanout="as_written"))
 
@@ -247,7 +252,7 @@ def cohort_summary(a):
     return pay_profile.summary(_workforce(a))
 
 
-@register("cohort_summary_as_written", _SUMMARY, _summary_sql("people_as_written"))
+@register("cohort_summary_as_written", _beyond_bigint(_SUMMARY), _summary_sql("people_as_written"))
 def cohort_summary_as_written(a):
     return pay_profile.summary(_workforce(a), pay_profile.Modes(fanout="as_written"))
 

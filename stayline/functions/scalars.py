@@ -3,7 +3,7 @@
 All of them return plain Catalyst expressions; nothing here runs Python per row.
 """
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column
@@ -36,14 +36,23 @@ def int_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def int_avg(col: Column) -> Column:
+def wide_div(a: Column, b: Column) -> Column:
+    """Whole-number division of counts that may not fit a BIGINT."""
+    a = a.cast("decimal(38,0)")
+    return ((a - a % b) / b).cast("decimal(38,0)")
+
+
+def int_avg(col: Column, divide: Callable[[Column, Column], Column] = int_div) -> Column:
     """Average of an integer column, truncated as integer dialects do."""
-    return int_div(F.sum(col.cast("bigint")), F.count(col))
+    n = F.count(col)
+    return divide(F.sum(col), F.when(n > 0, n))
 
 
-def ratio_if_positive(a: Column, b: Column, whole: bool = False) -> Column:
-    """a / b where both are positive, otherwise 0."""
-    quotient = int_div(a, b) if whole else a / b
+def ratio_if_positive(
+    a: Column, b: Column, divide: Callable[[Column, Column], Column] | None = None
+) -> Column:
+    """a / b where both are positive, otherwise 0; by the given division."""
+    quotient = a / b if divide is None else divide(a, b)
     return F.when((a > 0) & (b > 0), quotient).otherwise(F.lit(0))
 
 

@@ -120,8 +120,12 @@ def _tighter(brackets: DataFrame, keys: list[str]) -> DataFrame:
     lo, hi, inner = F.col("lo"), F.col("hi"), F.col("inner")
     position = F.col("rank") - F.col("passed")
     step = F.try_divide(F.lit(float(GRID)), inner)  # none when only edges are left
-    down = F.when(step.isNotNull(), F.least(F.floor(position * step) - 1, F.lit(GRID))).cast("int")
-    up = F.when(step.isNotNull(), F.ceil((position + 3) * step) + 1).cast("int")
+
+    def clamped(steps: Column) -> Column:  # far beyond the grid when an edge value is heavy
+        return F.when(step.isNotNull(), F.least(F.greatest(steps, F.lit(-1)), F.lit(GRID + 1))).cast("int")
+
+    down = F.least(clamped(F.floor(position * step) - 1), F.when(step.isNotNull(), F.lit(GRID)))
+    up = clamped(F.ceil((position + 3) * step) + 1)
     steps = F.least(up, F.lit(GRID)) - F.greatest(down, F.lit(0))
     cut = brackets.select(
         *keys,
@@ -130,7 +134,7 @@ def _tighter(brackets: DataFrame, keys: list[str]) -> DataFrame:
         "part",
         F.when(down >= 1, F.try_element_at("grid", down + 1)).otherwise(lo).alias("lo"),
         F.when(position + 1 < 0, lo).when(up < GRID, F.try_element_at("grid", up + 1)).otherwise(hi).alias("hi"),
-        F.coalesce(F.ceil(steps / step + inner * (2.0 / SKETCH) + 2), F.lit(0)).alias("inside"),
+        F.least(inner, F.coalesce(F.ceil(steps / step + inner * (2.0 / SKETCH) + 2), F.lit(0))).alias("inside"),
     )
     return cut.withColumn("inside", F.when(F.col("lo") < F.col("hi"), F.col("inside")).otherwise(F.lit(0)))
 

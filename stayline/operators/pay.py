@@ -14,6 +14,20 @@ from stayline import constants as K
 from stayline.functions import scalars as S
 
 WINDOW_MONTHS = 6
+# Money has four decimals. Once lines are summed, amounts go on as whole
+# numbers of 1/10000, which add and hash much faster than wide decimals and
+# raise on overflow, and come back as decimals where they are given out.
+UNITS = 10000
+# totals have two decimals; ten digits would do for one person's usual half
+# year but not for a person with a large share of all lines
+TOTAL = "DECIMAL(18,2)"
+
+
+def money(units: str) -> str:
+    """SQL for an amount in 1/10000 as a decimal."""
+    return f"CAST({units} AS DECIMAL(20,0)) * CAST(0.0001 AS DECIMAL(5,4))"
+
+
 PERSON = ["stayed", "mpp_id"]
 WEEK = [*PERSON, "Drivertype", "mpp_type1", "pyh_payperiod"]
 FLAGS = [name for name, _, _ in K.WEEK_FLAGS]
@@ -101,7 +115,7 @@ def pay_totals(pay: DataFrame, earliest: date | None = None) -> DataFrame:
     if earliest is not None:
         pay = pay.where(F.col("pyh_payperiod") >= S.ntz(earliest))
     return pay.groupBy("asgn_id", "pyh_payperiod", "pyt_itemcode").agg(
-        F.sum("pyd_amount").alias("amount"), F.count("pyd_amount").alias("lines")
+        F.sum(F.col("pyd_amount").cast("decimal(19,4)")).alias("amount"), F.count("pyd_amount").alias("lines")
     )
 
 
@@ -122,7 +136,7 @@ def _coded(pay: DataFrame, cohorts: DataFrame, earliest: date | None) -> DataFra
         "mpp_type1",
         "Drivertype",
         S.pay_bucket("pyt_itemcode").alias("bucket"),
-        F.expr("CASE WHEN pyt_itemcode IS NOT NULL THEN amount ELSE 0 END AS amount"),
+        F.expr(f"CASE WHEN pyt_itemcode IS NOT NULL THEN CAST(amount * {UNITS} AS BIGINT) ELSE 0 END AS amount"),
         F.expr(f"CASE WHEN NOT {S.in_list('pyt_itemcode', K.UNCOUNTED_CODES)} THEN lines ELSE 0 END AS count"),
         F.expr(f"CASE WHEN pyt_itemcode = '{K.LATE_HOME_CODE}' THEN lines ELSE 0 END AS latehome"),
         F.expr(f"CASE WHEN pyt_itemcode = '{K.LAYOVER_CODE}' THEN lines ELSE 0 END AS layover"),
@@ -132,7 +146,7 @@ def _coded(pay: DataFrame, cohorts: DataFrame, earliest: date | None) -> DataFra
 def code_rows(
     pay: DataFrame, cohorts: DataFrame, earliest: date | None = None, mode: str = "as_written"
 ) -> DataFrame:
-    """Bucketed rows in narrow form: one bucket name and amount per row.
+    """Bucketed rows in narrow form: one bucket name and amount (in 1/10000) per row.
 
     As written, two codes of one bucket that agree in amount and count within a
     week collapse into one row. A zero amount looks the same in every bucket,
@@ -161,9 +175,11 @@ def pay_code_buckets(
     keys = [*PERSON, "pyh_payperiod", "mpp_terminationdt", "StartDate", "mpp_state", "mpp_type1", "Drivertype"]
     counts = ["count", "latehome", "layover"]
     if mode == "as_written":
-        return rows.selectExpr(*keys, *[f"{text} AS {name}" for name, text in BUCKET_AMOUNTS.items()], *counts)
-    sums = {**BUCKET_AMOUNTS, **{c: c for c in counts}}
-    return rows.groupBy(*keys).agg(*[F.expr(f"sum({text}) AS {name}") for name, text in sums.items()])
+        return rows.selectExpr(*keys, *[f"{money(text)} AS {name}" for name, text in BUCKET_AMOUNTS.items()], *counts)
+    return rows.groupBy(*keys).agg(
+        *[F.expr(f"{money(f'sum({text})')} AS {name}") for name, text in BUCKET_AMOUNTS.items()],
+        *[F.sum(c).alias(c) for c in counts],
+    )
 
 
 # --- weeks -------------------------------------------------------------------
@@ -177,7 +193,7 @@ def weekly_totals(rows: DataFrame) -> DataFrame:
 
     return week.selectExpr(
         *WEEK,
-        " + ".join(f"sum_{b}" for b in K.BUCKET_NAMES) + " AS weekpay",
+        money("(" + " + ".join(f"sum_{b}" for b in K.BUCKET_NAMES) + ")") + " AS weekpay",
         *[raised(b, sign, flag) for flag, b, sign in K.WEEK_FLAGS],
         "1 AS termedbinary",
         "sum_count AS count",
@@ -216,7 +232,7 @@ def driver_pay_stats(weeks: DataFrame, mode: str = "as_written") -> DataFrame:
         counted_weeks(weeks, mode)
         .groupBy(*person)
         .agg(
-            *[F.expr(f"CAST(sum({src}) AS DECIMAL(10,2)) AS {name}") for name, src in K.DRIVER_TOTALS],
+            *[F.expr(f"CAST(sum({src}) AS {TOTAL}) AS {name}") for name, src in K.DRIVER_TOTALS],
             F.max("termedbinary").alias("termedbinary"),
             F.avg("weekpay").alias("avgdriverpay"),
             F.min("weekpay").alias("low"),
@@ -228,8 +244,8 @@ def driver_pay_stats(weeks: DataFrame, mode: str = "as_written") -> DataFrame:
     # mean - week is smallest for the highest week and largest for the lowest
     return stats.withColumns(
         {
-            "mindridiff": (F.col("avgdriverpay") - F.col("high")).cast("decimal(10,2)"),
-            "maxdridiff": (F.col("avgdriverpay") - F.col("low")).cast("decimal(10,2)"),
+            "mindridiff": (F.col("avgdriverpay") - F.col("high")).cast(TOTAL),
+            "maxdridiff": (F.col("avgdriverpay") - F.col("low")).cast(TOTAL),
         }
     ).drop("low", "high")
 

@@ -16,6 +16,7 @@ from stayline.operators.joins import heaviest, look_up
 NO_ACCIDENT_DAYS = 10000
 IGNORED_EVENTS = "%Lane_Departure%"
 COUNTED_ACCIDENTS = "Chargeable"
+COUNT, PRODUCT = "decimal(19,0)", "decimal(38,0)"
 
 
 def event_counts(events: DataFrame) -> DataFrame:
@@ -120,8 +121,9 @@ def safety_star(
         same_date = F.coalesce("same_date", F.lit(1))
         event_rows = F.greatest(events_n, F.lit(1))
         vio_rows = F.greatest(F.coalesce("vio_rows", F.lit(0)), F.lit(1))
-        events_n = events_n * vio_rows * same_date
-        vio_n = vio_n * event_rows * same_date
+        # the products of three counts can outgrow a BIGINT
+        events_n = (events_n.cast(COUNT) * vio_rows * same_date).cast(PRODUCT)
+        vio_n = (vio_n.cast(COUNT) * event_rows * same_date).cast(PRODUCT)
         vio_sum = vio_sum * event_rows * same_date
     days = S.day_boundaries(F.col("last_accident"), now)
     rows = rows.select(

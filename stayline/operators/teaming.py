@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayline import constants as K
 from stayline.functions import scalars as S
@@ -77,7 +78,7 @@ def shift_legs(legs: DataFrame, city: DataFrame) -> DataFrame:
 # --- pairs -------------------------------------------------------------------
 def pair_counts(legs: DataFrame) -> DataFrame:
     """Legs per ordered pair."""
-    return legs.groupBy(*PAIR).agg(F.count(F.lit(1)).cast("int").alias("leg_count"))
+    return legs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("leg_count"))
 
 
 def with_leg_count(legs: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def pair_legs(legs: DataFrame, mode: str = "as_written", keep_last: bool = False
         )
     ends = {"first": F.min, "last": F.max} if keep_last else {"first": F.min}
     pairs = legs.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).cast("int").alias("leg_count"), *[pick(leg).alias(name) for name, pick in ends.items()]
+        F.count(F.lit(1)).alias("leg_count"), *[pick(leg).alias(name) for name, pick in ends.items()]
     )
     # both sides come from the one pair row, so the legs are read once
     one, two, rest = F.col("lgh_driver1"), F.col("lgh_driver2"), ["leg_count", *ends]
@@ -204,10 +205,11 @@ def with_team_stats(
     the sum and changes the sample deviation, but neither mean nor rank.
     """
     months, whole = F.col("seniority"), integers == "as_written"
+    divide = S.wide_div if fanout == "as_written" else S.int_div
     rows = added.where(~F.col("Drivertype").isin(K.NOT_TEAMED_CLASSES)).withColumns(
         {
             "CSA_month": S.ratio_if_positive(F.col("CSA"), months),
-            "Vio_month": S.ratio_if_positive(F.col("Violations"), months, whole=whole),
+            "Vio_month": S.ratio_if_positive(F.col("Violations"), months, divide if whole else None),
         }
     )
     rows = rows.join(history_stats(teaming), F.col("mpp_id") == F.col("t_id"), "left")
@@ -241,12 +243,18 @@ def cohort_summary(people: DataFrame, integers: str = "as_written") -> DataFrame
     Measures that are whole numbers have whole averages, as the integer
     dialect computes them, unless integers is as_intended.
     """
-    whole = S.int_avg if integers == "as_written" else F.avg
     col = F.col
+
+    def whole(column: str):
+        if integers != "as_written":
+            return F.avg(column)
+        wide = isinstance(people.schema[column].dataType, T.DecimalType)
+        return S.int_avg(col(column), S.wide_div if wide else S.int_div)
+
     return (
         people.groupBy("stayed", "Drivertype", "seniority")
         .agg(
-            whole(col("Critical")).alias("Critical"),
+            whole("Critical").alias("Critical"),
             F.avg("endorsecount").alias("endorse"),
             F.avg("chargebackcount").alias("chargeback"),
             F.avg("safetycount").alias("safety"),
@@ -257,10 +265,10 @@ def cohort_summary(people: DataFrame, integers: str = "as_written") -> DataFrame
             F.avg("groupavgpay").alias("avgpay"),
             F.count(F.lit(1)).alias("count"),
             F.avg("CSA_month").alias("CSA"),
-            whole(col("Vio_month")).alias("Vio"),
-            whole(col("numteams")).alias("numteams"),
+            whole("Vio_month").alias("Vio"),
+            whole("numteams").alias("numteams"),
             F.avg(col("numteams") - col("partsolo")).alias("solo"),
-            whole(col("avgtenure")).alias("avgtenure"),
+            whole("avgtenure").alias("avgtenure"),
             F.avg("stdevtenure").alias("stdevtenure"),
         )
         .orderBy("Drivertype", "seniority", "stayed")

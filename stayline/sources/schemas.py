@@ -33,7 +33,7 @@ SAFETY_EVENTS = _schema("DriverID STRING, EventTrigger STRING")
 ACCIDENTS = _schema("MISC2_NM STRING, REPORT_DT TIMESTAMP_NTZ, SPECIAL23 STRING")
 VIOLATIONS = _schema("DriverName STRING, ViolationValue STRING")
 TEAMING = _schema(
-    "rownames STRING, DriverID STRING, team_binary DOUBLE, leg_count INT, "
+    "rownames STRING, DriverID STRING, team_binary DOUBLE, leg_count BIGINT, "
     "lgh_enddateEST TIMESTAMP_NTZ"
 )
 LEGS = _schema(

@@ -111,3 +111,22 @@ def test_missing_values_are_left_out(spark):
     got = {r["column"]: (r["count"], r["std"], r["p50"]) for r in N.describe(df).collect()}
     assert got == {"a": (1, None, 2.0), "b": (1, None, 1.0)}
     assert N.numeric_columns(df.withColumn("s", F.lit("x"))) == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    "rank, passed, lo, hi, inside",
+    [
+        (10**13, 10, 1000.0, 2000.0, 5),  # both ranks lie on the upper edge
+        (5, 10**13, 0.0, 0.0, 0),  # both ranks lie on the lower edge
+        (12, 10, 399.0, 2000.0, 5),
+    ],
+)
+def test_brackets_next_to_a_very_heavy_edge(spark, rank, passed, lo, hi, inside):
+    row = ("c", 0.5, rank, 0.0, 0.0, 2000.0, [float(i) for i in range(N.GRID + 1)], 5, passed)
+    df = spark.createDataFrame(
+        [row],
+        "column STRING, prob DOUBLE, rank BIGINT, part DOUBLE, lo DOUBLE, hi DOUBLE, grid ARRAY<DOUBLE>, inner BIGINT, passed BIGINT",
+    )
+    got = N._tighter(df, ["column"]).first()
+    assert (got["lo"], got["hi"]) == (lo, hi)
+    assert got["inside"] <= inside

@@ -76,9 +76,22 @@ def test_int_avg(spark):
     assert df.select(S.int_avg(F.col("n"))).first()[0] == 1
 
 
-@pytest.mark.parametrize("a, b, whole, want", [(7, 2, True, 3), (7, 2, False, 3.5), (7, 0, False, 0), (0, 2, True, 0)])
-def test_ratio_if_positive(one, a, b, whole, want):
-    assert one(S.ratio_if_positive(F.lit(a), F.lit(b), whole)) == want
+def test_wide_division_is_exact(one):
+    big = 10**30 + 5
+    assert one(S.wide_div(F.lit(str(big)), F.lit(7))) == big // 7
+    assert one(S.wide_div(F.lit(6), F.lit(7))) == 0
+
+
+def test_int_avg_of_nothing_is_missing(spark):
+    df = spark.createDataFrame([(None,)], "n INT")
+    assert df.select(S.int_avg(F.col("n"))).first()[0] is None
+
+
+@pytest.mark.parametrize(
+    "a, b, divide, want", [(7, 2, S.int_div, 3), (7, 2, S.wide_div, 3), (7, 2, None, 3.5), (7, 0, None, 0), (0, 2, S.int_div, 0)]
+)
+def test_ratio_if_positive(one, a, b, divide, want):
+    assert one(S.ratio_if_positive(F.lit(a), F.lit(b), divide)) == want
 
 
 def test_ratio_of_missing_is_zero(one):
