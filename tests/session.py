@@ -12,6 +12,7 @@ def make_session(cores: str | None = None, **conf) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("stayline")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
