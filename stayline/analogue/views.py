@@ -150,7 +150,7 @@ class Analogue:
             "CASE WHEN l_linenumber = 7 THEN 'UNKNOWN' ELSE concat('D', l_suppkey) END AS lgh_driver1",
             "CASE WHEN l_partkey % 4 = 0 THEN 'UNKNOWN' ELSE concat('D', l_partkey % 100) END AS lgh_driver2",
             "l_shipdate AS lgh_startdate",
-            "l_shipdate + make_dt_interval(0, CAST(l_quantity AS INT)) AS lgh_enddate",
+            "l_shipdate + INTERVAL '1' HOUR * CAST(l_quantity AS INT) AS lgh_enddate",
             "CASE WHEN l_returnflag = 'R' THEN 'SOLU' ELSE l_returnflag END AS lgh_class1",
             "l_linestatus AS trc_division",
             "CAST(l_suppkey % 25 AS STRING) AS lgh_startcity",

@@ -73,7 +73,7 @@ def day_boundaries(start: Column, end: Column) -> Column:
 
 
 def shift_hours(moment: Column, hours: Column) -> Column:
-    return moment + F.make_dt_interval(F.lit(0), hours.cast("int"))
+    return moment + F.expr("INTERVAL '1' HOUR") * hours.cast("int")
 
 
 def hours_between(start: Column, end: Column) -> Column:
