@@ -52,7 +52,7 @@ QUERIES = {
 _QUALITY_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS rows FROM t),
-l AS (SELECT *, list_filter(rows, x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+l AS (SELECT *, list_filter(rows, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
 p AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2),
 g AS (SELECT r, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM p),
 n AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM g),
@@ -61,7 +61,7 @@ c AS (
     SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
         coalesce(marked, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_marks,
-        len(list_filter(words, x -> length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_capitals
+        len(list_filter(words, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_capitals
     FROM l LEFT JOIN m USING (r)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
@@ -76,7 +76,7 @@ _WARC_SQL = """
 WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM t),
 q AS (
-    SELECT *, array_to_string(list_transform(range(8), g -> array_to_string(list_transform(range(4), k ->
+    SELECT *, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda k:
         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (CAST('0x' || substr(hex, CAST(1 + 5 * g AS BIGINT), 5) AS BIGINT) // CAST(32 ** (3 - k) AS BIGINT)) % 32 AS BIGINT), 1)), '')), '') AS payload_digest
     FROM d
 )

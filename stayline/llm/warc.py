@@ -87,7 +87,7 @@ class Bundle:
 
         self.path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         system, inner = opened(self.path)
-        self.out = system.open_output_stream(inner)
+        self.out = system.open_output_stream(inner, compression=None)  # the frames are made here
         self.packer = zstandard.ZstdCompressor(level=LEVEL)
         self.frames: list[tuple[int, int]] = []
         self.open, self.size = bytearray(), 0
