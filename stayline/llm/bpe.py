@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayline.llm.common import written
+
 #: Code points of a chunk, and how far it reaches into the next one.
-CHUNK, OVERLAP = 16_384, 1_024
+CHUNK, OVERLAP = 65_536, 1_024
 #: Boundaries closer than this to the end of a chunk are not trusted: an alternative of the pattern may be cut there.
 MARGIN = 8
 #: Pieces whose ids a worker remembers.
@@ -82,10 +84,11 @@ def _encoder(ranks: str, pattern: str):
 
 
 def _chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    number = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("chunk")
+    final = F.floor((F.length("text") - 1) / chunk).cast("int")
+    rows = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", final.alias("final"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("final"))).alias("chunk"))
     part: Column = F.substring(F.col("text"), F.col("chunk") * chunk + 1, F.lit(chunk + overlap))
-    last = F.floor((F.length("text") - 1) / chunk).cast("int") == F.col("chunk")
-    return texts.select("*", number).select("doc_id", "copies", "print", "chunk", last.alias("last"), part.alias("part"))
+    return rows.select("doc_id", "row", "chunk", (F.col("chunk") == F.col("final")).alias("last"), part.alias("part"))
 
 
 def _boundaries(pattern: str, ranks: str):
@@ -109,8 +112,8 @@ def _cut_encoder(ranks: str, pattern: str):
                 end = len(row["part"]) if row["to"] is None else row["to"]
                 own = [s for s in row["starts"] if row["from"] <= s < end]
                 ids.append(_ids([row["part"][a:b] for a, b in zip(own, [*own[1:], end])], memory))
-            keys = [batch.column(n) for n in ("doc_id", "copies", "print", "chunk")]
-            yield pa.RecordBatch.from_arrays([*keys, _lists(ids)], ["doc_id", "copies", "print", "chunk", "ids"])
+            keys = [batch.column(n) for n in ("doc_id", "row", "chunk")]
+            yield pa.RecordBatch.from_arrays([*keys, _lists(ids)], ["doc_id", "row", "chunk", "ids"])
 
     return run
 
@@ -121,35 +124,26 @@ def encode(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHUNK, overla
     kind = docs.schema["doc_id"].dataType.simpleString()
     short = docs.where(F.length("text") <= chunk).mapInArrow(_encoder(ranks, pattern), f"doc_id {kind}, ids array<int>")
 
-    # equal rows are encoded once; `print` tells apart different texts under one id
-    long = docs.where(F.length("text") > chunk).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    long = long.withColumn("print", F.sha2("text", 256))
-    parts = _chunks(long, chunk, overlap).repartition("doc_id", "print", "chunk")
-    fields = f"doc_id {kind}, copies long, print string, chunk int, last boolean, part string"
-    split = parts.mapInArrow(_boundaries(pattern, ranks), f"{fields}, starts array<int>")
-    ahead = split.where("chunk > 0").select(
-        F.col("doc_id").alias("next_id"),
-        F.col("print").alias("next_print"),
-        (F.col("chunk") - 1).alias("before"),
-        F.filter("starts", lambda s: s <= overlap - MARGIN).alias("head"),
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("print") == F.col("next_print")) & (F.col("chunk") == F.col("before"))
+    # the chunks of long texts are written with their boundaries, so that nothing is split twice and row numbers stay
+    parts = _chunks(docs.where(F.length("text") > chunk), chunk, overlap).repartition("row", "chunk")
+    split = written(parts.mapInArrow(_boundaries(pattern, ranks), f"doc_id {kind}, row long, chunk int, last boolean, part string, starts array<int>"))
     tail = F.transform(F.filter("starts", lambda s: (s >= chunk) & (s <= chunk + overlap - MARGIN)), lambda s: s - chunk)
-    met = split.join(ahead, same, "left").withColumn("cut", F.array_min(F.array_intersect(tail, F.col("head"))))
-    cuts = met.select("doc_id", "print", (F.col("chunk") + 1).alias("after"), "cut", "last")
-    lost = cuts.where("not last and cut is null").select(F.col("doc_id").alias("lost_id"), F.col("print").alias("lost_print")).distinct()
-
-    own = cuts.where("not last").select(F.col("doc_id").alias("cut_id"), F.col("print").alias("cut_print"), "after", F.col("cut").alias("from"))
-    begun = met.join(own, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("print") == F.col("cut_print")) & (F.col("chunk") == F.col("after")), "left")
-    pieces = begun.select("doc_id", "copies", "print", "chunk", "part", "starts", F.when(F.col("chunk") == 0, 0).otherwise(F.col("from")).alias("from"), F.when(F.col("last"), None).otherwise(F.col("cut") + chunk).alias("to"))
-    unlost = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("print") == F.col("lost_print"))
-    ready = pieces.join(lost, unlost, "left_anti").mapInArrow(_cut_encoder(ranks, pattern), f"doc_id {kind}, copies long, print string, chunk int, ids array<int>")
-    joined = ready.groupBy("doc_id", "print", "copies").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("all"))
-    stitched = joined.select("doc_id", "copies", F.flatten(F.col("all.ids")).alias("ids"))
-    whole = long.join(lost, unlost, "left_semi").select(F.struct("doc_id", "copies").alias("doc_id"), "text")
-    whole = whole.mapInArrow(_encoder(ranks, pattern), f"doc_id struct<doc_id: {kind}, copies: long>, ids array<int>").select("doc_id.doc_id", "doc_id.copies", "ids")
-    both = stitched.union(whole).select("doc_id", "ids", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
-    return short.union(both.select("doc_id", "ids"))
+    tails = split.where("not last").select("row", (F.col("chunk") + 1).alias("chunk"), tail.alias("tail"))
+    heads = split.where("chunk > 0").select("row", "chunk", F.filter("starts", lambda s: s <= overlap - MARGIN).alias("head"))
+    met = written(tails.join(heads, ["row", "chunk"]).select("row", "chunk", F.array_min(F.array_intersect("tail", "head")).alias("cut")))
+    lost = met.where("cut is null").select("row").distinct()
+
+    begin = met.select("row", "chunk", F.col("cut").alias("from"))
+    end = met.select("row", (F.col("chunk") - 1).alias("chunk"), (F.col("cut") + chunk).alias("to"))
+    own = split.join(begin, ["row", "chunk"], "left").join(end, ["row", "chunk"], "left").join(lost, "row", "left_anti")
+    own = own.select("doc_id", "row", "chunk", "part", "starts", F.coalesce("from", F.lit(0)).alias("from"), "to")
+    ready = own.mapInArrow(_cut_encoder(ranks, pattern), f"doc_id {kind}, row long, chunk int, ids array<int>")
+    stitched = ready.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("all"))
+    # no common boundary within an overlap: the text is put together again and split as a whole
+    again = split.join(lost, "row").select("row", "doc_id", "chunk", F.when(F.col("last"), F.col("part")).otherwise(F.substring("part", 1, chunk)).alias("part"))
+    again = again.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.sort_array(F.collect_list(F.struct("chunk", "part"))).getField("part"), "").alias("text"))
+    whole = again.select("doc_id", "text").mapInArrow(_encoder(ranks, pattern), f"doc_id {kind}, ids array<int>")
+    return short.union(stitched.select("doc_id", F.flatten(F.col("all.ids")).alias("ids"))).union(whole)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
