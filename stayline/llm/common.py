@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,36 +61,63 @@ def streamed(df: DataFrame, keys: list[str], function: Callable[[pa.Table], Iter
     return dealt.mapInArrow(run, schema)
 
 
+def paired_blocks(members: DataFrame, key: str, member: str, blocks) -> DataFrame:
+    """Split groups into numbered blocks and hand every pair of blocks to one task: adds `low` and `high`, the pair.
+
+    `blocks` is a column with the group's number of blocks. A group of one block stays as it is; in a larger one each
+    member goes to every pair its block is part of, so any two members meet in some pair.
+    """
+    own = F.pmod(F.xxhash64(member, F.lit(17)), blocks)
+    others = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")), lambda x: x != F.col("own")))
+    met = members.withColumn("own", own.cast("long")).withColumn("other", F.explode(others))
+    return met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("own", "other")
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix, the first row it is connected with (itself, if it is the first)."""
+    root = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if root[i] < 0:
+            reached = np.zeros(len(linked), bool)
+            reached[i] = True
+            front = reached
+            while front.any():
+                front = linked[front].any(0) & ~reached
+                reached |= front
+            root[reached & (root < 0)] = i
+    return root
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of the undirected edges (u, v): one row (node, component) per node that has an edge.
+    """Connected components of the undirected edges (u, v): one row (node, component) per node that has an edge to another.
 
     Alternating star contraction: every node hands its larger neighbours to its smallest one, then its smaller
     neighbours likewise, until nothing changes. The smallest neighbour is an aggregate with map-side combine and comes
     back by a join, so a node with very many edges is never gathered; each round is written to the shared folder.
     """
 
-    def distinct(df: DataFrame) -> DataFrame:
-        return df.where("u <> v").distinct()
+    def stars(small: DataFrame, lowest: DataFrame) -> DataFrame:
+        return written(small.union(lowest).where("u <> v").distinct())
 
     def print_of(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        return tuple(row)
+        return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
 
-    now = written(distinct(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
+    none = edges.select("u", "v").limit(0)
+    now = stars(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), none)
     seen = print_of(now)
     for _ in range(rounds):
+        if not seen[0]:
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = distinct(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(distinct(small.union(low.select("u", F.col("m").alias("v")))))
+        now = stars(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), low.select("u", "m"))
         after = print_of(now)
         if after == seen:
             break
         seen = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    members = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return members.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("c")), F.struct(F.col("v").alias("node"), F.col("v").alias("c")))).alias("e"))
+    return ends.groupBy("e.node").agg(F.min("e.c").alias("component"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe, chat, mixing, quality, toxicity, warc
+from stayline.llm import bpe, chat, minhash, mixing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), percent=85)
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op5_toxicity": op5_toxicity,
@@ -80,6 +84,7 @@ QUERIES = {
     "op7_mixture": op7_mixture,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_warc": op9_warc,
+    "op10_minhash": op10_minhash,
 }
 
 _CHAT_SQL = r"""
