@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.sources.tables import new_path
@@ -61,16 +61,19 @@ def streamed(df: DataFrame, keys: list[str], function: Callable[[pa.Table], Iter
     return dealt.mapInArrow(run, schema)
 
 
-def paired_blocks(members: DataFrame, key: str, member: str, blocks) -> DataFrame:
-    """Split groups into numbered blocks and hand every pair of blocks to one task: adds `low` and `high`, the pair.
+def paired_blocks(members: DataFrame, member: str, blocks: Column, within: bool = False) -> DataFrame:
+    """Split groups into numbered blocks and hand every pair of blocks to one task: adds `own`, the member's block, and
+    `low` and `high`, the pair.
 
     `blocks` is a column with the group's number of blocks. A group of one block stays as it is; in a larger one each
-    member goes to every pair its block is part of, so any two members meet in some pair.
+    member goes to every pair its block is part of, so any two members meet in some pair. With `within`, the pairs of a
+    block with itself are tasks too, so members of one block need not be compared in the others.
     """
     own = F.pmod(F.xxhash64(member, F.lit(17)), blocks)
-    others = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")), lambda x: x != F.col("own")))
+    every = F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))
+    others = every if within else F.when(blocks == 1, every).otherwise(F.filter(every, lambda x: x != F.col("own")))
     met = members.withColumn("own", own.cast("long")).withColumn("other", F.explode(others))
-    return met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("own", "other")
+    return met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
 
 
 def forest(linked: np.ndarray) -> np.ndarray:

@@ -130,7 +130,7 @@ def candidates(classes: DataFrame, matches: int, block: int = BLOCK) -> DataFram
     prefix = left.where(F.size("all") >= matches).select("rep", F.explode(F.slice("all", F.lit(1), F.size("all") - matches + 1)).alias("of"))
     lists = written(prefix.select("rep", "of.token").join(classes.select("rep", "signature"), "rep"))
     sizes = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    members = paired_blocks(lists.join(sizes, "token"), "token", "rep", F.ceil(F.col("n") / block)).drop("n")
+    members = paired_blocks(lists.join(sizes, "token"), "rep", F.ceil(F.col("n") / block)).drop("n")
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         if group.num_rows < 2:
@@ -186,7 +186,7 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, percent: int, block
     held = written(held.dropDuplicates(["rep", "of"]))  # a row may be repeated
     sizes = held.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("sum"))
     blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("sum") / room))
-    met = paired_blocks(held.join(sizes, "component"), "component", "rep", blocks).drop("members", "sum")
+    met = paired_blocks(held.join(sizes, "component"), "rep", blocks).drop("members", "sum")
 
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         if group.num_rows < 2:

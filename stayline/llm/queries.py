@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe, chat, minhash, mixing, quality, toxicity, warc
+from stayline.llm import bpe, caps, chat, minhash, mixing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_spherical_caps(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     scored = toxicity.scored(docs, toxicity.fitted(docs, _table(spark, folder, "labels")))
@@ -79,6 +83,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op4_spherical_caps": op4_spherical_caps,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixture": op7_mixture,
@@ -141,4 +146,15 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
-SQL = {"op3_chat_format": _CHAT_SQL, "op6_quality_rules": _QUALITY_SQL, "op9_warc": _WARC_SQL}
+_CAPS_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+c(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.a, c.root FROM c JOIN l ON l.b = c.id WHERE c.root < l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.root AS component_id, e.vec_id = m.root AS kept
+FROM embeddings e JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) m ON m.id = e.vec_id
+"""
+
+SQL = {"op4_spherical_caps": _CAPS_SQL, "op3_chat_format": _CHAT_SQL, "op6_quality_rules": _QUALITY_SQL, "op9_warc": _WARC_SQL}
