@@ -7,13 +7,17 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe, caps, chat, minhash, mixing, quality, toxicity, warc
+from stayline.llm import bpe, brown, caps, chat, minhash, mixing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.scored(_table(spark, folder, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     said = json.dumps({"messages": [{"role": "user", "content": tricky}, {"role": "assistant", "content": tricky}]})
@@ -82,6 +86,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_brown_lm": op1_brown_lm,
     "op3_chat_format": op3_chat_format,
     "op4_spherical_caps": op4_spherical_caps,
     "op5_toxicity": op5_toxicity,
