@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe, brown, caps, chat, minhash, mixing, quality, toxicity, warc
+from stayline.llm import bpe, brown, caps, chat, extract, minhash, mixing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
     return brown.scored(_table(spark, folder, "documents"))
 
 
+def op2_html_tree(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url", "html")
+    return extract.extracted(pages, extract.trained(spark))
+
+
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     said = json.dumps({"messages": [{"role": "user", "content": tricky}, {"role": "assistant", "content": tricky}]})
@@ -87,6 +92,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
+    "op2_html_tree": op2_html_tree,
     "op3_chat_format": op3_chat_format,
     "op4_spherical_caps": op4_spherical_caps,
     "op5_toxicity": op5_toxicity,
