@@ -63,7 +63,7 @@ def op7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(_table(spark, folder, "documents"))
 
 
-def _bpe_parameters() -> tuple[str, str]:
+def bpe_parameters() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -71,7 +71,7 @@ def _bpe_parameters() -> tuple[str, str]:
 
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, *_bpe_parameters()), *_bpe_parameters())
+    decoded = bpe.decode(bpe.encode(docs, *bpe_parameters()), *bpe_parameters())
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id",
