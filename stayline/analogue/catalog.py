@@ -23,7 +23,7 @@ from stayline.operators import pay as P
 from stayline.operators import safety, teaming
 from stayline.operators import text as X
 from stayline.plans import demographics, pay_profile, survey, team_history
-from stayline.sources import tables
+from stayline.sources import schemas, tables
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,7 @@ def safety_star(a):
 
 def _beyond_bigint(shape: str) -> str:
     """The multiplied counts may be larger than a whole number column holds."""
-    return " ".join(c.replace(":i", ":d0") if c in ("Critical:i", "Violations:i", "Vio_month:i", "Vio:i") else c for c in shape.split())
+    return " ".join(c.replace(":i", ":d0") if c in ("Critical:i", "Violations:i") else c for c in shape.split())
 
 
 @register("safety_star_as_written", _beyond_bigint(_STAR), "SELECT * FROM record_as_written")
@@ -212,8 +212,8 @@ def tenure_bands(a):
 
 
 _PEOPLE = (
-    "mpp_id:s stayed:i Drivertype:s DriverName:s phone:s seniority:s Critical:i daystoacc:i CSA_month:d6 Vio_month:i "
-    "numteams:i partsolo:d2 avgtenure:i stdevtenure:d6 maxrank:i"
+    "mpp_id:s stayed:i Drivertype:s DriverName:s phone:s seniority:s Critical:i daystoacc:i CSA_month:d6 Vio_month:d6 "
+    "numteams:i partsolo:d2 avgtenure:d6 stdevtenure:d6 maxrank:i"
 )
 
 
@@ -228,8 +228,8 @@ def team_statistics_as_written(a):
 
 
 _SUMMARY = (
-    "stayed:i Drivertype:s seniority:s Critical:i endorse:d6 chargeback:d6 safety:d6 correction:d6 latehome:d6 "
-    "layover:d6 paydetails:d6 avgpay:d6 count:i CSA:d6 Vio:i numteams:i solo:d6 avgtenure:i stdevtenure:d6"
+    "stayed:i Drivertype:s seniority:s Critical:d6 endorse:d6 chargeback:d6 safety:d6 correction:d6 latehome:d6 "
+    "layover:d6 paydetails:d6 avgpay:d6 count:i CSA:d6 Vio:d6 numteams:d6 solo:d6 avgtenure:d6 stdevtenure:d6"
 )
 
 
@@ -348,7 +348,7 @@ def team_first_and_last_leg(a):
     return teaming.pair_legs(on_clock, keep_last=True)
 
 
-@register("teaming_sink", _TEAMS, None)
+@register("teaming_sink", _TEAMS, "SELECT * FROM teaming_legs")
 def teaming_sink(a):
     """Written to the shared folder and read back."""
     path = tables.new_path(a.spark, "teaming")
@@ -356,6 +356,15 @@ def teaming_sink(a):
     return tables.read_parquet(a.spark, path)
 
 
+@register("teaming_append", _TEAMS, "SELECT * FROM teaming_legs UNION ALL SELECT * FROM teaming_legs")
+def teaming_append(a):
+    """Written twice to the shared folder, the second time appended, and read back."""
+    path = tables.new_path(a.spark, "teaming")
+    for _ in range(2):
+        tables.append_parquet(_history(a), path)
+    return tables.read_parquet(a.spark, path)
+
+
 # --- personal characteristics ------------------------------------------------
 def _people(a: V.Analogue) -> DataFrame:
     return demographics.people(a.retention(), a.hr(), a.dependents())
@@ -385,6 +394,23 @@ def demographic_labels(a):
     return _people(a)
 
 
+@register(
+    "demographics_from_csv",
+    "mpp_id:s stayed:s GENDER:s MARITALSTATUS:s ETHNORGN:s DEPENDENTSSN:s dayshome:d6",
+    "SELECT * FROM labelled",
+)
+def demographics_from_csv(a):
+    """The workload from CSV files that hold more columns, in another order, than it declares."""
+
+    def stored(df: DataFrame, schema) -> DataFrame:
+        path = tables.new_path(a.spark, "csv")
+        tables.write_csv(df.select(F.lit("x").alias("Region"), *reversed(df.columns), F.lit(1).alias("Rank")), path)
+        return tables.read_csv(a.spark, path, schema)
+
+    retention = a.retention().withColumns({c: F.lit(0.0) for c in K.RETENTION_DROPPED if c != "phone"}).withColumn("phone", F.lit("5"))
+    return demographics.people(stored(retention, schemas.RETENTION), stored(a.hr(), schemas.HR), stored(a.dependents(), schemas.DEPENDENTS))
+
+
 _CHARACTERISTICS = ["GENDER", "MARITALSTATUS", "ETHNORGN"]
 
 
@@ -394,13 +420,8 @@ def _margins_sql(column: str) -> str:
 
 
 def _by_characteristic(a: V.Analogue, with_share: bool) -> DataFrame:
-    people, parts = _hr_people(a), None
-    for c in _CHARACTERISTICS:
-        table = C.crosstab(people, "stayed", c)
-        table = C.with_share(table, "stayed", c) if with_share else table
-        part = table.withColumnRenamed(c, "label").withColumn("characteristic", F.lit(c))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    table = C.crosstab_each(_hr_people(a), "stayed", _CHARACTERISTICS)
+    return C.with_share(table, "stayed", ["characteristic", "label"]) if with_share else table
 
 
 @register(
@@ -447,6 +468,18 @@ def crosstab_wide(a):
     return C.wide(table, "stayed", "GENDER", ["MALE", "FEMALE", "UNKNOWN", C.ALL])
 
 
+@register("crosstab_margin_names", "stayed:s label:s n:i all_stayed:i all_labels:i", """
+SELECT CASE WHEN grouping(stayed) = 1 THEN 'All' ELSE stayed END AS stayed, CASE WHEN grouping(label) = 1 THEN 'All' ELSE label END AS label,
+       count(*) AS n, grouping(stayed) AS all_stayed, grouping(label) AS all_labels
+FROM (SELECT stayed, CASE GENDER WHEN 'MALE' THEN 'All' WHEN 'FEMALE' THEN '' ELSE GENDER END AS label FROM labelled) t
+GROUP BY CUBE (stayed, label)""")
+def crosstab_margin_names(a):
+    """Labels that read like a margin stay cells of their own."""
+    renamed = F.expr("CASE GENDER WHEN 'MALE' THEN 'All' WHEN 'FEMALE' THEN '' ELSE GENDER END")
+    table = C.crosstab(_hr_people(a).withColumn("label", renamed), "stayed", "label", keep_levels=True)
+    return table.withColumnsRenamed({C.ROW_TOTAL: "all_stayed", C.COLUMN_TOTAL: "all_labels"})
+
+
 _MEASURES = ["active_driving_day_per", "dayshome", "active_driving_day_count"]
 _MEANS = "stayed:s DEPENDENTSSN:s MARRIED:d8 SINGLE:d8 UNKNOWN:d8"
 
@@ -555,7 +588,7 @@ def distinct_values(a):
 @register(
     "preview",
     "mpp_id:s mpp_type1:s mpp_type2:s mpp_hiredate:t",
-    "SELECT * FROM v_profile ORDER BY mpp_hiredate, mpp_id LIMIT 30",
+    "SELECT * FROM v_profile ORDER BY mpp_hiredate NULLS FIRST, mpp_id LIMIT 30",
 )
 def preview(a):
     return tables.preview(a.profile(), 30, ["mpp_hiredate", "mpp_id"])

@@ -21,8 +21,8 @@ from stayline.sources.tables import small_table
 
 AS_OF = datetime(2000, 6, 15)
 CUTOFF = date(1998, 1, 1)
-FIRST_DAY = date(1995, 1, 1)
-LAST_DAY = date(2001, 12, 31)
+FIRST_DAY = date(1995, 6, 1)
+LAST_DAY = date(2000, 6, 30)
 
 CLASS_CODES = ["TD1", "OO", "LOCAL", "TR2", "OTR", None, "STUD"]
 PAY_CODES = [
@@ -78,16 +78,16 @@ class Analogue:
 
         return self.table("customer").selectExpr(
             "CAST(c_custkey AS STRING) AS mpp_id",
-            f"CASE WHEN c_custkey % 3 = 0 THEN {days_after(CUTOFF, 'c_custkey % 365')} "
+            f"CASE WHEN c_custkey % 3 = 0 THEN {days_after(CUTOFF, 'c_custkey % 365 - 60')} "
             f"ELSE {moment(K.ACTIVE_UNTIL)} END AS mpp_terminationdt",
             "concat('S', c_nationkey) AS mpp_state",
-            "CASE WHEN c_nationkey % 5 = 0 THEN 'lease' ELSE 'company' END AS mpp_type1",
+            "CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_nationkey % 5 = 0 THEN 'lease' ELSE 'company' END AS mpp_type1",
             f"{pick('c_custkey', CLASS_CODES)} AS mpp_type2",
             "CASE WHEN c_custkey % 3 = 0 THEN 'OUT' ELSE 'ACT' END AS mpp_status",
             "CASE WHEN c_custkey % 50 <> 0 THEN c_mktsegment END AS mpp_firstname",
             "c_name AS mpp_lastname",
             "concat('555-', c_custkey) AS mpp_currentphone",
-            f"{days_after(date(1995, 1, 1), 'c_custkey * 7 % 2000')} AS mpp_hiredate",
+            f"CASE WHEN c_custkey % 43 <> 0 THEN {days_after(date(1995, 1, 1), 'c_custkey * 7 % 2000')} END AS mpp_hiredate",
         )
 
     def pay_lines(self, since: date | None = None) -> DataFrame:
@@ -118,7 +118,7 @@ class Analogue:
     def events(self) -> DataFrame:
         return self.table("events").selectExpr(
             "CAST(user_id AS STRING) AS DriverID",
-            "CASE WHEN event_type = 'view' THEN 'X_Lane_Departure_Y' ELSE event_type END AS EventTrigger",
+            "CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'X Lane-Departure Y' WHEN event_type = 'view' THEN 'X_Lane_Departure_Y' ELSE event_type END AS EventTrigger",
         )
 
     def accidents(self) -> DataFrame:
@@ -145,16 +145,18 @@ class Analogue:
     # --- legs ----------------------------------------------------------------
     def legs(self) -> DataFrame:
         return self.table("lineitem").selectExpr(
-            "CAST(l_orderkey AS STRING) AS ord_hdrnumber",
-            "CAST(l_orderkey * 10 + l_linenumber AS STRING) AS lgh_number",
-            "CASE WHEN l_linenumber = 7 THEN 'UNKNOWN' ELSE concat('D', l_suppkey) END AS lgh_driver1",
+            "CASE WHEN l_partkey % 97 <> 0 THEN CAST(l_orderkey AS STRING) END AS ord_hdrnumber",
+            "CASE WHEN l_partkey % 89 <> 0 THEN CAST(l_orderkey * 10 + l_linenumber AS STRING) END AS lgh_number",
+            "CASE WHEN l_linenumber = 7 THEN 'UNKNOWN' WHEN l_partkey % 83 = 0 THEN NULL "
+            "WHEN l_partkey % 5 = 0 THEN concat(' D', l_suppkey, char(9)) ELSE concat('D', l_suppkey) END AS lgh_driver1",
             "CASE WHEN l_partkey % 4 = 0 THEN 'UNKNOWN' ELSE concat('D', l_partkey % 100) END AS lgh_driver2",
             "l_shipdate AS lgh_startdate",
             "l_shipdate + INTERVAL '1' HOUR * CAST(l_quantity AS INT) AS lgh_enddate",
-            "CASE WHEN l_returnflag = 'R' THEN 'SOLU' ELSE l_returnflag END AS lgh_class1",
+            "CASE WHEN l_partkey % 79 = 0 THEN NULL WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'solu ' "
+            "WHEN l_returnflag = 'R' THEN 'SOLU' ELSE l_returnflag END AS lgh_class1",
             "l_linestatus AS trc_division",
             "CAST(l_suppkey % 25 AS STRING) AS lgh_startcity",
-            "CAST(l_partkey % 25 AS STRING) AS lgh_endcity",
+            "CAST(l_partkey % 26 AS STRING) AS lgh_endcity",
         )
 
     def city(self) -> DataFrame:
@@ -182,16 +184,16 @@ class Analogue:
 
     # --- human resources -----------------------------------------------------
     def hr(self) -> DataFrame:
-        return self.table("customer").selectExpr(
+        return self.table("customer").where("c_custkey % 13 <> 0").selectExpr(
             "c_custkey AS EMPLOYID",
             "CASE WHEN c_custkey % 17 <> 0 THEN CAST((c_custkey DIV 7) % 4 AS INT) END AS GENDER",
             "c_nationkey % 9 AS ETHNORGN",
-            "CAST(c_custkey % 4 AS INT) AS MARITALSTATUS",
+            "CAST(c_custkey % 5 AS INT) AS MARITALSTATUS",
         )
 
     def dependents(self) -> DataFrame:
-        return self.table("orders").where("o_orderpriority = '1-URGENT'").selectExpr(
-            "o_custkey AS EMPLOYID",
+        return self.table("orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_custkey % 19 = 0").selectExpr(
+            "CASE WHEN o_orderkey % 29 <> 0 THEN o_custkey END AS EMPLOYID",
             "CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey AS STRING) END AS DEPENDENTSSN",
         )
 

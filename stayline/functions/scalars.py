@@ -21,6 +21,16 @@ def ntz(moment: date | datetime) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+MODES = ("as_written", "as_intended")
+
+
+def as_written(mode: str) -> bool:
+    """Whether a definition is taken by its letter; any mode but the two is an error."""
+    if mode not in MODES:
+        raise ValueError(f"mode is {mode!r}, not one of {', '.join(MODES)}")
+    return mode == "as_written"
+
+
 def moment_or_now(as_of: date | datetime | None) -> Column:
     return ntz(as_of) if as_of is not None else F.localtimestamp()
 
@@ -100,9 +110,9 @@ def trim_ws(col: Column) -> Column:
 
 
 def text_key(col: Column, numeric: bool = False) -> Column:
-    """Ids as text without a fraction: 12, 12.0 and '12.0' all give '12'."""
+    """Ids as text without a fraction: 12, 12.0 and '12.0' all give '12'; what is no number gives NULL."""
     if numeric:
-        return col.cast("bigint").cast("string")
+        return col.try_cast("bigint").cast("string")
     return F.regexp_replace(col.cast("string"), r"\.0+$", "")
 
 
@@ -187,4 +197,4 @@ def dependents_band(name: str, mode: str = "as_intended") -> str:
     As written, 9 and everything above 10 were forgotten and stay numbers.
     """
     listed = relabel(name, K.DEPENDENT_LABELS)
-    return listed if mode == "as_written" else f"CASE WHEN `{name}` >= 3 THEN '2+' ELSE {listed} END"
+    return listed if as_written(mode) else f"CASE WHEN `{name}` >= 3 THEN '2+' ELSE {listed} END"

@@ -6,16 +6,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_KEYS = 1000
+HEAVY_SHARE = 1 / 1000
 LANES = 256
 
 
-def heaviest(counts: DataFrame, keys: Sequence[str], weight: str, limit: int = HEAVY_KEYS) -> DataFrame:
-    """The keys with the largest weights, at most `limit` rows.
-
-    Every key left out holds no more than 1/limit of the total weight.
-    """
-    return counts.orderBy(F.desc(weight), *keys).limit(limit).select(*keys)
+def heaviest(counts: DataFrame, keys: Sequence[str], weight: str, share: float = HEAVY_SHARE) -> DataFrame:
+    """The keys that hold more than `share` of the total weight each: fewer than 1 / share rows, none without skew."""
+    total = counts.agg(F.sum(weight)).scalar()
+    return counts.where(F.col(weight) > total * F.lit(share)).select(*keys)
 
 
 def look_up(
@@ -33,7 +31,7 @@ def look_up(
     the join meets on key and lane. All other keys use lane 0 and are not
     copied. No row of either side is left out.
 
-    `heavy` holds at most HEAVY_KEYS rows, so its broadcast and, for a right
+    `heavy` holds fewer than 1 / HEAVY_SHARE rows, so its broadcast and, for a right
     side with one row per key, the copies stay the same however large the data.
     """
     values = [c for c in right.columns if c not in keys]

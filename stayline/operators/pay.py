@@ -67,7 +67,7 @@ def select_cohorts(
     reads 'company', which no id does; the intended test is on the type and
     comes later, for both cohorts alike."""
     left = leavers(profile, cutoff)
-    if mode == "as_written":
+    if S.as_written(mode):
         left = left.where(F.col("mpp_id") == K.COMPANY)
     return left.unionByName(stayers(profile, as_of))
 
@@ -153,7 +153,7 @@ def code_rows(
     so it is compared without its bucket.
     """
     rows = _coded(pay, cohorts, earliest)
-    if mode == "as_written":
+    if S.as_written(mode):
         blank = F.when(F.col("amount") == 0, F.lit(None)).otherwise(F.col("bucket"))
         rows = rows.withColumn("bucket", blank).distinct()
     return rows
@@ -174,7 +174,7 @@ def pay_code_buckets(
     rows = code_rows(pay, cohorts, earliest, mode)
     keys = [*PERSON, "pyh_payperiod", "mpp_terminationdt", "StartDate", "mpp_state", "mpp_type1", "Drivertype"]
     counts = ["count", "latehome", "layover"]
-    if mode == "as_written":
+    if S.as_written(mode):
         return rows.selectExpr(*keys, *[f"{money(text)} AS {name}" for name, text in BUCKET_AMOUNTS.items()], *counts)
     return rows.groupBy(*keys).agg(
         *[F.expr(f"{money(f'sum({text})')} AS {name}") for name, text in BUCKET_AMOUNTS.items()],
@@ -219,7 +219,7 @@ def counted_weeks(weeks: DataFrame, mode: str = "as_written") -> DataFrame:
     once. As intended, each week weighs.
     """
     kept = weeks.where(F.col("weekpay") > K.MIN_WEEK_PAY)
-    if mode == "as_written":
+    if S.as_written(mode):
         kept = kept.select(*PERSON, "Drivertype", "mpp_type1", "weekpay", *WEEK_FACTS).distinct()
     return kept
 

@@ -116,7 +116,7 @@ def safety_star(
     events_n = F.coalesce("events", F.lit(0))
     vio_n = F.coalesce("vio_values", F.lit(0))
     vio_sum = F.coalesce("vio_sum", F.lit(0.0))
-    if mode == "as_written":
+    if S.as_written(mode):
         rows = rows.join(accident_multiples(accidents), id_ == F.col("n_id"), "left")
         same_date = F.coalesce("same_date", F.lit(1))
         event_rows = F.greatest(events_n, F.lit(1))
@@ -134,4 +134,4 @@ def safety_star(
         vio_sum.alias("CSA"),
         vio_n.alias("Violations"),
     )
-    return rows.distinct() if mode == "as_written" else rows
+    return rows.distinct() if S.as_written(mode) else rows

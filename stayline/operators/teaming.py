@@ -34,7 +34,7 @@ def clean_legs(legs: DataFrame, first_day: date, last_day: date) -> DataFrame:
     kept = legs.where(
         (start >= S.ntz(first_day))
         & (start < S.ntz(last_day + timedelta(days=1)))
-        & (F.col("lgh_class1") != EXCLUDED_CLASS)
+        & (F.upper(S.trim_ws(F.col("lgh_class1"))) != EXCLUDED_CLASS)
         & F.col("ord_hdrnumber").isNotNull()
         & F.col("lgh_number").isNotNull()
     )
@@ -119,7 +119,7 @@ def pair_legs(legs: DataFrame, mode: str = "as_written", keep_last: bool = False
     With keep_last the last leg of each pair is kept too.
     """
     leg = F.struct(*_in_order("lgh_startdateEST", "lgh_enddateEST"))
-    if mode == "as_intended":
+    if not S.as_written(mode):
         a, b = F.col("lgh_driver1"), F.col("lgh_driver2")
         flip = a.isNotNull() & b.isNotNull() & (a > b)
         legs = legs.withColumns(

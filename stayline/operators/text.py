@@ -85,7 +85,7 @@ def band_tenures(df: DataFrame, mode: str = "as_intended") -> DataFrame:
     without a band.
     """
     trade = S.survey_tenure(F.col("seniority"))
-    if mode == "as_written":
+    if S.as_written(mode):
         trade = F.when(F.col("seniority") <= K.SURVEY_TENURE[-1][0], trade)
     return df.withColumns({"seniority": trade, "CVENtime": S.survey_tenure(F.col("CVENtime"))})
 

@@ -1,6 +1,6 @@
 """Pay, safety and tenure profile of those who stayed and those who left."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame
@@ -53,11 +53,18 @@ class Modes:
 
 
 def cohorts(w: Workforce, modes: Modes = Modes()) -> DataFrame:
+    w = resolved(w)
     return P.select_cohorts(w.profile, w.cutoff, w.as_of, modes.cohort)
 
 
+def resolved(w: Workforce) -> Workforce:
+    """With the moment that bounds and windows share: the session's now, asked once, where none is given."""
+    return w if w.as_of is not None else replace(w, as_of=w.profile.sparkSession.range(1).select(F.localtimestamp()).first()[0])
+
+
 def weeks(w: Workforce, modes: Modes = Modes()) -> DataFrame:
-    earliest = P.earliest_period(w.cutoff, w.as_of or date.today())
+    w = resolved(w)
+    earliest = P.earliest_period(w.cutoff, w.as_of)
     return P.weekly_totals(P.code_rows(w.pay, cohorts(w, modes), earliest, modes.rows))
 
 
@@ -71,7 +78,7 @@ def model(w: Workforce, modes: Modes = Modes()) -> DataFrame:
 
 def safety_profile(w: Workforce, modes: Modes = Modes()) -> DataFrame:
     """The company people of both cohorts with their safety record."""
-    people = None
+    w, people = resolved(w), None
     if w.master is None:  # the cohorts' own profile covers the model
         name = S.joined_name(F.col("mpp_firstname"), F.col("mpp_lastname"))
         people = w.profile.select("mpp_id", name.alias("DriverName"))

@@ -22,18 +22,24 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
-    """CSV with a header and a declared schema; blank cells become NULL.
+    """CSV with a declared schema; blank cells become NULL.
 
-    Columns are matched by position to the schema; enforceSchema=false makes
-    Spark compare the header with the declared names and fail on a mismatch.
+    With a header, columns are found by name (case matters not), whatever their
+    order and however many others the file has; a declared column that the file
+    lacks is an error. The header line alone is read to learn the names; types
+    are never inferred. Without a header, columns are matched by position.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", header)
-        .option("enforceSchema", not header)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    reader = spark.read.option("header", header).option("mode", "FAILFAST")
+    if not header:
+        return reader.schema(schema).csv(path)
+    declared = {f.name.lower(): f for f in schema.fields}
+    names = reader.csv(path).columns  # no inference: every column is text
+    missing = set(declared) - {n.lower() for n in names}
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(sorted(missing))}")
+    found = [declared.get(n.lower(), T.StructField(n, T.StringType())) for n in names]
+    whole = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, found)])
+    return reader.schema(whole).csv(path).select(*[F.col(f"`{n}`").alias(f.name) for f in schema.fields for n in names if n.lower() == f.name.lower()])
 
 
 def read_jdbc(
@@ -104,6 +110,11 @@ def create_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def append_parquet(df: DataFrame, path: str) -> None:
+    """Append to the rows under a path, new or not."""
+    df.write.mode("append").parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 

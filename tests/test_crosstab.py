@@ -123,3 +123,18 @@ def test_cohort_split_covers_everybody(spark):
     )
     parts = [demographics.cohort(got, label).count() for label in demographics.STAYED]
     assert sum(parts) == got.count()
+
+
+def test_labels_that_read_like_margins(spark):
+    df = spark.createDataFrame([("Left", "All"), ("Left", "M"), ("Stayed", "M"), ("Left", "")], "stayed STRING, x STRING")
+    got = {(r["stayed"], r["x"], r[C.ROW_TOTAL], r[C.COLUMN_TOTAL]): r["n"] for r in C.crosstab(df, "stayed", "x", keep_levels=True).collect()}
+    assert got["Left", "All", 0, 0] == 1 and got["Left", "All", 0, 1] == 3
+    assert got["All", "All", 1, 0] == 1 and got["All", "All", 1, 1] == 4 and got["All", "", 1, 0] == 1
+    shares = {(r["stayed"], r["x"], r[C.COLUMN_TOTAL]): r["share"] for r in C.with_share(C.crosstab(df, "stayed", "x", keep_levels=True), "stayed", "x").collect() if r[C.ROW_TOTAL] == 0}
+    assert shares["Left", "All", 0] == 1.0 and shares["Left", "All", 1] == 0.75
+
+
+def test_several_crosstabs_in_one_pass(spark, rows):
+    df = spark.createDataFrame([("a", "x", None), ("a", "y", "p"), ("b", "x", "p"), (None, "x", "p")], "s STRING, u STRING, v STRING")
+    want = [("u", *r) for r in rows(C.crosstab(df, "s", "u"))] + [("v", *r) for r in rows(C.crosstab(df, "s", "v"))]
+    assert rows(C.crosstab_each(df, "s", ["u", "v"])) == sorted(want)

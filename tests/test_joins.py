@@ -18,11 +18,11 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("nulls_match", [False, True])
-@pytest.mark.parametrize("limit", [1, 3, 1000])
-def test_look_up_equals_left_join(skewed, rows, limit, nulls_match):
+@pytest.mark.parametrize("share", [0.2, 0.05, 0.001])
+def test_look_up_equals_left_join(skewed, rows, share, nulls_match):
     left, right = skewed
     counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    heavy = J.heaviest(counts, ["k"], "n", limit)
+    heavy = J.heaviest(counts, ["k"], "n", share)
     got = J.look_up(left, right, ["k"], heavy, ["id"], nulls_match)
     other = right.withColumnRenamed("k", "rk")
     same = F.col("k").eqNullSafe(F.col("rk")) if nulls_match else F.col("k") == F.col("rk")
@@ -33,12 +33,13 @@ def test_look_up_equals_left_join(skewed, rows, limit, nulls_match):
 
 def test_heavy_rows_are_spread(skewed):
     left, right = skewed
-    heavy = J.heaviest(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", 2)
+    heavy = J.heaviest(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", 0.1)
     plan = J.look_up(left, right, ["k"], heavy, ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "__lane" in plan
 
 
-def test_heaviest_is_bounded_and_ordered(skewed):
+def test_only_keys_above_the_share_are_heavy(skewed):
     left, _ = skewed
     counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    assert {r["k"] for r in J.heaviest(counts, ["k"], "n", 2).collect()} == {"hot", "gone"}
+    assert {r["k"] for r in J.heaviest(counts, ["k"], "n", 0.1).collect()} == {"hot", "gone"}
+    assert J.heaviest(counts.where("k LIKE 'k%'"), ["k"], "n", 0.1).collect() == []

@@ -149,3 +149,13 @@ def test_words_of(one):
         "don't", "stop", "it’s", "3.5", "or", "1,000", "home", "time", "a_b", "é", "x", "y", "quoted",
     ]
     assert one(S.words_of(F.lit(""))) == []
+
+
+def test_ids_that_are_no_number(spark):
+    df = spark.createDataFrame([(12.0,), (float("nan"),), (None,)], "id DOUBLE")
+    assert [r[0] for r in df.select(S.text_key(F.col("id"), True)).collect()] == ["12", None, None]
+
+
+def test_unknown_mode_is_refused():
+    with pytest.raises(ValueError, match="typo"):
+        S.as_written("typo")
