@@ -3,17 +3,16 @@
 from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUARTILES = (0.25, 0.5, 0.75)
-BRACKET_ROWS = 1_000_000  # values that may lie inside one quantile's bracket
 GRID = 1000
 SKETCH = 10_000
-SETTLED_ROWS = 10_000
+# How often a bracket is sketched anew. Each pass leaves about four grid steps of it, so after the first sketch and this
+# many passes, a bracket holds (4 / GRID) ** (1 + PASSES) of a group's values.
+PASSES = 1
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -32,14 +31,9 @@ def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     )
 
 
-def settled(df: DataFrame, limit: int = SETTLED_ROWS) -> tuple[DataFrame, pa.Table | None]:
-    """A table checked to have at most `limit` rows, as literal rows to be
-    broadcast, with these rows; a larger one stays as it is and is joined by
-    shuffle."""
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df, None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows
+def _small(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Broadcast what has a few rows per numeric column of a table; with other keys too, Spark measures the size itself."""
+    return F.broadcast(df) if set(keys) <= {"column"} else df
 
 
 def _same(keys: Sequence[str], prefix: str):
@@ -65,28 +59,41 @@ def value_spans(long: DataFrame, keys: Sequence[str], *more: Column) -> DataFram
     )
 
 
+def column_spans(df: DataFrame, columns: Sequence[str], by: Sequence[str], *more: str) -> DataFrame:
+    """`value_spans` of several columns at once, one aggregate over the rows as they are; more: SQL names of further aggregates."""
+
+    def spans(c: str) -> Column:
+        value = F.col(c).cast("double")
+        extra = [F.call_function(f, value).alias(name) for name, f in (m.split("=") for m in more)]
+        return F.struct(F.lit(c).alias("column"), F.count(value).alias("count"), *extra, F.min(value).alias("min"), F.max(value).alias("max"), grid_sketch(value).alias("grid"))
+
+    wide = df.groupBy(*by).agg(*[spans(c).alias(f"__{i}") for i, c in enumerate(columns)])
+    return wide.select(*by, F.explode(F.array(*[f"__{i}" for i in range(len(columns))])).alias("span")).select(*by, "span.*")
+
+
 def exact_quantiles(
     long: DataFrame,
     keys: Sequence[str],
     probs: Sequence[float] = QUARTILES,
-    bracket_rows: int = BRACKET_ROWS,
+    passes: int = PASSES,
     spans: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation of `value` per key group.
 
     The built-in exact percentile keeps every distinct value of a group in one
     buffer. Here a sketch of fixed size first encloses each quantile in a
-    bracket that holds a few grid steps of the values, and brackets with more
-    than bracket_rows values inside are narrowed again. Then all values are
-    counted: those in a bracket one by one, the others by the gap they fall in.
-    That table is small, and the running count over it finds the exact ranks.
+    bracket that holds a few grid steps of the values, and each of `passes`
+    further ones sketches the brackets' own values and cuts them down again.
+    Then all values are counted: those in a bracket one by one, the others by
+    the gap they fall in. That table is small, and the running count over it
+    finds the exact ranks. Nothing runs before the result is asked for.
 
-    `spans` is the result of `value_spans` if it is known already.
+    `spans` is the result of `value_spans` or `column_spans` if it is known.
     """
-    keys, probs, bracket_rows = list(keys), [float(p) for p in probs], max(bracket_rows, 100)
+    keys, probs = list(keys), [float(p) for p in probs]
     spans = value_spans(long, keys) if spans is None else spans
     goal = F.col("prob") * (F.col("count") - 1)
-    wanted = spans.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs]))).select(
+    wanted = spans.where("count > 0").withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs]))).select(
         *keys,
         "prob",
         F.floor(goal).alias("rank"),
@@ -97,19 +104,12 @@ def exact_quantiles(
         F.col("count").alias("inner"),
         F.lit(0).cast("bigint").alias("passed"),
     )
-    targets, rows = settled(_tighter(wanted, keys))
-    while _widest(targets, rows) > bracket_rows:
-        targets, rows = settled(_narrowed(long, keys, targets, bracket_rows))
+    targets = _tighter(wanted, keys)
+    for _ in range(passes):
+        targets = _narrowed(long, keys, targets)
     return _ranked(long, keys, probs, targets)
 
 
-def _widest(targets: DataFrame, rows: pa.Table | None) -> int:
-    """Most values that can lie strictly inside a bracket."""
-    if rows is None:
-        return targets.agg(F.max("inside")).first()[0] or 0
-    return pc.max(rows["inside"]).as_py() or 0
-
-
 def _tighter(brackets: DataFrame, keys: list[str]) -> DataFrame:
     """Each bracket cut down to the grid points around its quantile.
 
@@ -139,17 +139,16 @@ def _tighter(brackets: DataFrame, keys: list[str]) -> DataFrame:
     return cut.withColumn("inside", F.when(F.col("lo") < F.col("hi"), F.col("inside")).otherwise(F.lit(0)))
 
 
-def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows: int) -> DataFrame:
-    """Brackets that are still wide, sketched on their own and cut down again.
+def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
+    """Brackets sketched on their own and cut down again.
 
     Quantiles that share a bracket share its sketch.
     """
-    wide = targets.where(F.col("inside") > bracket_rows)
     value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     inner = F.when(value > lo, value)
-    shared, _ = settled(wide.select(*[F.col(k).alias(f"t_{k}") for k in keys], "lo", "hi").distinct())
-    sketches, _ = settled(
-        long.join(shared, _same(keys, "t_") & (value < hi))
+    shared = targets.select(*[F.col(k).alias(f"t_{k}") for k in keys], "lo", "hi").where("lo < hi").distinct()
+    sketches = (
+        long.join(_small(shared, keys), _same(keys, "t_") & (value < hi))
         .groupBy(*keys, "lo", "hi")
         .agg(
             grid_sketch(inner).alias("grid"),
@@ -158,8 +157,9 @@ def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame, bracket_rows
         )
     )
     same = [*keys, "lo", "hi"]
-    found = wide.join(sketches.withColumnsRenamed({c: f"s_{c}" for c in same}), _same(same, "s_"))
-    return _tighter(found, keys).unionByName(targets.where(F.col("inside") <= bracket_rows))
+    found = targets.join(_small(sketches.withColumnsRenamed({c: f"s_{c}" for c in same}), keys), _same(same, "s_"), "left")
+    # a bracket that is one value already has no sketch and stays as it is
+    return _tighter(found.withColumns({"inner": F.coalesce("inner", F.lit(0)), "passed": F.coalesce("passed", "rank")}), keys)
 
 
 def _ranked(long: DataFrame, keys: list[str], probs: list[float], targets: DataFrame) -> DataFrame:
@@ -170,11 +170,10 @@ def _ranked(long: DataFrame, keys: list[str], probs: list[float], targets: DataF
         return F.col(f"{name}_{i}")
 
     # one row per key group, so each value meets all its brackets at once
-    brackets, _ = settled(
-        targets.groupBy(*[F.col(k).alias(f"t_{k}") for k in keys]).agg(
-            *[F.max(F.when(F.col("prob") == p, F.col(c))).alias(f"{c}_{i}") for i, p in enumerate(probs) for c in state]
-        )
+    brackets = targets.groupBy(*[F.col(k).alias(f"t_{k}") for k in keys]).agg(
+        *[F.max(F.when(F.col("prob") == p, F.col(c))).alias(f"{c}_{i}") for i, p in enumerate(probs) for c in state]
     )
+    brackets = _small(brackets, keys)
     within = reduce(lambda a, b: a | b, [value.between(of("lo", i), of("hi", i)) for i in range(len(probs))])
     # a value between brackets stands for the gap above the last bracket it passed
     edges = [F.when(of("hi", i) < value, of("hi", i)) for i in range(len(probs))]
@@ -214,11 +213,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
     columns = list(columns or [c for c in numeric_columns(df) if c not in by])
     long = long_form(df, columns, by)
     keys = [*by, "column"]
-    basic, _ = settled(
-        value_spans(
-            long, keys, F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
-        )
-    )
+    basic = column_spans(df, columns, by, "mean=avg", "std=stddev_samp")
     quantiles = exact_quantiles(long, keys, spans=basic)
     names = {p: f"p{int(p * 100)}" for p in QUARTILES}
     rows = quantiles.groupBy(*keys).agg(

@@ -56,11 +56,10 @@ def test_describe_by_group_equals_pandas(df, numbers):
         check_described([r for r in got if r["g"] == g], numbers[numbers["g"] == g][COLUMNS])
 
 
-@pytest.mark.parametrize("probs", [(0.0, 0.001, 0.25, 0.4, 0.5), (0.41, 0.75, 0.999, 1.0)])
-def test_narrowed_quantiles_are_exact(df, numbers, probs):
-    """Brackets far smaller than the groups, so that several steps are taken."""
+@pytest.mark.parametrize("passes, probs", [(0, (0.25, 0.5)), (1, (0.0, 0.001, 0.25, 0.4, 0.5)), (2, (0.41, 0.75, 0.999, 1.0))])
+def test_narrowed_quantiles_are_exact(df, numbers, passes, probs):
     long = N.long_form(df, COLUMNS, ["g"]).cache()
-    got = N.exact_quantiles(long, ["g", "column"], probs, bracket_rows=100).collect()
+    got = N.exact_quantiles(long, ["g", "column"], probs, passes).collect()
     assert len(got) == 2 * len(COLUMNS) * len(probs)
     for r in got:
         values = numbers[numbers["g"] == r["g"]][r["column"]].dropna()
@@ -73,12 +72,11 @@ def test_quantile_of_few_values(spark):
     assert got["c", 0.25] == 1.75 and got["c", 0.5] == 2.5 and got["one", 0.75] == 9.0
 
 
-def test_many_groups_are_joined_by_shuffle(spark, monkeypatch):
-    """More groups than may be settled: same result without literal rows."""
-    monkeypatch.setattr(N, "settled", lambda df, limit=0: (df, None))
-    long = spark.createDataFrame([(str(i % 5), float(i)) for i in range(50)], "column STRING, value DOUBLE")
-    got = {r["column"]: r["quantile"] for r in N.exact_quantiles(long, ["column"], (0.5,)).collect()}
-    assert got == {str(i): 22.5 + i for i in range(5)}
+def test_nothing_runs_before_it_is_asked_for(spark, df):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    N.describe(df)
+    assert set(tracker.getJobIdsForGroup()) == before
 
 
 def test_grouped_means_equal_pandas(df, numbers):
