@@ -660,8 +660,7 @@ def _survey_band(c: str) -> str:
 FROM themed GROUP BY 1, 2, 3""",
 )
 def theme_recode(a):
-    words = survey.themed_words(a.survey(), a.stop_words(), V.DOMAIN_WORDS, V.THEMES)
-    return X.word_counts(words, "seniority", "CVENtime")
+    return survey.themed_counts(a.survey(), a.stop_words(), V.DOMAIN_WORDS, V.THEMES)
 
 
 @register(

@@ -3,6 +3,7 @@
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stayline import constants as K
 from stayline.operators import text as X
@@ -29,6 +30,23 @@ def themed_words(
     return X.band_tenures(X.recode_themes(answer_words(asked, WHY_LEFT, stop_words, domain_words), themes))
 
 
+def themed_counts(
+    survey: DataFrame,
+    stop_words: DataFrame,
+    domain_words: Sequence[str] = tuple(K.DOMAIN_WORDS),
+    themes: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """`themed_words` counted by word and bands.
+
+    Words are counted before any is dropped or recoded: the stop words meet one
+    row per word and band instead of every word of every answer.
+    """
+    asked = X.explode_words(survey.select(WHY_LEFT, "seniority", "CVENtime"), WHY_LEFT)
+    counts = X.word_counts(X.band_tenures(asked), "seniority", "CVENtime")
+    kept = X.without_stop_words(X.without_words(counts, domain_words), stop_words)
+    return X.recode_themes(kept, themes).groupBy("word", "seniority", "CVENtime").agg(F.sum("n").alias("n"))
+
+
 def popular_words(
     survey: DataFrame, question: str, stop_words: DataFrame, domain_words: Sequence[str] = tuple(K.DOMAIN_WORDS)
 ) -> DataFrame:
