@@ -24,11 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayline.llm.common import WORD, written
+from stayline.llm.common import WORD, shuffled, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCK, SLOTS = 64, 16_384
+BLOCK, SLOTS, RUN = 64, 16_384, 2_048
 ROUNDS = 24
 SOURCES = 10_000
 #: Documents to a bucket of the two-level running sum.
@@ -129,7 +129,10 @@ def slots(spark, found: list[Source], seed: int, slots_per_shard: int = SLOTS) -
     quota = F.element_at(F.array(*[F.lit(s.quota) for s in found]), (F.col("source") + 1).cast("int")).cast("long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = drawn.select("shard", "source", "n", before.alias("first")).withColumn("last", F.least(F.col("first") + F.col("n"), quota))
-    own = spans.where("last > first").select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("number"))
+    # the few spans are cut into runs and dealt out before they become slots: Spark would take them for little work
+    run = spans.where("last > first").select("shard", "source", "last", F.explode(F.sequence(F.col("first"), F.col("last") - 1, F.lit(RUN).cast("long"))).alias("low"))
+    run = run.repartition(shuffled(spark), "shard", "source", "low")
+    own = run.select("shard", "source", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + RUN, F.col("last")) - 1)).alias("number"))
 
     # slots beyond a quota, numbered through the shards, go to the numbers that the other sources still lack
     lost = spans.where("first + n > last").groupBy("shard").agg(F.sum(F.col("first") + F.col("n") - F.greatest("last", "first")).alias("free"))
@@ -168,7 +171,8 @@ def pieces(rows: DataFrame, found: list[Source], seed: int, block: int = BLOCK)
     high = F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block)
     cut = cut.select("doc_id", "source", "print", "copy", "size", "s", "b", (low - F.col("start")).alias("first"), (high - low).alias("words"))
     taken = slots(rows.sparkSession, found, seed).groupBy(F.col("source").alias("of"), F.col("block").alias("k")).agg(F.count("*").alias("times"))
-    return cut.join(taken, (F.col("s") == F.col("of")) & (F.col("b") == F.col("k"))).drop("s", "b", "of", "k")
+    # both sides grow with the words, though Spark would expect the slots to be few: no broadcast
+    return cut.join(taken.hint("merge"), (F.col("s") == F.col("of")) & (F.col("b") == F.col("k"))).drop("s", "b", "of", "k")
 
 
 KEY = ("doc_id", "source", "print", "copy", "size")
@@ -180,7 +184,7 @@ def _keyed(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     same = F.lit(True)
     for c in KEY:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return left.join(right, same, how).drop(*[f"_{c}" for c in KEY])
+    return left.join(right.hint("merge"), same, how).drop(*[f"_{c}" for c in KEY])
 
 
 def report(docs: DataFrame, seed: int = 7) -> DataFrame:
