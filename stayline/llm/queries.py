@@ -168,4 +168,22 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.roo
 FROM embeddings e JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) m ON m.id = e.vec_id
 """
 
-SQL = {"op4_spherical_caps": _CAPS_SQL, "op3_chat_format": _CHAT_SQL, "op6_quality_rules": _QUALITY_SQL, "op9_warc": _WARC_SQL}
+_MINHASH_SQL = r"""
+WITH RECURSIVE t AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS held
+    FROM t
+),
+u AS (SELECT doc_id, unnest(held) AS shingle FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.held) + len(y.held) - n)),
+c(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.a, c.root FROM c JOIN l ON l.b = c.id WHERE c.root < l.a)
+SELECT s.doc_id, CAST(len(held) AS BIGINT) AS n_shingles, m.root AS component_id, s.doc_id = m.root AS kept
+FROM s JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) m ON m.id = s.doc_id
+"""
+
+SQL = {"op10_minhash": _MINHASH_SQL, "op4_spherical_caps": _CAPS_SQL, "op3_chat_format": _CHAT_SQL, "op6_quality_rules": _QUALITY_SQL, "op9_warc": _WARC_SQL}
