@@ -7,9 +7,9 @@ with the factor of the state it is met in, and a clause that also names a target
 matched clauses, not by its words as such: the strongest, the sum, and how many of all clauses they are.
 
 The word weights are an acceptor of word beginnings and whole words, learned from labels: the log odds of a beginning
-between toxic and other texts, kept where a likelihood-ratio test finds it far from chance; a word has the weight of the
-strongest beginning that accepts it. A logistic curve over the clause features gives the score; its weights are fitted on
-features from which each training text's own contribution to the acceptor has been taken out.
+between toxic and other texts, kept where a likelihood-ratio test finds it far from chance and no longer beginning explains
+it better; a word has the weight of the strongest beginning that accepts it. A logistic curve over the clause features
+gives the score; its weights are fitted on features from which each training text's own contribution to the acceptor has been taken out.
 
 Both are fitted on about SAMPLE labelled texts at most, chosen by a hash of the id. Nothing but the text enters a score.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 #: Labelled texts to learn from (expected number, if there are more) and beginnings to keep, at most.
 SAMPLE, ACCEPTED = 20_000, 50_000
-#: Lengths of word beginnings; least toxic texts with one; least likelihood ratio and log odds.
-LENGTHS, SUPPORT, RATIO, ODDS = (3, 4, 5, 6, 7), 4, 16.0, 1.5
+#: Lengths of word beginnings; least toxic texts with one; least log odds; chance beginnings to be expected, as a log.
+LENGTHS, SUPPORT, ODDS, CHANCE = (3, 4, 5, 6, 7), 4, 2.0, -3.0
 NEAR = 3
 NEGATED, REPORTED, AIMED = 0.4, 0.6, 1.25
 THRESHOLD = 0.3
@@ -58,7 +58,12 @@ def beginnings(word: str) -> list[str]:
     return [word[:k] for k in LENGTHS if len(word) >= k] + ["=" + word] if word else []
 
 
-def log_odds(t: float, n: float, toxic: int, other: int) -> float:
+def least_ratio(tried: int) -> float:
+    """The likelihood ratio that leaves exp(CHANCE) chance beginnings among those tried."""
+    return 2 * (math.log(max(1, tried)) - CHANCE)
+
+
+def log_odds(t: float, n: float, toxic: int, other: int, least: float) -> float:
     """Weight of a beginning in t of the toxic and n of the other texts; 0 where chance may explain it."""
     if t < SUPPORT:
         return 0.0
@@ -71,7 +76,20 @@ def log_odds(t: float, n: float, toxic: int, other: int) -> float:
 
     ratio = 2 * (fit(t, toxic, p) + fit(n, other, q) - fit(t, toxic, both) - fit(n, other, both))
     odds = math.log((t + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (other + 1))
-    return odds if ratio >= RATIO and odds >= ODDS else 0.0
+    return odds if ratio >= least and odds >= ODDS else 0.0
+
+
+def loose(counts: dict[str, tuple[int, int]]) -> set[str]:
+    """Beginnings whose toxic texts nearly all come from a longer one that other texts show more rarely: the longer one says it all."""
+    found = set()
+    for part, (t, n) in counts.items():
+        word = part.removeprefix("=")
+        for k in LENGTHS:
+            if word[:k] in counts and word[:k] != part:
+                above_t, above_n = counts[word[:k]]
+                if n < above_n and t >= 0.9 * above_t:
+                    found.add(word[:k])
+    return found
 
 
 class Weights(dict):
@@ -142,7 +160,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn the acceptor and the curve; what reaches the driver is bounded by ACCEPTED and `sample` rows of numbers."""
     from stayline.llm.common import shuffled, written
 
-    known = written(_labelled(docs, labels, sample).repartition(shuffled(docs.sparkSession)))
+    # a text that occurs often is learned once
+    known = written(_labelled(docs, labels, sample).dropDuplicates(["text", "toxic"]).repartition(shuffled(docs.sparkSession)))
     sizes = known.agg(F.sum("toxic"), F.count("*")).first()
     toxic, other = int(sizes[0] or 0), int(sizes[1]) - int(sizes[0] or 0)
     if not toxic or not other:
@@ -160,9 +179,11 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     likely = counted.where((F.col("t") >= SUPPORT) & (F.col("t") * other > F.col("n") * toxic * 2))
     rows = likely.orderBy(F.desc(F.col("t") / toxic - F.col("n") / other), "part").limit(ACCEPTED).collect()
     counts = {r["part"]: (r["t"], r["n"]) for r in rows}
-    accepted = {k: w for k, (t, n) in counts.items() if (w := log_odds(t, n, toxic, other))}
+    less, least = loose(counts), least_ratio(len(counts))
+    counts = {k: v for k, v in counts.items() if k not in less}
+    accepted = {k: w for k, (t, n) in counts.items() if (w := log_odds(t, n, toxic, other, least))}
     near = {k: v for k, v in counts.items() if k in accepted}
-    without = tuple({k: w for k, (t, n) in near.items() if (w := log_odds(t - y, max(0, n - (1 - y)), toxic - y, other - (1 - y)))} for y in (0, 1))
+    without = tuple({k: w for k, (t, n) in near.items() if (w := log_odds(t - y, max(0, n - (1 - y)), toxic - y, other - (1 - y), least))} for y in (0, 1))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory = Weights(without[0]), Weights(without[1])
