@@ -241,10 +241,25 @@ def exchanged(sums: DataFrame, classes: np.ndarray, matrix: np.ndarray, turn: in
     return after
 
 
+def most_frequent(known: DataFrame) -> list:
+    """The FREQUENT words with the largest counts, ties by hash.
+
+    Counts are first gathered in narrow classes, a few hundred numbers; only words of the classes that can be among the
+    most frequent are sorted, so no task hands on more than are left.
+    """
+    step = F.floor(F.log("c") * 20).cast("int")
+    left, least = FREQUENT, 0
+    for row in known.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        least, left = row["step"], left - row["n"]
+        if left <= 0:
+            break
+    return known.where(step >= least).orderBy(F.desc("c"), "hash").limit(FREQUENT).collect()
+
+
 def trained(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Model:
     """Exchange the classes and estimate the model. The driver sees the frequent words, a few numbers per ending, unit and
     pair of classes: sizes set by the parameters above."""
-    frequent = known.orderBy(F.desc("c"), "hash").limit(FREQUENT).collect()
+    frequent = most_frequent(known)
     by_ending = known.groupBy("ending").agg(F.sum("c").alias("tokens"), F.count("*").alias("types"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).collect()
     stats = np.zeros((UNITS, 3), np.int64)  # tokens, types, types seen once
     for r in by_ending:
