@@ -227,6 +227,14 @@ def team_statistics_as_written(a):
     return pay_profile.people(_workforce(a), pay_profile.Modes(fanout="as_written"))
 
 
+@register("team_statistics_stored", _PEOPLE, "SELECT * FROM people")
+def team_statistics_stored(a):
+    """The co-driver history handed over as the table that the other workload stored."""
+    path = tables.new_path(a.spark, "teaming")
+    tables.create_parquet(_history(a).withColumn("DriverID", F.expr("substr(DriverID, 2)")), path)
+    return pay_profile.people(a.workforce(tables.read_parquet(a.spark, path)))
+
+
 _SUMMARY = (
     "stayed:i Drivertype:s seniority:s Critical:d6 endorse:d6 chargeback:d6 safety:d6 correction:d6 latehome:d6 "
     "layover:d6 paydetails:d6 avgpay:d6 count:i CSA:d6 Vio:d6 numteams:d6 solo:d6 avgtenure:d6 stdevtenure:d6"
