@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import components, forest, paired_blocks, streamed, written
+from stayline.llm.common import components, paired_blocks, spanning, streamed, written
 
 COSINE = 0.9
 PASS, PASSED, SETS, WIDEST, SEED = 6e-7, 40, 64, 0.6, 5
@@ -122,10 +122,7 @@ def _forests(cosine: float):
         if group.num_rows < 2:
             return
         ids, x = group["rep"].to_pylist(), _matrix(group["vector"])
-        root = forest(x @ x.T >= cosine)
-        own = np.flatnonzero(root != np.arange(len(ids)))
-        if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array([ids[root[i]] for i in own], pa.int64())], ["u", "v"])
+        yield from spanning(ids, x @ x.T >= cosine, np.array(group["own"].to_pylist()), group["low"][0].as_py(), group["high"][0].as_py())
 
     return run
 
@@ -157,7 +154,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     passed = written(posted(named))
     shared = passed.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
     lists = passed.join(shared, ["dim", "filter"]).join(named.select("rep", "vector"), "rep")
-    met = paired_blocks(lists, "rep", F.ceil(F.col("n") / BLOCK)).select("dim", "filter", "low", "high", "rep", "vector")
+    met = paired_blocks(lists, "rep", F.ceil(F.col("n") / BLOCK)).select("dim", "filter", "low", "high", "own", "rep", "vector")
     found = written(components(streamed(met, ["dim", "filter", "low", "high"], _forests(cosine), "u long, v long")))
 
     members = named.join(found, F.col("rep") == F.col("node")).select("rep", "vector", "copies", "component")

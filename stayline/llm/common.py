@@ -91,6 +91,25 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return root
 
 
+def spanning(ids: list[int], linked: np.ndarray, own: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) that connect what a pair of blocks connects, as few as it takes.
+
+    The links inside a block show in every pair it is part of; they are returned by one pair only, block 0's by (0, 1) and
+    any other's by (0, block). Every pair returns what joins the parts that its blocks are in already.
+    """
+    place = np.arange(len(ids))
+    root = forest(linked)
+    at, to = np.flatnonzero(root != place), root
+    if low != high:
+        inside = forest(linked & (own[:, None] == own[None, :]))
+        first = inside == place
+        told = ~first & (low == 0) & ((own == high) | (high == 1))
+        at = np.flatnonzero(told | (first & (root != place)))
+        to = np.where(first, root, inside)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array([ids[to[i]] for i in at], pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (u, v): one row (node, component) per node that has an edge to another.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import components, forest, paired_blocks, streamed, words, written
+from stayline.llm.common import components, paired_blocks, spanning, streamed, words, written
 
 SHINGLE, PERCENT = 5, 80
 COORDINATES = 64
@@ -113,11 +113,8 @@ def signed(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, print string, signature array<int>")
 
 
-def _edges(ids: list, linked: np.ndarray) -> Iterator[pa.RecordBatch]:
-    root = forest(linked)
-    own = np.flatnonzero(root != np.arange(len(root)))
-    if len(own):
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.int64()), pa.array([ids[root[i]] for i in own], pa.int64())], ["u", "v"])
+def _pair(group: pa.Table) -> tuple[np.ndarray, int, int]:
+    return np.array(group["own"].to_pylist()), group["low"][0].as_py(), group["high"][0].as_py()
 
 
 def candidates(classes: DataFrame, matches: int, block: int = BLOCK) -> DataFrame:
@@ -140,7 +137,7 @@ def candidates(classes: DataFrame, matches: int, block: int = BLOCK) -> DataFram
         linked = np.zeros((len(ids), len(ids)), bool)
         for i in range(len(ids)):
             linked[i] = (marks == marks[i]).sum(1) >= matches
-        yield from _edges(ids, linked)
+        yield from spanning(ids, linked, *_pair(group))
 
     return streamed(members, ["token", "low", "high"], run, "u long, v long")
 
@@ -195,7 +192,7 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, percent: int, block
         sets = [np.frombuffer(s, np.uint64) for s in group["held"].to_pylist()]
         both = overlaps(sets)
         n = np.array([len(s) for s in sets], np.float64)
-        yield from _edges(ids, 100 * both >= percent * (n[:, None] + n[None, :] - both))
+        yield from spanning(ids, 100 * both >= percent * (n[:, None] + n[None, :] - both), *_pair(group))
 
     return streamed(met, ["component", "low", "high"], run, "u long, v long")
 
