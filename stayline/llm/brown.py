@@ -4,11 +4,13 @@ The probability of a word after another is P(class | class before) * P(word | cl
 exchange: every word is moved to the class that raises the likelihood of the training bigrams most, over some rounds,
 half of the words at a time so that neighbours do not swap past each other.
 
-Texts are encoded once, in blocks of whole documents with a dictionary each, and written; every later pass maps a block
-by itself. Word counts over all training texts are one aggregate over the blocks' dictionaries, and come back to the
-blocks by a join on the word. What exchanges classes is a unit: each of the FREQUENT most frequent words is one, and all
-other words of a common ending, known or not, are one of ENDINGS together. That bounds the assignment and the counts
-exchanged to documented sizes, and gives an unknown word a class. Emissions are of words, never of units.
+Texts are encoded once, in blocks of whole documents with a dictionary each, and written in buckets. Every known word
+moves by itself. The classes of the FREQUENT most frequent words travel with the tasks; those of all others lie in the
+shared folder, in parts by the word's hash: each half turn the blocks send their counts of (word, neighbour class) to the
+words' parts, which choose the classes and tell the blocks that hold the words. So nothing that grows with the vocabulary
+passes through the driver, and how many words are called frequent only decides which way they travel. The number of classes
+follows the number of words; half turns go on until the likelihood hardly rises. An unknown word takes the class that the words
+of its ending (one of ENDINGS, from the last three bytes) are in that were seen once. Emissions are of words.
 
 Smoothing: transitions are mixed with class frequencies; emissions are discounted by the share of a class's words seen
 once, and what that frees is the class's unknown word (one type, as in the base score); the whole is mixed with the base.
@@ -31,12 +33,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import shuffled, words, written
+from stayline.llm.common import bucketed, streamed, words, written
 
-CLASSES, FREQUENT, ENDINGS, ROUNDS = 32, 32_768, 8_192, 6
-UNITS = FREQUENT + ENDINGS
-#: Tokens of a block; units of a range of exchanged counts.
-BLOCK, RANGE = 3_000_000, 512
+CLASSES, FREQUENT, ENDINGS, ROUNDS = 32, 32_768, 8_192, 40
+#: Rise of the log likelihood per token, over two half turns, below which the exchange has settled.
+STILL = 0.02
+#: Tokens of a block; frequent words of a range, and other words of a part, of exchanged counts.
+BLOCK, RANGE, PART = 3_000_000, 512, 32_768
 BASE_SHARE = 0.02
 HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7 = 2, false)"
 BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, hashes array<long>, endings array<int>, counts array<int>"
@@ -84,7 +87,7 @@ def encoded(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             yield packed(ids, held, tokens, numbers)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(HELD).alias("held"))
-    return written(rows.mapInArrow(run, BLOCKS))
+    return bucketed(rows.mapInArrow(run, BLOCKS), "block")
 
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
@@ -96,82 +99,235 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Units:
-    """Which unit a word is: hashes of the frequent words, sorted, with their units; any other word by its ending."""
+    """Places of the frequent words by their hashes, sorted; the class of any other word is looked up by its hash, or by its
+    ending (from place `first` on) if it is unknown."""
 
     hashes: np.ndarray
     units: np.ndarray
+    first: int
 
     def of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
-            return FREQUENT + endings
+            return self.first + endings
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.units[at], FREQUENT + endings)
+        return np.where(self.hashes[at] == hashes, self.units[at], self.first + endings)
 
 
 @dataclass(frozen=True)
 class Model:
     units: Units
-    classes: np.ndarray  # class of each unit
+    classes: np.ndarray  # class of each frequent word, then of the unknown words of each ending
+    counts: np.ndarray  # of each frequent word
     transition: np.ndarray  # log10-free: P(class | class before)
     discount: np.ndarray  # per class, off each word's count
     free: np.ndarray  # per class, probability of the unknown word
     total: np.ndarray  # tokens per class
     tokens: int
     types: int
+    parts: int
 
 
-def _row(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
-    def list_of(name: str) -> np.ndarray:
-        return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+@dataclass(frozen=True)
+class Block:
+    """One block and what it was told: its words' places, counts in all training texts (0: unknown) and classes."""
 
-    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("tokens")[i].as_py()), np.int32)
-    return tokens, list_of("lengths"), list_of("held"), list_of("hashes"), list_of("endings")
+    number: int
+    tokens: np.ndarray
+    lengths: np.ndarray
+    held: np.ndarray
+    hashes: np.ndarray
+    endings: np.ndarray
+    units: np.ndarray
+    rare: np.ndarray  # whether a word is not among the frequent ones
+    part: np.ndarray
+    counts: np.ndarray
+    classes: np.ndarray
+
+    def training(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the training tokens and of those before them; every text ends in the end token, which is also what the
+        next one follows."""
+        own = self.tokens[~np.repeat(self.held, self.lengths)]
+        return own, np.concatenate([own[-1:], own[:-1]])
+
+    def pieces(self, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(part, numbers of its words) for the words of a mask, by part and number."""
+        at = np.flatnonzero(of)
+        at = at[np.argsort(self.part[at], kind="stable")]
+        ends = np.flatnonzero(np.diff(self.part[at])) + 1
+        for piece in np.split(at, ends) if len(at) else []:
+            yield int(self.part[piece[0]]), piece
+
+
+def _pack(values: np.ndarray, kind: type) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def _half(hashes: np.ndarray) -> np.ndarray:
+    """The half turn, 0 or 1, in which a word that is not frequent may move."""
+    return (hashes >> 9) & 1
+
+
+COUNTS = 2
+TOLD = "block long, kind int, part int, data binary"
+
+
+def told(blocks: DataFrame, news: list[DataFrame]) -> DataFrame:
+    """The blocks with all that the parts told them. Blocks lie in buckets, so only the news are shuffled."""
+    columns = blocks.select("block", "ids", "held", "lengths", "tokens", "hashes", "endings", "counts")
+    if not news:
+        return columns.withColumn("news", F.lit(None).cast("array<struct<kind:int,part:int,data:binary>>"))
+    every = news[0]
+    for more in news[1:]:
+        every = every.unionByName(more)
+    by_block = every.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "data")).alias("news"))
+    return columns.join(by_block.hint("merge"), "block", "left")
+
+
+def _blocks(batch: pa.RecordBatch, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int) -> Iterator[tuple[int, Block]]:
+    """The blocks of a batch, their words' classes and counts filled in."""
+    for i in range(batch.num_rows):
+
+        def list_of(name: str) -> np.ndarray:
+            return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+
+        hashes, endings = list_of("hashes"), list_of("endings")
+        at = units.of(hashes, endings)
+        rare = at >= units.first
+        part = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        known = np.where(rare, 0, counts[np.where(rare, 0, at)]) if len(counts) else np.zeros(len(hashes), np.int64)
+        classes = np.where(rare, (hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(k), 0).astype(np.int64)
+        if len(head):
+            classes = np.where(rare, classes, head[np.where(rare, 0, at)])
+        block = Block(batch.column("block")[i].as_py(), _unpack(batch.column("tokens")[i].as_py(), np.int32), list_of("lengths"), list_of("held"), hashes, endings, at, rare, part, known, classes)
+        news = {(x["kind"], x["part"]): x["data"] for x in batch.column("news")[i].as_py() or []}
+        for kind in {kind for kind, _ in news}:
+            for p, piece in block.pieces(rare if kind == COUNTS else rare & (_half(hashes) == kind)):
+                if kind == COUNTS:
+                    known[piece] = _unpack(news[kind, p], np.int64)
+                else:
+                    classes[piece] = _unpack(news[kind, p], np.uint16)
+        yield i, block
+
+
+def counted(blocks: DataFrame, units: Units, parts: int) -> DataFrame:
+    """What tells every block how often its words that are not frequent stand in all training texts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            for i, b in _blocks(batch, units, none, none, parts, 1):
+                own = batch.column("counts")[i].values.to_numpy()
+                rows = [(p, b.number, b.hashes[at].tobytes(), _pack(own[at], np.int32)) for p, at in b.pieces(b.rare)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "hashes", "n"])
 
+    def answer(asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        hashes = [np.frombuffer(x, np.int64) for x in asked.column("hashes").to_pylist()]
+        n = np.concatenate([_unpack(x, np.int32) for x in asked.column("n").to_pylist()])
+        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        c = np.bincount(at, n).astype(np.int64)[at]
+        yield _news(asked, COUNTS, np.split(c, np.cumsum([len(h) for h in hashes])[:-1]), np.int64)
 
-def _training(batch: pa.RecordBatch, i: int, units: Units) -> np.ndarray:
-    """Units of the training tokens of a block; every text ends in the end token, which is also what the next one follows."""
-    tokens, lengths, held, hashes, endings = _row(batch, i)
-    return units.of(hashes, endings)[tokens[~np.repeat(held, lengths)]]
+    asked = told(blocks, []).mapInArrow(ask, "part int, block long, hashes binary, n binary")
+    return written(streamed(asked, ["part"], answer, TOLD))
 
 
-def neighbours(blocks: DataFrame, units: Units, classes: np.ndarray) -> DataFrame:
-    """(range, counts): per range of units, how often each stands after (first half) and before (second half) each class.
+def _news(asked: pa.Table, kind: int, data: list[np.ndarray], as_kind: type) -> pa.RecordBatch:
+    columns = [asked.column("block").to_pylist(), [kind] * len(data), asked.column("part").to_pylist(), [_pack(x, as_kind) for x in data]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "kind", "part", "data"])
 
-    Each task sums its blocks and hands on one packed matrix per range; the matrices of a range are summed as they arrive,
-    so memory is bounded by the number of units, not of blocks.
-    """
-    k = CLASSES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, UNITS * k), np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = _training(batch, i, units).astype(np.int64)
-                if len(own):
-                    before = np.concatenate([[own[-1]], own[:-1]])  # the last is an end token too
-                    total[0] += np.bincount(own * k + classes[before], minlength=UNITS * k)
-                    total[1] += np.bincount(before * k + classes[own], minlength=UNITS * k)
-        if total.any():
-            both = np.concatenate([t.reshape(UNITS, k) for t in total], axis=1)
-            yield _ranges({r: both[r * RANGE : (r + 1) * RANGE] for r in range(UNITS // RANGE)})
+def bigrams(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int) -> np.ndarray:
+    """Class bigrams of the training texts; one small matrix per task reaches the driver."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
         for batch in batches:
-            for number, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.int64).reshape(RANGE, 2 * k)
-                total[number] = total[number] + part if number in total else part
-        if total:
-            yield _ranges(total)
+            for _, b in _blocks(batch, units, head, counts, parts, k):
+                own, before = b.training()
+                total += np.bincount(b.classes[before] * k + b.classes[own], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+
+    matrix = np.zeros(k * k)
+    for row in blocks.mapInArrow(fold, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        matrix[row["cell"]] = row["n"]
+    return matrix.reshape(k, k)
 
-    parts = blocks.select("lengths", "held", "tokens", "hashes", "endings").mapInArrow(count, "range int, counts binary")
-    return written(parts.repartition(shuffled(blocks.sparkSession), "range").mapInArrow(add, "range int, counts binary"))
 
+ASKED = "part int, block long, hashes binary, classes binary, words binary, cells binary, n binary"
 
-def _ranges(matrices: dict[int, np.ndarray]) -> pa.RecordBatch:
-    pack = zstandard.ZstdCompressor(level=1)
-    data = [pack.compress(np.ascontiguousarray(m, np.int64).tobytes()) for m in matrices.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(matrices), pa.int32()), pa.array(data, pa.binary())], ["range", "counts"])
+
+def exchanged(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, matrix: np.ndarray, turn: int) -> DataFrame:
+    """TOLD with the classes after the words of this half turn have moved.
+
+    Each block sends its counts of (word, class before or after): of frequent words as one matrix per task and range of
+    words (part below 0), of all others as triples to the word's part. There they are summed, each word takes its best
+    class, and the blocks that hold it are told. A frequent word's class is a row of block -1.
+    """
+    k = len(matrix)
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+    names = [c.split()[0] for c in ASKED.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(head) * k), np.int64)
+        for batch in batches:
+            for _, b in _blocks(batch, units, head, counts, parts, k):
+                own, before = b.training()
+                for side, word, other in ((0, own, before), (1, before, own)):
+                    at = ~b.rare[word]
+                    at[at] = (b.units[word[at]] // 2 + b.units[word[at]]) % 2 == turn % 2
+                    total[side] += np.bincount(b.units[word[at]] * k + b.classes[other[at]], minlength=total.shape[1])
+                moves = b.rare & (b.counts > 0) & (_half(b.hashes) == turn % 2)
+                sent = b.rare & (_half(b.hashes) == turn % 2)
+                keys = np.concatenate([own[moves[own]] * np.int64(2 * k) + b.classes[before[moves[own]]], before[moves[before]] * np.int64(2 * k) + k + b.classes[own[moves[before]]]])
+                keys, n = np.unique(keys, return_counts=True)
+                word = keys // (2 * k)
+                rows = []
+                order = np.argsort(b.part[word], kind="stable")
+                word, cell, n = word[order], (keys % (2 * k))[order], n[order]
+                low = np.searchsorted(b.part[word], np.arange(parts + 1))
+                for p, at in b.pieces(sent):
+                    part = slice(low[p], low[p + 1])
+                    places = np.searchsorted(at, word[part])
+                    rows.append((p, b.number, b.hashes[at].tobytes(), _pack(b.classes[at], np.uint16), _pack(np.diff(places, prepend=0), np.int32), _pack(cell[part], np.uint16), _pack(n[part], np.int32)))
+                if rows:
+                    yield batch_of(rows)
+        if total.any():
+            both = np.concatenate([t.reshape(len(head), k) for t in total], axis=1)
+            yield batch_of([(-1 - r, -1, b"", b"", b"", b"", _pack(both[r * RANGE : (r + 1) * RANGE], np.int64)) for r in range(-(-len(both) // RANGE))])
+
+    def move(asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = asked.column("part")[0].as_py()
+        if part < 0:
+            low = (-1 - part) * RANGE
+            own = head[low : low + RANGE]
+            total = np.zeros((len(own), 2 * k), np.int64)
+            for n in asked.column("n"):
+                total += _unpack(n.as_py(), np.int64).reshape(total.shape)
+            best = best_classes(total, own, matrix)
+            yield _news(asked.slice(0, 1), turn % 2, [best], np.uint16)
+            return
+        hashes = [np.frombuffer(x, np.int64) for x in asked.column("hashes").to_pylist()]
+        sizes = np.cumsum([0, *(len(h) for h in hashes)])
+        every, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        own = np.concatenate([_unpack(x, np.uint16) for x in asked.column("classes").to_pylist()]).astype(np.int64)[first]
+        words = np.concatenate([at[low + np.cumsum(_unpack(x, np.int32))] for low, x in zip(sizes, asked.column("words").to_pylist())])
+        cells, n = (np.concatenate([_unpack(x, t) for x in asked.column(c).to_pylist()]).astype(np.int64) for c, t in (("cells", np.uint16), ("n", np.int32)))
+        keys, where = np.unique(words * (2 * k) + cells, return_inverse=True)
+        n = np.bincount(where, n, len(keys)).astype(np.int64)
+        best = best_of_few(keys // (2 * k), keys % (2 * k), n, own, matrix)
+        yield _news(asked, turn % 2, np.split(best[at], sizes[1:-1]), np.uint16)
+
+    asked = blocks.mapInArrow(ask, ASKED)
+    return written(streamed(asked, ["part"], move, TOLD))
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -202,89 +358,130 @@ def best_classes(counts: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.
     return np.where((gain[i, best] > stay + 1e-9) & (n_in[:, 0] > 0), best, own)
 
 
-def bigrams(sums: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """Class bigrams of the summed counts; one small matrix per task reaches the driver."""
+def best_of_few(words: np.ndarray, cells: np.ndarray, n: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The same as best_classes for words of few neighbour classes: counts as triples (word, cell, n), sorted by word, a cell
+    being the class before, or the number of classes and the class after."""
+    k, best = len(matrix), own.copy()
+    rows, columns = matrix.sum(1), matrix.sum(0)
+    wide = np.concatenate([matrix, matrix.T])  # by cell, a column per class
+    kinds, kind = np.unique(cells * (n.max(initial=0) + 1) + n, return_inverse=True)
+    cell, times = kinds // (n.max(initial=0) + 1), (kinds % (n.max(initial=0) + 1))[:, None]
+    now = wide[cell]
+    plus, minus = _phi(now + times) - _phi(now), _phi(now) - _phi(now - times)
+    starts = np.flatnonzero(np.diff(words, prepend=-1))
+    ends = np.append(starts[1:], len(words))
+    for low in range(0, len(starts), 4_096):
+        begin, end = starts[low : low + 4_096], ends[low : low + 4_096]
+        part = slice(begin[0], end[-1])
+        at = words[begin]
+        i, old = np.arange(len(at)), own[at]
+        after = np.add.reduceat(np.where(cells[part] < k, n[part], 0), begin - begin[0])[:, None]
+        before = np.add.reduceat(np.where(cells[part] < k, 0, n[part]), begin - begin[0])[:, None]
+        gain = np.add.reduceat(plus[kind[part]], begin - begin[0])
+        gain -= _phi(rows + before) - _phi(rows) + _phi(columns + after) - _phi(columns)
+        stay = np.add.reduceat(minus[kind[part], own[words[part]]], begin - begin[0])
+        stay -= _phi(rows[old]) - _phi(rows[old] - before[:, 0]) + _phi(columns[old]) - _phi(columns[old] - after[:, 0])
+        gain[i, old] = stay
+        to = gain.argmax(1)
+        best[at] = np.where((gain[i, to] > stay + 1e-9) & (after[:, 0] > 0), to, old)
+    return best
+
+
+def most_frequent(known: DataFrame, frequent: int = FREQUENT) -> list:
+    """The words with the largest counts, ties by hash.
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, CLASSES), np.int64)
-        for number, counts in _unpacked(batches):
-            np.add.at(total.T, classes[number * RANGE : (number + 1) * RANGE], counts[:, :CLASSES])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["cell", "n"])
+    Counts are first gathered in narrow classes, a few hundred numbers; only words of the classes that can be among the
+    most frequent are sorted, so no task hands on more than are left.
+    """
+    step = F.floor(F.log("c") * 20).cast("int")
+    left, least = frequent, 0
+    for row in known.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        least, left = row["step"], left - row["n"]
+        if left <= 0:
+            break
+    return known.where(step >= least).orderBy(F.desc("c"), "hash").limit(frequent).collect()
 
-    matrix = np.zeros(CLASSES * CLASSES)
-    for row in sums.mapInArrow(fold, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        matrix[row["cell"]] = row["n"]
-    return matrix.reshape(CLASSES, CLASSES)
 
+def settled(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int) -> DataFrame:
+    """(ending, class, tokens, types, once) of the words that are not frequent, each counted once."""
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    for batch in batches:
-        for number, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield number, np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.int64).reshape(RANGE, 2 * CLASSES)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, b in _blocks(batch, units, head, counts, parts, k):
+                rows = []
+                for p, at in b.pieces(b.rare & (b.counts > 0)):
+                    rows.append((p, b.hashes[at].tobytes(), _pack(b.endings[at], np.int32), _pack(b.classes[at], np.int32), _pack(b.counts[at], np.int64)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["part", "hashes", "endings", "classes", "c"])
 
+    def once(asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        _, first = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in asked.column("hashes").to_pylist()]), return_index=True)
+        ending, own, c = (np.concatenate([_unpack(x, t) for x in asked.column(n).to_pylist()])[first] for n, t in (("endings", np.int32), ("classes", np.int32), ("c", np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ending), pa.array(own), pa.array(c)], ["ending", "class", "c"])
 
-def exchanged(sums: DataFrame, classes: np.ndarray, matrix: np.ndarray, turn: int) -> np.ndarray:
-    """Classes after the units of this turn have moved; ranges are worked on in parallel."""
+    asked = blocks.mapInArrow(ask, "part int, hashes binary, endings binary, classes binary, c binary")
+    words = streamed(asked, ["part"], once, "ending int, class int, c long")
+    return written(words.groupBy("ending", "class").agg(F.sum("c").alias("tokens"), F.count("*").alias("types"), F.count(F.when(F.col("c") == 1, 1)).alias("once")))
 
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, counts in _unpacked(batches):
-            units = np.arange(number * RANGE, (number + 1) * RANGE)
-            units = units[(units // 2 + units) % 2 == turn % 2]
-            best = best_classes(counts[units - number * RANGE], classes[units], matrix)
-            moved = best != classes[units]
-            yield pa.RecordBatch.from_arrays([pa.array(units[moved], pa.int32()), pa.array(best[moved], pa.int32())], ["unit", "class"])
 
-    after = classes.copy()
-    for row in sums.mapInArrow(move, "unit int, class int").collect():
-        after[row["unit"]] = row["class"]
-    return after
+def classes_for(types: int) -> int:
+    """Number of classes: the cube root of the number of words, CLASSES at least."""
+    return max(CLASSES, round(types ** (1 / 3)))
 
 
-def most_frequent(known: DataFrame) -> list:
-    """The FREQUENT words with the largest counts, ties by hash.
+def trained(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> Model:
+    return fitted(blocks, known, rounds, frequent)[0]
 
-    Counts are first gathered in narrow classes, a few hundred numbers; only words of the classes that can be among the
-    most frequent are sorted, so no task hands on more than are left.
-    """
-    step = F.floor(F.log("c") * 20).cast("int")
-    left, least = FREQUENT, 0
-    for row in known.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
-        least, left = row["step"], left - row["n"]
-        if left <= 0:
-            break
-    return known.where(step >= least).orderBy(F.desc("c"), "hash").limit(FREQUENT).collect()
-
-
-def trained(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Exchange the classes and estimate the model. The driver sees the frequent words, a few numbers per ending, unit and
-    pair of classes: sizes set by the parameters above."""
-    frequent = most_frequent(known)
-    by_ending = known.groupBy("ending").agg(F.sum("c").alias("tokens"), F.count("*").alias("types"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).collect()
-    stats = np.zeros((UNITS, 3), np.int64)  # tokens, types, types seen once
-    for r in by_ending:
-        stats[FREQUENT + r["ending"]] = r["tokens"], r["types"], r["once"]
-    for i, r in enumerate(frequent):
-        stats[i] = r["c"], 1, r["c"] == 1
-        stats[FREQUENT + r["ending"]] -= stats[i]
-    hashes = np.array([r["hash"] for r in frequent], np.int64)
-    order = np.argsort(hashes)
-    units = Units(hashes[order], order.astype(np.int64))
 
-    classes = np.empty(UNITS, np.int64)
-    classes[np.argsort(-stats[:, 0], kind="stable")] = np.arange(UNITS) % CLASSES
-    for turn in range(rounds):
-        sums = neighbours(blocks, units, classes)
-        classes = exchanged(sums, classes, bigrams(sums, classes), turn)
-    matrix = bigrams(neighbours(blocks, units, classes), classes)
+def fitted(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
+    """Exchange the classes and estimate the model; returns it and the blocks with their words' counts and classes.
 
-    total, types, once = (np.bincount(classes, stats[:, i], CLASSES) for i in range(3))
-    n = total.sum()
+    Half turns go on until two of them raise the likelihood by less than STILL, or `rounds` are over; the best state counts. The
+    driver sees the frequent words, a class per ending and a few numbers per pair of classes; the classes of all other words
+    stay in the shared folder.
+    """
+    n, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    top = most_frequent(known, frequent)
+    k, parts = classes_for(types), 1 + max(0, types - len(top)) // PART
+    hashes, counts = np.array([r["hash"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)
+    order = np.argsort(hashes)
+    units = Units(hashes[order], order.astype(np.int64), len(top))
+    head = np.arange(len(top)) % k
+
+    number = counted(blocks, units, parts)
+    halves: dict[int, DataFrame] = {}
+    reached: list[float] = []
+    for turn in range(rounds + 1):
+        now = told(blocks, [number, *halves.values()])
+        matrix = bigrams(now, units, head, counts, parts, k)
+        reached.append((_phi(matrix).sum() - _phi(matrix.sum(0)).sum() - _phi(matrix.sum(1)).sum()) / max(n, 1))
+        if reached[-1] == max(reached):
+            best = now, matrix, head
+        if turn == rounds or turn > 1 and reached[-1] < reached[-3] + STILL:
+            break
+        after = exchanged(now, units, head, counts, parts, matrix, turn)
+        head = head.copy()
+        for row in after.where("block < 0").collect():
+            low = (-1 - row["part"]) * RANGE
+            head[low : low + RANGE] = _unpack(row["data"], np.uint16)
+        halves[turn % 2] = after.where("block >= 0")
+    now, matrix, head = best
+
+    total, each, once = (np.bincount(head, x, k) for x in (counts, np.ones(len(top)), counts == 1))
+    rest = settled(now, units, head, counts, parts, k)
+    for row in rest.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.sum("once").alias("once")).collect():
+        total[row["class"]] += row["tokens"]
+        each[row["class"]] += row["types"]
+        once[row["class"]] += row["once"]
+    # an unknown word is taken for what the rarest words of its ending are
+    ending = np.full(ENDINGS, once.argmax())
+    for row in rest.groupBy("ending").agg(F.max_by("class", F.struct("once", "types", "class")).alias("class")).collect():
+        ending[row["ending"]] = row["class"]
     share = total / n if n else total
-    discount = np.where(types > 0, np.clip(once / np.maximum(types, 1), 0.05, 0.95), 0.0)
-    free = np.where(total > 0, discount * types / np.maximum(total, 1), 0.0)
-    transition = (matrix + CLASSES * share) / (matrix.sum(1, keepdims=True) + CLASSES)
-    return Model(units, classes, transition, discount, free, total, int(n), int(types.sum()))
+    discount = np.where(each > 0, np.clip(once / np.maximum(each, 1), 0.05, 0.95), 0.0)
+    free = np.where(total > 0, discount * each / np.maximum(total, 1), 0.0)
+    transition = (matrix + k * share) / (matrix.sum(1, keepdims=True) + k)
+    return Model(units, np.concatenate([head, ending]), counts, transition, discount, free, total, int(n), int(types), parts), now
 
 
 def log_probabilities(model: Model, tokens: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,31 +495,24 @@ def log_probabilities(model: Model, tokens: np.ndarray, classes: np.ndarray, cou
     return np.log10(base)[tokens], np.log10(both) if model.tokens else np.log10(base)[tokens]
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row of (doc_id, text)."""
     blocks = encoded(docs)
-    known = vocabulary(blocks)
-    model = trained(blocks, known)
-    entries = blocks.select("block", F.posexplode("hashes").alias("i", "hash"))
-    found = entries.join(known.select("hash", "c"), "hash").groupBy("block").agg(F.collect_list("i").alias("at"), F.collect_list("c").alias("c"))
-    told = blocks.drop("counts").join(found, "block", "left")
+    model, now = fitted(blocks, vocabulary(blocks), frequent=frequent)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                tokens, lengths, held, hashes, endings = _row(batch, i)
-                counts = np.zeros(len(hashes), np.int64)
-                if batch.column("at")[i].is_valid:
-                    counts[batch.column("at")[i].values.to_numpy()] = batch.column("c")[i].values.to_numpy()
-                base, own = log_probabilities(model, tokens, model.classes[model.units.of(hashes, endings)], counts)
+            for i, b in _blocks(batch, model.units, model.classes, model.counts, model.parts, len(model.total)):
+                lengths, counts = b.lengths, b.counts
+                base, own = log_probabilities(model, b.tokens, np.where(counts > 0, b.classes, model.classes[b.units]), counts)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
                 total = np.add.reduceat(own, starts)
                 columns = [
                     pa.array(batch.column("ids")[i].as_py(), pa.int64()),
-                    pa.array(held, pa.bool_()),
+                    pa.array(b.held, pa.bool_()),
                     pa.array(lengths.astype(np.int64)),
-                    pa.array(np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)),
+                    pa.array(np.add.reduceat((counts > 0)[b.tokens].astype(np.int64), starts)),
                     pa.array(np.full(len(lengths), model.tokens, np.int64)),
                     pa.array(np.add.reduceat(base, starts)),
                     pa.array(total),
@@ -330,4 +520,4 @@ def scored(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return told.mapInArrow(score, schema)
+    return now.mapInArrow(score, schema)

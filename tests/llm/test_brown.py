@@ -60,3 +60,25 @@ def test_empty_and_untrained(spark):
     only = next(i for i in range(100) if held(i))
     row = brown.scored(spark.createDataFrame([(only, "never seen")], "doc_id long, text string")).first()
     assert row.train_tokens == 0 and row.n_known == 0 and row.score == row.base_score
+
+
+def test_words_beyond_the_frequent_move_by_themselves(spark):
+    # all words end alike and only the end token is frequent, so nothing but each word's own neighbours can part them
+    docs = spark.createDataFrame([(i, " ".join(f"a{(i * 7 + k) % 20}xyz b{(i * 5 + k) % 20}xyz" for k in range(60))) for i in range(60)], "doc_id long, text string")
+    gains = []
+    for frequent in (1, 1000):
+        held = brown.scored(docs, frequent=frequent).where("held_out").toPandas()
+        gains.append((held.score - held.base_score).sum() / held.n_tokens.sum())
+    assert min(gains) > 0.1
+
+
+def test_few_and_many_neighbours_choose_alike():
+    rng = np.random.default_rng(1)
+    matrix = rng.integers(50, 400, (5, 5)).astype(float)
+    counts, own = rng.integers(0, 4, (30, 10)), rng.integers(0, 5, 30)
+    word, cell = np.nonzero(counts)
+    assert brown.best_of_few(word, cell, counts[word, cell], own, matrix).tolist() == brown.best_classes(counts, own, matrix).tolist()
+
+
+def test_classes_follow_the_vocabulary():
+    assert brown.classes_for(1_000) == brown.CLASSES < brown.classes_for(400_000) < brown.classes_for(4_000_000)
