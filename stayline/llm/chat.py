@@ -1,16 +1,18 @@
 """Chat formatting with built-in functions only.
 
 A record's layout is told by its fingerprint: the hash of its nested field paths. Each known fingerprint selects a
-mapping, declared as data, that turns the record into canonical turns (conv_id, turn, role, text). Tables are told apart
-by their schema (columns no layout names are left out first), JSON records row by row by the shape of each record.
+mapping, declared as data, that turns the record into canonical turns (conv_id, turn, role, text, layout). Tables are told
+apart by their schema, and by what is filled in a row if it fits several; JSON records by the shape of each record. Paths
+that no layout names are left out first.
 
 The template marks each turn as  <|im_start|>role\\ntext<|im_end|>\\n . Inside roles and texts, `<`, any carets and `|` get one
 caret more, so no control string can appear there, and taking one caret away restores the text. A line feed inside a role
 is written <|nl|>. The loss mask lists (start, length) in code points of every assistant text in the formatted string.
 
 Defined results: null roles and texts are empty; turns are ordered by turn (nulls first), then role, then text, so ties and
-repeated rows give the same string in any run; an empty table gives an empty table; records of an unknown layout are
-returned by `unknown` and never dropped silently. A conversation is one output row, so its turns meet in one task.
+repeated rows give the same string in any run; an empty table gives an empty table; in JSON records a field
+that is a list or an object counts as its JSON text; records of an unknown layout come as one row without turn and layout,
+also listed by `unknown`, and those without turns as one row without turn; none is dropped. A conversation is one output row, so its turns meet in one task.
 """
 
 from __future__ import annotations
@@ -104,45 +106,79 @@ def _joined(fields: list[Column]) -> Column:
     return fields[0] if len(fields) == 1 else F.concat_ws("\n", *[F.when(f != "", f) for f in fields])
 
 
-def _exploded(records: DataFrame, turns: Column) -> DataFrame:
-    rows = records.select("conv_id", F.posexplode(turns).alias("turn", "of"))
-    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "of.role", "of.text")
+def _exploded(records: DataFrame, layout: Column, turns: Column) -> DataFrame:
+    rows = records.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "of"))
+    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "of.role", "of.text", "layout")
+
+
+def _chosen(candidates: list[Layout], filled) -> Column:
+    """The name of the layout with the most fields filled in a row, the first among equals; null if none has any."""
+    best, most = F.lit(None).cast("string"), F.lit(0)
+    for layout in candidates:
+        n = sum([filled(p).cast("int") for p in layout.paths], F.lit(0))
+        best, most = F.when(n > most, F.lit(layout.name)).otherwise(best), F.greatest(n, most)
+    return best
 
 
 def from_table(table: DataFrame, conv_id: str = "conv_id") -> DataFrame:
-    """Canonical turns of a table of any known layout."""
-    layout = layout_of(StructType([f for f in table.schema.fields if f.name != conv_id]))
+    """Canonical turns and the layout of a table of any known layouts; in a table that holds several, each row has its own."""
+    kind = StructType([f for f in table.schema.fields if f.name != conv_id])
+    layout = layout_of(kind)
     if layout is None:
-        return table.select(F.col(conv_id).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    records = table.select(F.col(conv_id).alias("conv_id"), *{p.split(".")[0].split("[")[0] for p in layout.paths})
-    return _exploded(records, _mapped(layout, lambda path, kind: F.col(path).cast(kind) if "<" not in kind else F.col(path)))
+        return table.select(F.col(conv_id).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", F.lit("rows").alias("layout"))
+    known = set(paths_of(kind))
+    candidates = [layout, *sorted((x for x in LAYOUTS if x != layout and set(x.paths) <= known), key=lambda x: (-len(x.paths), x.name))]
+    records = table.select(F.col(conv_id).alias("conv_id"), *{p.split("[")[0] for x in candidates for p in x.paths})
+    name = F.coalesce(_chosen(candidates, lambda p: F.col(p.split("[")[0]).isNotNull()), F.lit(layout.name))
+    turns = F.lit(None).cast(f"array<{TURN}>")
+    for x in candidates:
+        turns = F.when(F.col("layout") == x.name, _mapped(x, lambda path, kind: F.col(path).cast(kind) if "<" not in kind else F.col(path))).otherwise(turns)
+    return _exploded(records.withColumn("layout", name), F.col("layout"), turns)
 
 
 def shaped(records: DataFrame, json: str = "json") -> DataFrame:
-    """(conv_id, record, fingerprint) of JSON records: each one's own field paths, hashed. What is no JSON has no fingerprint."""
+    """(conv_id, record, fingerprint, layout) of JSON records: the hash of those of each one's own field paths that any layout
+    knows. What is no JSON has no fingerprint; layout is the name of the one with exactly these paths, else of the largest they
+    contain (the first by name among equals), else null. A list of turns is known by its items; an empty one has all their paths."""
     record = F.try_parse_json(F.col(json))
-    shape = F.schema_of_variant("record")
-    # OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>  to  messages[].content, messages[].role
-    body = F.regexp_extract(F.regexp_replace(shape, r": (?:STRING|BIGINT|BOOLEAN|VOID|DOUBLE|DATE|TIMESTAMP|DECIMAL\(\d+,\d+\))(?=[,>])", ""), r"^OBJECT<(.*)>$", 1)
-    listed = F.regexp_extract(body, r"^(\w+): ARRAY<OBJECT<([\w, ]+)>>$", 1)
-    inner = F.split(F.regexp_extract(body, r"^(\w+): ARRAY<OBJECT<([\w, ]+)>>$", 2), ", ")
-    paths = F.when(listed != "", F.transform(inner, lambda x: F.concat(listed, F.lit("[]."), x))).otherwise(F.split(body, ", "))
     named = records.select("conv_id", record.alias("record"))
-    return named.select("conv_id", "record", F.sha2(F.array_join(F.array_sort(paths), "\n"), 256).alias("fingerprint"))
+    here = []
+    for path in sorted(KNOWN - set(ROWS)):
+        top, _, item = path.partition("[].")
+        if item:
+            items = F.try_variant_get("record", f"$.{top}", "array<variant>")
+            inside = (F.size(items) == 0) | F.exists(items, lambda x: F.try_variant_get(x, f"$.{item}", "variant").isNotNull())
+            here.append(F.when(inside, F.lit(path)))
+        else:
+            here.append(F.when(F.try_variant_get("record", f"$.{path}", "variant").isNotNull(), F.lit(path)))
+    named = named.withColumn("paths", F.when(F.col("record").isNotNull(), F.array_compact(F.array(*here))))
+    named = named.withColumn("fingerprint", F.sha2(F.array_join("paths", "\n"), 256))
+    layout = F.lit(None).cast("string")
+    for x in sorted(LAYOUTS, key=lambda x: (-len(x.paths), x.name), reverse=True):
+        layout = F.when(F.forall(F.array(*map(F.lit, x.paths)), lambda p: F.array_contains("paths", p)), F.lit(x.name)).otherwise(layout)
+    for key, x in BY_FINGERPRINT.items():
+        layout = F.when(F.col("fingerprint") == key, F.lit(x.name)).otherwise(layout)
+    return named.select("conv_id", "record", "fingerprint", layout.alias("layout"))
+
+
+def _read(records: DataFrame, json: str) -> DataFrame:
+    """shaped, with `turns`; layout and turns are null where a record has none or its turns cannot be read."""
+    turns = F.lit(None).cast(f"array<{TURN}>")
+    for x in LAYOUTS:
+        mapped = _mapped(x, lambda path, kind: F.try_variant_get(F.col("record"), f"$.{path}", kind))
+        turns = F.when(F.col("layout") == x.name, mapped).otherwise(turns)
+    rows = shaped(records, json).withColumn("turns", turns)
+    return rows.withColumn("layout", F.when(F.col("turns").isNotNull(), F.col("layout")))
 
 
 def from_json(records: DataFrame, json: str = "json") -> DataFrame:
-    """Canonical turns of (conv_id, json) records whose layouts may differ from row to row."""
-    turns = F.lit(None).cast(f"array<{TURN}>")
-    for key, layout in BY_FINGERPRINT.items():
-        mapped = _mapped(layout, lambda path, kind: F.try_variant_get(F.col("record"), f"$.{path}", kind))
-        turns = F.when(F.col("fingerprint") == key, mapped).otherwise(turns)
-    return _exploded(shaped(records, json), turns)
+    """Canonical turns and the layout of (conv_id, json) records whose layouts may differ from row to row."""
+    return _exploded(_read(records, json), F.col("layout"), F.col("turns"))
 
 
 def unknown(records: DataFrame, json: str = "json") -> DataFrame:
-    """The (conv_id, fingerprint) of JSON records no layout is declared for; a null fingerprint: no JSON."""
-    return shaped(records, json).where(F.col("fingerprint").isNull() | ~F.col("fingerprint").isin(*BY_FINGERPRINT)).select("conv_id", "fingerprint")
+    """The (conv_id, fingerprint) of JSON records no layout can read; a null fingerprint: no JSON."""
+    return _read(records, json).where(F.col("layout").isNull()).select("conv_id", "fingerprint")
 
 
 def escaped(text: Column) -> Column:
@@ -154,19 +190,22 @@ def unescaped(text: Column) -> Column:
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss) of canonical turns; loss: array of (start, length) in code points, in order.
+    """(conv_id, formatted, loss) of canonical turns, formatted null for a conversation with a record no layout can read; loss: array of (start, length) in code points, in order.
 
     One shuffle, on the conversation: the running offsets and the final string need the same rows together.
     """
     role = F.replace(escaped(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit(LINE))
     text = escaped(F.coalesce("text", F.lit("")))
-    rows = turns.select("conv_id", "turn", F.col("role").alias("r"), F.col("text").alias("t"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), text.alias("body"))
+    layout = F.col("layout") if "layout" in turns.columns else F.lit("rows")
+    unread, turnless = layout.isNull(), layout.isNull() | (layout != "rows") & F.col("turn").isNull()
+    rows = turns.select("conv_id", unread.alias("unread"), turnless.alias("turnless"), "turn", F.col("role").alias("r"), F.col("text").alias("t"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), text.alias("body"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("r").asc_nulls_first(), F.col("t").asc_nulls_first())
-    size = F.length("head") + F.length("body") + len(END)
+    size = F.when(F.col("turnless"), 0).otherwise(F.length("head") + F.length("body") + len(END))
     rows = rows.select(
         "conv_id",
         F.row_number().over(order).alias("i"),
-        F.concat("head", "body", F.lit(END)).alias("piece"),
+        "unread",
+        F.when(F.col("turnless"), "").otherwise(F.concat("head", "body", F.lit(END))).alias("piece"),
         (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1))).alias("before"),
         F.length("head").alias("skip"),
         F.length("body").alias("length"),
@@ -174,8 +213,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     )
     start = (F.coalesce("before", F.lit(0)) + F.col("skip")).cast("int").alias("start")
     span = F.when(F.col("learnt"), F.struct(start, F.col("length").alias("length")))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("pieces"), F.sort_array(F.collect_list(span)).alias("loss"))
-    return grouped.select("conv_id", F.array_join("pieces.piece", "").alias("formatted"), "loss")
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("pieces"), F.sort_array(F.collect_list(span)).alias("loss"), F.bool_or("unread").alias("unread"))
+    return grouped.select("conv_id", F.when(~F.col("unread"), F.array_join("pieces.piece", "")).alias("formatted"), "loss")
 
 
 def read_back(formatted: Column) -> Column:

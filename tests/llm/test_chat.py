@@ -61,3 +61,23 @@ def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.formatted(chat.from_table(none)).collect() == []
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_no_record_is_dropped(spark):
+    said = [{"role": "user", "content": "u"}]
+    rows = [{"id": 1, "source": {"a": [1]}, "messages": said}, {"id": 1, "prompt": "q", "response": "a"}, {"messages": []}, {"messages": [{"role": "user", "content": ["x"]}]}, {"prompt": ["x"], "response": "a"}, {"a": 1}]
+    records = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "conv_id long, json string")
+    turns = chat.from_json(records)
+    got = sorted((r.conv_id, r.role, r.text, r.layout) for r in turns.collect())
+    assert got[:4] == [(0, "user", "u", "messages"), (1, "assistant", "a", "prompt_response"), (1, "user", "q", "prompt_response"), (2, None, None, "messages")]
+    assert got[4:] == [(3, "user", '["x"]', "messages"), (4, "assistant", "a", "prompt_response"), (4, "user", '["x"]', "prompt_response"), (5, None, None, None)]
+    assert [r.conv_id for r in chat.unknown(records).collect()] == [5]
+    texts = {r.conv_id: r.formatted for r in chat.formatted(turns).collect()}
+    assert texts[0] == "<|im_start|>user\nu<|im_end|>\n" and texts[2] == "" and texts[5] is None
+
+
+def test_layout_of_each_row_of_a_table(spark):
+    kind = "conv_id long, prompt string, response string, completion string, messages array<struct<role: string, content: string>>"
+    table = spark.createDataFrame([(1, "q", "a", None, None), (2, None, None, None, [("user", "u")]), (3, "q", None, "c", None), (4, None, None, None, [])], kind)
+    got = sorted((r.conv_id, r.role, r.text) for r in chat.from_table(table).collect())
+    assert got == [(1, "assistant", "a"), (1, "user", "q"), (2, "user", "u"), (3, "assistant", "c"), (3, "user", "q"), (4, None, None)]
