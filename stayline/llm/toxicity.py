@@ -1,7 +1,7 @@
-"""Toxicity by a weighted finite-state grammar over clauses.
+"""Toxicity by learned word weights and the states of a clause.
 
-Five small transducers read the words of a clause: insult and threat (words with weights), target (second person),
-negation and reported speech. They are composed left to right into one machine whose state says what is open: a negation
+One loop reads the words of a clause by word sets: insult and threat (words with weights), target (second person),
+negation and reported speech. It stands in for composed transducers; no pattern is longer than a word. What is open: a negation
 within the last NEAR words, reported speech until the clause ends or its quotation closes. A word with a weight is emitted
 with the factor of the state it is met in, and a clause that also names a target counts more. A text is scored by its
 matched clauses, not by its words as such: the strongest, the sum, and how many of all clauses they are.
