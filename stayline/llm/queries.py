@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe, brown, caps, chat, extract, minhash, mixing, quality, toxicity, warc
+from stayline.llm import bpe, brown, caps, chat, crosstok, extract, minhash, mixing, quality, toxicity, warc, whitening, winnow
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +90,33 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), percent=85)
 
 
+def op11_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnow.matched(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark").select("item_id", "text"))
+    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op12_cross_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = crosstok.aligned(_table(spark, folder, "documents").select("doc_id", "text"), *files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = crosstok.scored(found.withColumn("groups_sha256", digest).drop("groups"), crosstok.loaded(*files).width)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_html_tree": op2_html_tree,
@@ -101,6 +128,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op11_winnowing": op11_winnowing,
+    "op12_cross_tokens": op12_cross_tokens,
+    "op13_whitening": op13_whitening,
 }
 
 _CHAT_SQL = r"""
@@ -186,4 +216,27 @@ SELECT s.doc_id, CAST(len(held) AS BIGINT) AS n_shingles, m.root AS component_id
 FROM s JOIN (SELECT id, min(root) AS root FROM c GROUP BY id) m ON m.id = s.doc_id
 """
 
-SQL = {"op10_minhash": _MINHASH_SQL, "op4_spherical_caps": _CAPS_SQL, "op3_chat_format": _CHAT_SQL, "op6_quality_rules": _QUALITY_SQL, "op9_warc": _WARC_SQL}
+_WINNOW_SQL = r"""
+WITH low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+d AS (SELECT r, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+),
+i AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS said
+    FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 8, 2))) AS p FROM b WHERE len(w) > 0)
+),
+s AS (
+    SELECT r, p, n, array_to_string(w[p:p + n - 1], ' ') AS said
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)
+),
+h AS (SELECT s.r, s.p, s.n, i.item_id FROM s JOIN i ON s.said = i.said AND s.n = i.n),
+m AS (SELECT r, count(DISTINCT p + k) AS n_hit FROM (SELECT r, p, unnest(range(n)) AS k FROM (SELECT DISTINCT r, p, n FROM h)) GROUP BY r),
+c AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN m USING (r) LEFT JOIN c USING (r)
+"""
+
+SQL = {"op11_winnowing": _WINNOW_SQL, "op10_minhash": _MINHASH_SQL, "op4_spherical_caps": _CAPS_SQL, "op3_chat_format": _CHAT_SQL, "op6_quality_rules": _QUALITY_SQL, "op9_warc": _WARC_SQL}
