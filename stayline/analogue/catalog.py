@@ -23,7 +23,7 @@ from stayline.operators import pay as P
 from stayline.operators import safety, teaming
 from stayline.operators import text as X
 from stayline.plans import demographics, pay_profile, survey, team_history
-from stayline.sources import schemas, tables
+from stayline.sources import handover, schemas, tables
 
 
 @dataclass(frozen=True)
@@ -230,7 +230,7 @@ def team_statistics_as_written(a):
 @register("team_statistics_stored", _PEOPLE, "SELECT * FROM people")
 def team_statistics_stored(a):
     """The co-driver history handed over as the table that the other workload stored."""
-    path = tables.new_path(a.spark, "teaming")
+    path = handover.of_session(a.spark).path("teaming")
     tables.create_parquet(_history(a).withColumn("DriverID", F.expr("substr(DriverID, 2)")), path)
     return pay_profile.people(a.workforce(tables.read_parquet(a.spark, path)))
 
@@ -255,9 +255,13 @@ def _summary_sql(source: str) -> str:
     return f'SELECT stayed, Drivertype, seniority, count(*) AS "count", {", ".join(means)} FROM {source} GROUP BY ALL'
 
 
-@register("cohort_summary", _SUMMARY, _summary_sql("people"))
+@register(
+    "cohort_summary",
+    f"order:i {_SUMMARY}",
+    f"""SELECT *, row_number() OVER (ORDER BY Drivertype, seniority, stayed) AS "order" FROM ({_summary_sql("people")}) s""",
+)
 def cohort_summary(a):
-    return pay_profile.summary(_workforce(a))
+    return teaming.numbered_summary(pay_profile.summary(_workforce(a)))
 
 
 @register("cohort_summary_as_written", _beyond_bigint(_SUMMARY), _summary_sql("people_as_written"))
@@ -293,6 +297,25 @@ def expiry_list(a):
     return pay_profile.expiring(_workforce(a), a.expirations())
 
 
+_LIST = ["mpp_id", "DriverName", "phone", "DriverID"]
+_SUMMARY_COLUMNS = [c.split(":")[0] for c in _SUMMARY.split()]
+_BOTH = f"result:s {_SUMMARY} " + " ".join(f"{c}:s" for c in _LIST)
+_LISTED = [c if c in ("stayed", "Drivertype", "seniority", "Critical", "numteams") else None for c in _SUMMARY_COLUMNS]
+
+
+@register(
+    "summary_and_list",
+    _BOTH,
+    f"""SELECT 'summary' AS result, {", ".join(f'"{c}"' for c in _SUMMARY_COLUMNS)}, {", ".join(f"NULL AS {c}" for c in _LIST)} FROM ({_summary_sql("people")}) s
+UNION ALL SELECT 'list', {", ".join(c or "NULL" for c in _LISTED)}, {", ".join(_LIST)} FROM people JOIN v_expirations ON mpp_id = DriverID""",
+)
+def summary_and_list(a):
+    """Both results of a run, in one table, of person rows that are made once."""
+    summary, listed = pay_profile.results(_workforce(a), a.expirations(), handover.of_session(a.spark))
+    one = summary.select(F.lit("summary").alias("result"), *_SUMMARY_COLUMNS)
+    return one.unionByName(listed.select(F.lit("list").alias("result"), *filter(None, _LISTED), *_LIST), allowMissingColumns=True)
+
+
 # --- co-drivers --------------------------------------------------------------
 _LEG = "ord_hdrnumber:s lgh_number:s lgh_driver1:s lgh_driver2:s"
 
@@ -359,7 +382,7 @@ def team_first_and_last_leg(a):
 @register("teaming_sink", _TEAMS, "SELECT * FROM teaming_legs")
 def teaming_sink(a):
     """Written to the shared folder and read back."""
-    path = tables.new_path(a.spark, "teaming")
+    path = handover.of_session(a.spark).path("teaming")
     tables.create_parquet(_history(a), path)
     return tables.read_parquet(a.spark, path)
 
@@ -367,12 +390,24 @@ def teaming_sink(a):
 @register("teaming_append", _TEAMS, "SELECT * FROM teaming_legs UNION ALL SELECT * FROM teaming_legs")
 def teaming_append(a):
     """Written twice to the shared folder, the second time appended, and read back."""
-    path = tables.new_path(a.spark, "teaming")
+    path = handover.of_session(a.spark).path("teaming")
     for _ in range(2):
         tables.append_parquet(_history(a), path)
     return tables.read_parquet(a.spark, path)
 
 
+_RUNS = """SELECT *, run_key FROM teaming_legs, (VALUES ('one'), ('two')) v(run_key)"""
+
+
+@register("teaming_append_runs", f"{_TEAMS} run_key:s", _RUNS)
+def teaming_append_runs(a):
+    """Two runs appended, the first of them twice: its rows are there once, the other run's stay."""
+    path, rows = handover.of_session(a.spark).path("teaming"), _history(a)
+    for run in ("one", "two", "one"):
+        tables.append_run(rows, path, run)
+    return tables.read_runs(a.spark, path, rows.schema)
+
+
 # --- personal characteristics ------------------------------------------------
 def _people(a: V.Analogue) -> DataFrame:
     return demographics.people(a.retention(), a.hr(), a.dependents())
@@ -411,7 +446,7 @@ def demographics_from_csv(a):
     """The workload from CSV files that hold more columns, in another order, than it declares."""
 
     def stored(df: DataFrame, schema) -> DataFrame:
-        path = tables.new_path(a.spark, "csv")
+        path = handover.of_session(a.spark).path("csv")
         tables.write_csv(df.select(F.lit("x").alias("Region"), *reversed(df.columns), F.lit(1).alias("Rank")), path)
         return tables.read_csv(a.spark, path, schema)
 
@@ -613,11 +648,12 @@ def _reasons(a: V.Analogue) -> DataFrame:
 
 @register(
     "term_frequency",
-    "word:s n:i",
-    "SELECT word, count(*) AS n FROM words_whyleft WHERE word NOT IN (SELECT word FROM v_stop_words) GROUP BY word",
+    "order:i word:s n:i",
+    """SELECT *, row_number() OVER (ORDER BY n DESC, word) AS "order"
+FROM (SELECT word, count(*) AS n FROM words_whyleft WHERE word NOT IN (SELECT word FROM v_stop_words) GROUP BY word) c""",
 )
 def term_frequency(a):
-    return X.term_frequency(a.survey(), survey.WHY_LEFT, a.stop_words())
+    return X.numbered_by_frequency(X.term_counts(a.survey(), survey.WHY_LEFT, a.stop_words()))
 
 
 @register(
@@ -631,11 +667,12 @@ def term_frequency_liked(a):
 
 @register(
     "frequent_terms",
-    "word:s n:i",
-    "SELECT word, count(*) AS n FROM kept_whyleft GROUP BY word HAVING count(*) > 10",
+    "order:i word:s n:i",
+    """SELECT *, row_number() OVER (ORDER BY n, word) AS "order"
+FROM (SELECT word, count(*) AS n FROM kept_whyleft GROUP BY word HAVING count(*) > 10) c""",
 )
 def frequent_terms(a):
-    return X.frequent_terms(_answers(a, survey.WHY_LEFT))
+    return X.numbered_by_frequency(X.frequent_terms(_answers(a, survey.WHY_LEFT)), rarest_first=True)
 
 
 @register(

@@ -17,6 +17,7 @@ from stayline import constants as K
 from stayline.functions import scalars as S
 from stayline.operators.pay import earliest_period
 from stayline.plans.pay_profile import Workforce
+from stayline.sources import schemas
 from stayline.sources.tables import small_table
 
 AS_OF = datetime(2000, 6, 15)
@@ -24,11 +25,11 @@ CUTOFF = date(1998, 1, 1)
 FIRST_DAY = date(1995, 6, 1)
 LAST_DAY = date(2000, 6, 30)
 
-CLASS_CODES = ["TD1", "OO", "LOCAL", "TR2", "OTR", None, "STUD"]
-PAY_CODES = [
-    "MILES", "PDIEM", "LDMNY", "FINES", "DETPAY", "HOTEL", "SCALE", "TRAVEL", "PARKING", "REPAIR",
-    "DRVSLY", "ENDRSE", "BNSSAF", "HAZRET", "GRNT", "HMETME", "LAY", "MISC", "ADV.PA", None,
-]
+# a code of each class and bucket, by their place in the lists; others and missing ones too
+CLASS_CODES = [K.DRIVER_CLASSES[c][i] for c, i in (("Team Driver_Student", 2), ("Owner Operator", 0), ("DRVENG", 1), ("Trainer", 1), ("OTR", 0))]
+CLASS_CODES += [None, K.DRIVER_CLASSES["Team Driver_Student"][8]]
+PAY_CODES = [*K.UNCOUNTED_CODES[::-1], "LDMNY", "FINES", "DETPAY", *(K.PAY_BUCKETS["chargeback"][i] for i in (1, 3, 0, 7, 8))]
+PAY_CODES += ["DRVSLY", "ENDRSE", "BNSSAF", "HAZRET", "GRNT", K.LATE_HOME_CODE, K.LAYOVER_CODE, "MISC", "ADV.PA", None]
 STOP_WORDS = ["the", "of", "and", "to", "a", "in", "de", "la"]
 DOMAIN_WORDS = ["is", "that", "it", "for", "der", "die", "th"]
 THEMES = {
@@ -56,6 +57,15 @@ def pick(number: str, values) -> str:
     return f"CASE {number} % {len(values)} {arms} END"
 
 
+def spelt(code: str, number: str) -> str:
+    """SQL that writes a code in one of three spellings, by the remainder of a number: as it is, small, small and padded."""
+    return f"concat(if({number} % 3 = 0, {code}, lower({code})), if({number} % 3 = 2, '  ', ''))"
+
+
+def code(text: str) -> str:
+    return f"collate({text}, '{schemas.COLLATION}')"
+
+
 def moment(day: date | datetime) -> str:
     return f"TIMESTAMP_NTZ'{day:%Y-%m-%d %H:%M:%S}'"
 
@@ -81,9 +91,9 @@ class Analogue:
             f"CASE WHEN c_custkey % 3 = 0 THEN {days_after(CUTOFF, 'c_custkey % 365 - 60')} "
             f"ELSE {moment(K.ACTIVE_UNTIL)} END AS mpp_terminationdt",
             "concat('S', c_nationkey) AS mpp_state",
-            "CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_nationkey % 5 = 0 THEN 'lease' ELSE 'company' END AS mpp_type1",
-            f"{pick('c_custkey', CLASS_CODES)} AS mpp_type2",
-            "CASE WHEN c_custkey % 3 = 0 THEN 'OUT' ELSE 'ACT' END AS mpp_status",
+            f"""{code(spelt("CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_nationkey % 5 = 0 THEN 'Lease' ELSE 'Company' END", "(c_custkey DIV 4)"))} AS mpp_type1""",
+            f"{code(spelt(pick('c_custkey', CLASS_CODES), '(c_custkey DIV 5)'))} AS mpp_type2",
+            f"""{code(spelt("CASE WHEN c_custkey % 3 = 0 THEN 'OUT' ELSE 'ACT' END", "(c_custkey DIV 6)"))} AS mpp_status""",
             "CASE WHEN c_custkey % 50 <> 0 THEN c_mktsegment END AS mpp_firstname",
             "c_name AS mpp_lastname",
             "concat('555-', c_custkey) AS mpp_currentphone",
@@ -107,8 +117,8 @@ class Analogue:
         )
         lines = self.table("lineitem").selectExpr(
             "l_orderkey",
-            "CASE WHEN l_linenumber = 7 THEN 'TRC' ELSE 'DRV' END AS asgn_type",
-            f"{pick('l_partkey', PAY_CODES)} AS pyt_itemcode",
+            f"""{code(spelt("CASE WHEN l_linenumber = 7 THEN 'TRC' ELSE 'DRV' END", "l_suppkey"))} AS asgn_type""",
+            f"{code(spelt(pick('l_partkey', PAY_CODES), 'l_linenumber'))} AS pyt_itemcode",
             f"CAST(CASE WHEN l_partkey % {len(PAY_CODES)} = {PAY_CODES.index('FINES')} "
             "THEN -l_quantity ELSE l_quantity END * 10 AS DECIMAL(19,4)) AS pyd_amount",
         )
@@ -118,14 +128,14 @@ class Analogue:
     def events(self) -> DataFrame:
         return self.table("events").selectExpr(
             "CAST(user_id AS STRING) AS DriverID",
-            "CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'X Lane-Departure Y' WHEN event_type = 'view' THEN 'X_Lane_Departure_Y' ELSE event_type END AS EventTrigger",
+            f"""{code(spelt("CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'X Lane-Departure Y' WHEN event_type = 'view' THEN 'X_Lane_Departure_Y' ELSE event_type END", "event_id"))} AS EventTrigger""",
         )
 
     def accidents(self) -> DataFrame:
         return self.table("events").where("event_type = 'error'").selectExpr(
             "CAST(user_id AS STRING) AS MISC2_NM",
             "CAST(add_months(CAST(ts AS DATE), -289) AS TIMESTAMP_NTZ) AS REPORT_DT",
-            "CASE WHEN event_id % 2 = 0 THEN 'Chargeable' ELSE 'Other' END AS SPECIAL23",
+            f"""{code(spelt("CASE WHEN event_id % 2 = 0 THEN 'Chargeable' ELSE 'Other' END", "event_id"))} AS SPECIAL23""",
         )
 
     def names(self) -> DataFrame:
@@ -152,8 +162,8 @@ class Analogue:
             "CASE WHEN l_partkey % 4 = 0 THEN 'UNKNOWN' ELSE concat('D', l_partkey % 100) END AS lgh_driver2",
             "l_shipdate AS lgh_startdate",
             "l_shipdate + INTERVAL '1' HOUR * CAST(l_quantity AS INT) AS lgh_enddate",
-            "CASE WHEN l_partkey % 79 = 0 THEN NULL WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'solu ' "
-            "WHEN l_returnflag = 'R' THEN 'SOLU' ELSE l_returnflag END AS lgh_class1",
+            code("CASE WHEN l_partkey % 79 = 0 THEN NULL WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'solu ' "
+                 "WHEN l_returnflag = 'R' THEN 'SOLU' ELSE l_returnflag END") + " AS lgh_class1",
             "l_linestatus AS trc_division",
             "CAST(l_suppkey % 25 AS STRING) AS lgh_startcity",
             "CAST(l_partkey % 26 AS STRING) AS lgh_endcity",

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stayline import constants as K
+from stayline.sources.schemas import COLLATION
 
 
 # --- constants and defaults --------------------------------------------------
@@ -109,6 +110,19 @@ def trim_ws(col: Column) -> Column:
     return F.btrim(col, F.lit(" \t\r\n"))
 
 
+def code(col: Column) -> Column:
+    """A code that compares without case and end blanks, whatever type it came with."""
+    return F.collate(col, COLLATION)
+
+
+def code_key(col: Column) -> Column:
+    """One plain spelling for all spellings of a code, to group by.
+
+    Grouping by a collated column sorts the rows first; equal spellings of plain text are hashed.
+    """
+    return F.lower(F.rtrim(col)).cast("string")
+
+
 def text_key(col: Column, numeric: bool = False) -> Column:
     """Ids as text without a fraction: 12, 12.0 and '12.0' all give '12'; what is no number gives NULL."""
     if numeric:
@@ -141,21 +155,22 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def in_list(name: str, values: Sequence[str]) -> str:
+def in_list(name: str, values: Sequence[str], collation: str = "") -> str:
     """SQL test that a column holds one of the values."""
-    return f"`{name}` IN ({', '.join(quoted(v) for v in values)})"
+    column = f"`{name}` COLLATE {collation}" if collation else f"`{name}`"
+    return f"{column} IN ({', '.join(quoted(v) for v in values)})"
 
 
-def first_match(name: str, groups: Mapping[str, Sequence[str]], default: str) -> str:
-    """SQL label of the group whose code list holds the column's value."""
-    arms = " ".join(f"WHEN {in_list(name, codes)} THEN {quoted(label)}" for label, codes in groups.items() if codes)
+def first_match(name: str, groups: Mapping[str, Sequence[str]], default: str, collation: str = "") -> str:
+    """SQL label of the group whose code list holds the column's value, compared by a collation if one is given."""
+    arms = " ".join(f"WHEN {in_list(name, codes, collation)} THEN {quoted(label)}" for label, codes in groups.items() if codes)
     return f"CASE {arms} ELSE {default} END" if arms else default
 
 
 def driver_class(name: str) -> Column:
     # OTR is both a listed class and the fallback, so only the others need a test
     listed = {k: v for k, v in K.DRIVER_CLASSES.items() if k != K.DEFAULT_DRIVER_CLASS}
-    return F.expr(first_match(name, listed, quoted(K.DEFAULT_DRIVER_CLASS)))
+    return F.expr(first_match(name, listed, quoted(K.DEFAULT_DRIVER_CLASS), COLLATION))
 
 
 def pay_bucket(name: str) -> Column:

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUARTILES = (0.25, 0.5, 0.75)
-GRID = 1000
-SKETCH = 10_000
-# How often a bracket is sketched anew. Each pass leaves about four grid steps of it, so after the first sketch and this
-# many passes, a bracket holds (4 / GRID) ** (1 + PASSES) of a group's values.
-PASSES = 1
+#: Size of a quantile sketch, and how many times its error (at 99 % confidence) a bracket reaches to either side.
+SKETCH, SLACK = 4096, 5
+#: Error of a rank, as a share of the values, that a sketch of that size keeps to in 99 of 100 cases.
+RANK_ERROR = 2.296 / SKETCH**0.9723
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -31,179 +30,96 @@ def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     )
 
 
-def _small(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Broadcast what has a few rows per numeric column of a table; with other keys too, Spark measures the size itself."""
-    return F.broadcast(df) if set(keys) <= {"column"} else df
-
-
 def _same(keys: Sequence[str], prefix: str):
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
 # --- quantiles ---------------------------------------------------------------
-def grid_sketch(value: Column) -> Column:
-    """GRID + 1 evenly spaced quantiles, each off by at most 1/SKETCH of the
-    values; the buffer does not grow with them."""
-    return F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], SKETCH)
+def _sound(value: Column) -> Column:
+    """The value, unless it is none that a sketch takes (NaN sorts behind all others)."""
+    return F.when(~F.isnan(value), value)
 
 
-def value_spans(long: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
-    """Count, ends and sketch of the values per key group."""
-    value = F.col("value")
-    return long.groupBy(*keys).agg(
+def _span(value: Column) -> list[Column]:
+    return [
         F.count(value).alias("count"),
-        *more,
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        grid_sketch(value).alias("grid"),
-    )
+        F.count(_sound(value)).alias("sketched"),
+        F.kll_sketch_agg_double(_sound(value), SKETCH).alias("sketch"),
+    ]
 
 
-def column_spans(df: DataFrame, columns: Sequence[str], by: Sequence[str], *more: str) -> DataFrame:
-    """`value_spans` of several columns at once, one aggregate over the rows as they are; more: SQL names of further aggregates."""
+def value_spans(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, ends and mergeable sketch of the values per key group."""
+    return long.groupBy(*keys).agg(*_span(F.col("value")))
+
+
+def column_spans(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """`value_spans` of several columns at once, with mean and deviation, one aggregate over the rows as they are."""
 
     def spans(c: str) -> Column:
         value = F.col(c).cast("double")
-        extra = [F.call_function(f, value).alias(name) for name, f in (m.split("=") for m in more)]
-        return F.struct(F.lit(c).alias("column"), F.count(value).alias("count"), *extra, F.min(value).alias("min"), F.max(value).alias("max"), grid_sketch(value).alias("grid"))
+        return F.struct(F.lit(c).alias("column"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), *_span(value))
 
     wide = df.groupBy(*by).agg(*[spans(c).alias(f"__{i}") for i, c in enumerate(columns)])
     return wide.select(*by, F.explode(F.array(*[f"__{i}" for i in range(len(columns))])).alias("span")).select(*by, "span.*")
 
 
-def exact_quantiles(
-    long: DataFrame,
-    keys: Sequence[str],
-    probs: Sequence[float] = QUARTILES,
-    passes: int = PASSES,
-    spans: DataFrame | None = None,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation of `value` per key group.
+def exact_quantiles(long: DataFrame, keys: Sequence[str], probs: Sequence[float] = QUARTILES, spans: DataFrame | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation of `value` per key group: one column `q0`, `q1`, … for each of `probs`.
 
     The built-in exact percentile keeps every distinct value of a group in one
-    buffer. Here a sketch of fixed size first encloses each quantile in a
-    bracket that holds a few grid steps of the values, and each of `passes`
-    further ones sketches the brackets' own values and cuts them down again.
-    Then all values are counted: those in a bracket one by one, the others by
-    the gap they fall in. That table is small, and the running count over it
-    finds the exact ranks. Nothing runs before the result is asked for.
-
-    `spans` is the result of `value_spans` or `column_spans` if it is known.
+    buffer. Here a mergeable sketch of fixed size (`value_spans`, or the given
+    `spans`) encloses each quantile in a bracket, SLACK times as wide as the
+    sketch's error. One pass then counts all values: those in a bracket one by
+    one, the others by the gap they fall in, and the running count over that
+    small table finds the exact ranks. A rank that falls into a gap, which a
+    bracket as wide as that does not allow, is an error, never a wrong value.
+
+    Sketches are random, so what they say is used in one place only: the counts
+    carry their order (`cell`) and their group's exact count with them.
     """
     keys, probs = list(keys), [float(p) for p in probs]
     spans = value_spans(long, keys) if spans is None else spans
-    goal = F.col("prob") * (F.col("count") - 1)
-    wanted = spans.where("count > 0").withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs]))).select(
-        *keys,
-        "prob",
-        F.floor(goal).alias("rank"),
-        (goal - F.floor(goal)).alias("part"),
-        F.col("min").alias("lo"),
-        F.col("max").alias("hi"),
-        "grid",
-        F.col("count").alias("inner"),
-        F.lit(0).cast("bigint").alias("passed"),
-    )
-    targets = _tighter(wanted, keys)
-    for _ in range(passes):
-        targets = _narrowed(long, keys, targets)
-    return _ranked(long, keys, probs, targets)
-
-
-def _tighter(brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Each bracket cut down to the grid points around its quantile.
-
-    `grid` sketches the `inner` values of the bracket, `passed` values come
-    before them. The sketch may be off by a tenth of a grid step, so a step of
-    slack on each side keeps both wanted ranks in the bracket.
-    """
-    lo, hi, inner = F.col("lo"), F.col("hi"), F.col("inner")
-    position = F.col("rank") - F.col("passed")
-    step = F.try_divide(F.lit(float(GRID)), inner)  # none when only edges are left
-
-    def clamped(steps: Column) -> Column:  # far beyond the grid when an edge value is heavy
-        return F.when(step.isNotNull(), F.least(F.greatest(steps, F.lit(-1)), F.lit(GRID + 1))).cast("int")
-
-    down = F.least(clamped(F.floor(position * step) - 1), F.when(step.isNotNull(), F.lit(GRID)))
-    up = clamped(F.ceil((position + 3) * step) + 1)
-    steps = F.least(up, F.lit(GRID)) - F.greatest(down, F.lit(0))
-    cut = brackets.select(
-        *keys,
-        "prob",
-        "rank",
-        "part",
-        F.when(down >= 1, F.try_element_at("grid", down + 1)).otherwise(lo).alias("lo"),
-        F.when(position + 1 < 0, lo).when(up < GRID, F.try_element_at("grid", up + 1)).otherwise(hi).alias("hi"),
-        F.least(inner, F.coalesce(F.ceil(steps / step + inner * (2.0 / SKETCH) + 2), F.lit(0))).alias("inside"),
+    n, value = F.col("count"), F.col("value")
+    rank = [F.floor((n - 1) * p) for p in probs]
+
+    reach = SLACK * RANK_ERROR + 2 / SKETCH
+
+    def edge(share: float, end: str) -> Column:
+        """The sketch's value at a share of the values; the end of them for few values, and where some are not in the sketch."""
+        if not 0 < share < 1:
+            return F.col(end)
+        within = F.kll_sketch_get_quantile_double("sketch", F.lit(share))
+        return F.when((n > SKETCH) & (n == F.col("sketched")), within).otherwise(F.col(end))
+
+    brackets = spans.where("count > 0").select(
+        *[F.col(k).alias(f"t_{k}") for k in keys],
+        "count",
+        F.array(*[edge(p - reach, "min") for p in probs]).alias("lows"),
+        F.array(*[edge(p + reach, "max") for p in probs]).alias("highs"),
     )
-    return cut.withColumn("inside", F.when(F.col("lo") < F.col("hi"), F.col("inside")).otherwise(F.lit(0)))
-
-
-def _narrowed(long: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
-    """Brackets sketched on their own and cut down again.
-
-    Quantiles that share a bracket share its sketch.
-    """
-    value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    inner = F.when(value > lo, value)
-    shared = targets.select(*[F.col(k).alias(f"t_{k}") for k in keys], "lo", "hi").where("lo < hi").distinct()
-    sketches = (
-        long.join(_small(shared, keys), _same(keys, "t_") & (value < hi))
-        .groupBy(*keys, "lo", "hi")
-        .agg(
-            grid_sketch(inner).alias("grid"),
-            F.count(inner).alias("inner"),
-            F.count(F.when(value <= lo, 1)).alias("passed"),
-        )
-    )
-    same = [*keys, "lo", "hi"]
-    found = targets.join(_small(sketches.withColumnsRenamed({c: f"s_{c}" for c in same}), keys), _same(same, "s_"), "left")
-    # a bracket that is one value already has no sketch and stays as it is
-    return _tighter(found.withColumns({"inner": F.coalesce("inner", F.lit(0)), "passed": F.coalesce("passed", "rank")}), keys)
-
-
-def _ranked(long: DataFrame, keys: list[str], probs: list[float], targets: DataFrame) -> DataFrame:
-    """Quantiles from the running count over bracket values and gaps."""
-    value, state = F.col("value"), ["lo", "hi", "rank", "part"]
-
-    def of(name: str, i: int) -> Column:
-        return F.col(f"{name}_{i}")
-
-    # one row per key group, so each value meets all its brackets at once
-    brackets = targets.groupBy(*[F.col(k).alias(f"t_{k}") for k in keys]).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col(c))).alias(f"{c}_{i}") for i, p in enumerate(probs) for c in state]
-    )
-    brackets = _small(brackets, keys)
-    within = reduce(lambda a, b: a | b, [value.between(of("lo", i), of("hi", i)) for i in range(len(probs))])
-    # a value between brackets stands for the gap above the last bracket it passed
-    edges = [F.when(of("hi", i) < value, of("hi", i)) for i in range(len(probs))]
-    passed = F.greatest(*edges) if len(edges) > 1 else edges[0]
-    counts = (
-        long.join(brackets, _same(keys, "t_"))
-        .groupBy(*keys, F.when(within, value).otherwise(passed).alias("at"), (~within).alias("gap"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    upto = (
-        Window.partitionBy(*keys)
-        .orderBy(F.asc_nulls_first("at"), "gap")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    placed = counts.withColumn("last", F.sum("copies").over(upto)).join(brackets, _same(keys, "t_"))
+    # a group per numeric column is a few rows; with other keys too, Spark measures the size itself
+    met = long.join(F.broadcast(brackets) if keys == ["column"] else brackets, _same(keys, "t_"))
+    passed = F.size(F.filter("lows", lambda low: low <= value)), F.size(F.filter("highs", lambda high: high < value))
+    within = passed[0] > passed[1]
+    counts = met.groupBy(*keys, "count", (passed[0] + passed[1]).alias("cell"), F.when(within, value).alias("at"), within.alias("told")).agg(F.count(F.lit(1)).alias("copies"))
+    upto = Window.partitionBy(*keys).orderBy("cell", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("last", F.sum("copies").over(upto))
 
     def at(rank: Column) -> Column:
         holds = (F.col("last") - F.col("copies") <= rank) & (rank < F.col("last"))
-        return F.max(F.when(holds, F.col("at")))
+        missed = F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double")
+        return F.max(F.when(holds, F.when(F.col("told"), F.col("at")).otherwise(missed)))
 
-    ends = placed.groupBy(*keys, *[f"part_{i}" for i in range(len(probs))]).agg(
-        *[at(of("rank", i) + shift).alias(f"{side}_{i}") for i in range(len(probs)) for side, shift in (("a", 0), ("b", 1))]
-    )
+    ends = placed.groupBy(*keys, "count").agg(*[at(r + shift).alias(f"{side}{i}") for i, r in enumerate(rank) for side, shift in (("a", 0), ("b", 1))])
 
-    def exact(i: int) -> Column:
-        a, b, part = of("a", i), of("b", i), of("part", i)
+    def exact(i: int, p: float) -> Column:
+        a, b, part = F.col(f"a{i}"), F.col(f"b{i}"), (n - 1) * p - rank[i]
         return F.when(part > 0, a + (b - a) * part).otherwise(a)
 
-    found = [F.struct(F.lit(p).alias("prob"), exact(i).alias("quantile")) for i, p in enumerate(probs)]
-    return ends.select(*keys, F.explode(F.array(*found)).alias("q")).select(*keys, "q.*")
+    return ends.select(*keys, *[exact(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
 
 
 # --- tables ------------------------------------------------------------------
@@ -211,18 +127,12 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[s
     """count, mean, std, min, quartiles and max per numeric column (and group)."""
     by = list(by)
     columns = list(columns or [c for c in numeric_columns(df) if c not in by])
-    long = long_form(df, columns, by)
     keys = [*by, "column"]
-    basic = column_spans(df, columns, by, "mean=avg", "std=stddev_samp")
-    quantiles = exact_quantiles(long, keys, spans=basic)
-    names = {p: f"p{int(p * 100)}" for p in QUARTILES}
-    rows = quantiles.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in names.items()]
-    )
-    q = rows.withColumnsRenamed({k: f"q_{k}" for k in keys})
-    return basic.join(q, _same(keys, "q_"), "left").select(
-        *keys, "count", "mean", "std", "min", *names.values(), "max"
-    )
+    # both uses of the first pass ask for all it has, so it is made once
+    basic = column_spans(df, columns, by).where("count = 0 OR mean IS NOT NULL AND sketch IS NOT NULL AND (count = 1 OR std IS NOT NULL)")
+    found = exact_quantiles(long_form(df, columns, by), keys, QUARTILES, basic).withColumnsRenamed({k: f"q_{k}" for k in keys})
+    names = [F.col(f"q{i}").alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)]
+    return basic.join(found, _same(keys, "q_"), "left").select(*keys, "count", "mean", "std", "min", *names, "max")
 
 
 def grouped_means(df: DataFrame, by: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -16,6 +16,17 @@ def heaviest(counts: DataFrame, keys: Sequence[str], weight: str, share: float =
     return counts.where(F.col(weight) > total * F.lit(share)).select(*keys)
 
 
+def common_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
+    """The keys that more than `share` of the rows bear each, in one aggregate over the rows.
+
+    A sketch of fixed size counts them; it is off by less than a quarter of `share`, so a key just around it may be
+    listed or not. That decides how rows travel, never which.
+    """
+    most = int(1 / share)
+    top = df.agg(F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(16 * most)).alias("top"), F.count(F.lit(1)).alias("n"))
+    return top.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.col("n") * share).select(F.col("t.item").alias(key))
+
+
 def look_up(
     left: DataFrame,
     right: DataFrame,
@@ -26,7 +37,7 @@ def look_up(
 ) -> DataFrame:
     """Left join that splits the heaviest keys of `left` over many tasks.
 
-    `heavy` lists those keys (see `heaviest`). Their left rows are dealt by
+    `heavy` lists those keys (see `heaviest`, `common_keys`). Their left rows are dealt by
     `spread_by` into lanes, and their right rows are copied into every lane, so
     the join meets on key and lane. All other keys use lane 0 and are not
     copied. No row of either side is left out.

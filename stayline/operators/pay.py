@@ -7,7 +7,7 @@ person side, so the pay fact is read, aggregated and shuffled once for both.
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline import constants as K
@@ -35,27 +35,26 @@ WEEK_FACTS = [*FLAGS, "termedbinary", "count", "latehomebinary", "layoverbinary"
 
 
 # --- cohorts -----------------------------------------------------------------
-def leavers(profile: DataFrame, cutoff: date) -> DataFrame:
-    """People whose employment ended on or after the cutoff."""
-    out = profile.where((F.col("mpp_status") == "OUT") & (F.col("mpp_terminationdt") >= S.ntz(cutoff)))
-    return _cohort(out, S.months_before(F.col("mpp_terminationdt"), WINDOW_MONTHS), 0)
+def _left(cutoff: date) -> Column:
+    """Employment ended on or after the cutoff."""
+    return (S.code(F.col("mpp_status")) == "OUT") & (F.col("mpp_terminationdt") >= S.ntz(cutoff))
 
 
-def stayers(profile: DataFrame, as_of: date | datetime | None = None) -> DataFrame:
-    """People whose employment is open-ended."""
-    active = profile.where(F.col("mpp_terminationdt") == S.ntz(K.ACTIVE_UNTIL))
-    return _cohort(active, S.months_before(S.moment_or_now(as_of), WINDOW_MONTHS), 1)
+def _active() -> Column:
+    """Employment is open-ended."""
+    return F.col("mpp_terminationdt") == S.ntz(K.ACTIVE_UNTIL)
 
 
-def _cohort(profile: DataFrame, start, stayed: int) -> DataFrame:
+def _cohort(profile: DataFrame, start: Column, stayed: Column) -> DataFrame:
     return profile.select(
-        F.lit(stayed).alias("stayed"),
+        stayed.alias("stayed"),
         "mpp_id",
         start.alias("StartDate"),
         "mpp_terminationdt",
         "mpp_state",
         "mpp_type2",
-        "mpp_type1",
+        # grouped by from here on
+        S.code_key(F.col("mpp_type1")).alias("mpp_type1"),
         S.driver_class("mpp_type2").alias("Drivertype"),
     )
 
@@ -66,10 +65,14 @@ def select_cohorts(
     """Both cohorts, labelled. As written, leavers are kept only when their id
     reads 'company', which no id does; the intended test is on the type and
     comes later, for both cohorts alike."""
-    left = leavers(profile, cutoff)
+    gone, there = _left(cutoff), _active()
     if S.as_written(mode):
-        left = left.where(F.col("mpp_id") == K.COMPANY)
-    return left.unionByName(stayers(profile, as_of))
+        gone = gone & (F.col("mpp_id") == K.COMPANY)
+    # one read for both; somebody marked as gone without an end is in both
+    ends = [(gone, F.col("mpp_terminationdt")), (there, S.moment_or_now(as_of))]
+    found = F.array(*[F.when(test, F.struct(F.lit(i).alias("stayed"), S.months_before(end, WINDOW_MONTHS).alias("start"))) for i, (test, end) in enumerate(ends)])
+    rows = profile.where(gone | there).withColumn("__in", F.explode(F.array_compact(found)))
+    return _cohort(rows, F.col("__in.start"), F.col("__in.stayed"))
 
 
 def earliest_period(cutoff: date, as_of: date | datetime) -> date:
@@ -92,7 +95,7 @@ def in_window(pay: DataFrame, cohorts: DataFrame, earliest: date | None = None)
     assignee, the period and the assignment type.
     """
     if "asgn_type" in pay.columns:
-        pay = pay.where(F.col("asgn_type") == "DRV").drop("asgn_type")
+        pay = pay.where(S.code(F.col("asgn_type")) == "DRV").drop("asgn_type")
     if earliest is not None:
         pay = pay.where(F.col("pyh_payperiod") >= S.ntz(earliest))
     period = F.col("pyh_payperiod")
@@ -110,13 +113,15 @@ def pay_totals(pay: DataFrame, earliest: date | None = None) -> DataFrame:
 
     The window test needs nothing finer, so the sum can go below the join: a
     person with a third of all lines shrinks to a few rows on the map side.
+    Codes are summed in one spelling, which afterwards compares as codes do.
     """
-    pay = pay.where(F.col("asgn_type") == "DRV")
+    pay = pay.where(S.code(F.col("asgn_type")) == "DRV")
     if earliest is not None:
         pay = pay.where(F.col("pyh_payperiod") >= S.ntz(earliest))
-    return pay.groupBy("asgn_id", "pyh_payperiod", "pyt_itemcode").agg(
+    totals = pay.groupBy("asgn_id", "pyh_payperiod", S.code_key(F.col("pyt_itemcode")).alias("pyt_itemcode")).agg(
         F.sum(F.col("pyd_amount").cast("decimal(19,4)")).alias("amount"), F.count("pyd_amount").alias("lines")
     )
+    return totals.withColumn("pyt_itemcode", S.code(F.col("pyt_itemcode")))
 
 
 # --- buckets -----------------------------------------------------------------
@@ -273,7 +278,7 @@ def cohort_model(stats: DataFrame, profile: DataFrame) -> DataFrame:
     After the company filter the group key takes at most one value per class
     (there are five), so the table of means is broadcast: its size is fixed.
     """
-    company = stats.where(F.col("mpp_type1") == K.COMPANY)
+    company = stats.where(S.code(F.col("mpp_type1")) == K.COMPANY)
     means = company.groupBy(F.col("Drivertype").alias("g_class")).agg(
         F.avg("avgdriverpay").alias("groupavgpay")
     )

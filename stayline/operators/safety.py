@@ -11,25 +11,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions import scalars as S
-from stayline.operators.joins import heaviest, look_up
+from stayline.operators.joins import common_keys, look_up
 
 NO_ACCIDENT_DAYS = 10000
-IGNORED_EVENTS = "%Lane_Departure%"
+IGNORED_EVENTS = "%lane_departure%"
 COUNTED_ACCIDENTS = "Chargeable"
 COUNT, PRODUCT = "decimal(19,0)", "decimal(38,0)"
 
 
 def event_counts(events: DataFrame) -> DataFrame:
-    """Counted events per person; a missing trigger is not counted."""
+    """Counted events per person, by triggers of any case; a missing one is not counted."""
     return (
-        events.where(~F.col("EventTrigger").like(IGNORED_EVENTS))
+        events.where(~F.lower(F.col("EventTrigger").cast("string")).like(IGNORED_EVENTS))
         .groupBy(F.col("DriverID").alias("e_id"))
         .agg(F.count("EventTrigger").alias("events"))
     )
 
 
 def _accidents(accidents: DataFrame) -> DataFrame:
-    return accidents.where(F.col("SPECIAL23") == COUNTED_ACCIDENTS)
+    return accidents.where(S.code(F.col("SPECIAL23")) == COUNTED_ACCIDENTS)
 
 
 def last_accidents(accidents: DataFrame) -> DataFrame:
@@ -74,10 +74,7 @@ def violations_by_person(people: DataFrame, violations: DataFrame, key: str = "D
     column as `key` and nothing is shared.
     """
     people = people.select("mpp_id", key) if key != "mpp_id" else people.select("mpp_id")
-    bearers = people.groupBy(key).agg(F.count(F.lit(1)).alias("bearers"))
-    found = look_up(
-        people, violation_totals(violations, key), [key], heaviest(bearers, [key], "bearers"), spread_by=["mpp_id"]
-    )
+    found = look_up(people, violation_totals(violations, key), [key], common_keys(people, key), spread_by=["mpp_id"])
     return found.where(F.col("vio_rows").isNotNull()).select(
         F.col("mpp_id").alias("v_id"), "vio_rows", "vio_values", "vio_sum"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from stayline import constants as K
 from stayline.functions import scalars as S
 from stayline.operators.joins import heaviest, look_up
+from stayline.operators.ordering import numbered
 
 EXCLUDED_CLASS = "SOLU"
 UNKNOWN = "UNKNOWN"
@@ -34,7 +35,7 @@ def clean_legs(legs: DataFrame, first_day: date, last_day: date) -> DataFrame:
     kept = legs.where(
         (start >= S.ntz(first_day))
         & (start < S.ntz(last_day + timedelta(days=1)))
-        & (F.upper(S.trim_ws(F.col("lgh_class1"))) != EXCLUDED_CLASS)
+        & (S.code(S.trim_ws(F.col("lgh_class1").cast("string"))) != EXCLUDED_CLASS)
         & F.col("ord_hdrnumber").isNotNull()
         & F.col("lgh_number").isNotNull()
     )
@@ -204,8 +205,8 @@ def with_team_stats(
     the whole history in the person's window, which multiplies the count and
     the sum and changes the sample deviation, but neither mean nor rank.
     """
-    months, whole = F.col("seniority"), integers == "as_written"
-    divide = S.wide_div if fanout == "as_written" else S.int_div
+    multiplied, months, whole = S.as_written(fanout), F.col("seniority"), S.as_written(integers)
+    divide = S.wide_div if multiplied else S.int_div
     rows = added.where(~F.col("Drivertype").isin(K.NOT_TEAMED_CLASSES)).withColumns(
         {
             "CSA_month": S.ratio_if_positive(F.col("CSA"), months),
@@ -213,7 +214,7 @@ def with_team_stats(
         }
     )
     rows = rows.join(history_stats(teaming), F.col("mpp_id") == F.col("t_id"), "left")
-    if fanout == "as_written":
+    if multiplied:
         # a person's rows differ only in the number of accidents on one date
         copies = F.count(F.lit(1)).over(Window.partitionBy("mpp_id"))
     else:
@@ -234,7 +235,7 @@ def with_team_stats(
     )
     gone = ["CSA", "Violations", "copies", "t_id", "teams", "shared", "tenures", "spread", "stdev", "names"]
     rows = rows.drop(*gone)
-    return rows.distinct() if fanout == "as_written" else rows
+    return rows.distinct() if multiplied else rows
 
 
 def cohort_summary(people: DataFrame, integers: str = "as_written") -> DataFrame:
@@ -243,10 +244,10 @@ def cohort_summary(people: DataFrame, integers: str = "as_written") -> DataFrame
     Measures that are whole numbers have whole averages, as the integer
     dialect computes them, unless integers is as_intended.
     """
-    col = F.col
+    col, truncated = F.col, S.as_written(integers)
 
     def whole(column: str):
-        if integers != "as_written":
+        if not truncated:
             return F.avg(column)
         wide = isinstance(people.schema[column].dataType, T.DecimalType)
         return S.int_avg(col(column), S.wide_div if wide else S.int_div)
@@ -275,6 +276,11 @@ def cohort_summary(people: DataFrame, integers: str = "as_written") -> DataFrame
     )
 
 
+def numbered_summary(summary: DataFrame) -> DataFrame:
+    """The summary with the place of its rows (`order`): by class, tenure band and cohort."""
+    return numbered(summary, [F.col("Drivertype"), F.col("seniority"), F.col("stayed")])
+
+
 def with_expirations(people: DataFrame, expirations: DataFrame) -> DataFrame:
     """People whose id is on the expiration list, with the list's columns."""
     listed = expirations.withColumnsRenamed({c: f"eto_{c}" for c in expirations.columns if c in people.columns})

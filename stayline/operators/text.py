@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stayline import constants as K
 from stayline.functions import scalars as S
+from stayline.operators.ordering import numbered
 
 
 # --- words -------------------------------------------------------------------
@@ -44,16 +45,29 @@ def by_frequency(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("n"), "word", *rest)
 
 
-def term_frequency(
+def term_counts(
     df: DataFrame, text: str, stop_words: DataFrame, domain_words: Sequence[str] = ()
 ) -> DataFrame:
-    """Words of a text column by frequency, without stop and domain words.
+    """Words of a text column with their counts, without stop and domain words.
 
     Dropping a word before or after counting is the same; counting first
     leaves one row per word to join.
     """
     counts = word_counts(explode_words(df.select(text), text))
-    return by_frequency(without_stop_words(without_words(counts, domain_words), stop_words))
+    return without_stop_words(without_words(counts, domain_words), stop_words)
+
+
+def term_frequency(
+    df: DataFrame, text: str, stop_words: DataFrame, domain_words: Sequence[str] = ()
+) -> DataFrame:
+    """`term_counts`, the most frequent words first."""
+    return by_frequency(term_counts(df, text, stop_words, domain_words))
+
+
+def numbered_by_frequency(counts: DataFrame, rarest_first: bool = False) -> DataFrame:
+    """Counts with their place (`order`) among all words: by count, the word deciding ties."""
+    rest = [F.col(c) for c in counts.columns if c not in ("word", "n")]
+    return numbered(counts, [F.col("n") if rarest_first else -F.col("n"), F.col("word"), *rest])
 
 
 def frequent_terms(counts: DataFrame, above: int = 10) -> DataFrame:

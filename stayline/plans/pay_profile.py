@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stayline.functions import scalars as S
 from stayline.operators import pay as P
 from stayline.operators import safety, teaming
+from stayline.sources.handover import Handover
 
 
 @dataclass(frozen=True)
@@ -98,3 +99,10 @@ def summary(w: Workforce, modes: Modes = Modes()) -> DataFrame:
 
 def expiring(w: Workforce, expirations: DataFrame, modes: Modes = Modes()) -> DataFrame:
     return teaming.with_expirations(people(w, modes), expirations)
+
+
+def results(w: Workforce, expirations: DataFrame, handover: Handover, modes: Modes = Modes()) -> tuple[DataFrame, DataFrame]:
+    """Both results of a run, the summary and the expiration list, of the same person rows: these are made once and stored
+    until the hand-over is closed."""
+    stored = handover.stored(people(w, modes), "people")
+    return teaming.cohort_summary(stored, modes.integers), teaming.with_expirations(stored, expirations)

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Column that tells which run a stored row is of.
+RUN = "run_key"
+
+
 # --- readers -----------------------------------------------------------------
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -115,6 +119,18 @@ def append_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_run(df: DataFrame, path: str, run: str) -> None:
+    """Append the rows of a run, which may be repeated: they take the place of what an earlier try of that run left, other
+    runs' rows stay. The run is a column, and a folder of its own."""
+    rows = df.withColumn(RUN, F.lit(run))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all runs, the run being the last column."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(RUN, T.StringType())])).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 

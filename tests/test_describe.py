@@ -56,20 +56,43 @@ def test_describe_by_group_equals_pandas(df, numbers):
         check_described([r for r in got if r["g"] == g], numbers[numbers["g"] == g][COLUMNS])
 
 
-@pytest.mark.parametrize("passes, probs", [(0, (0.25, 0.5)), (1, (0.0, 0.001, 0.25, 0.4, 0.5)), (2, (0.41, 0.75, 0.999, 1.0))])
-def test_narrowed_quantiles_are_exact(df, numbers, passes, probs):
-    long = N.long_form(df, COLUMNS, ["g"]).cache()
-    got = N.exact_quantiles(long, ["g", "column"], probs, passes).collect()
-    assert len(got) == 2 * len(COLUMNS) * len(probs)
+@pytest.mark.parametrize("sketch, probs", [(4096, (0.25, 0.5)), (8, (0.0, 0.001, 0.25, 0.4, 0.5)), (64, (0.41, 0.75, 0.999, 1.0)), (200, (0.5,))])
+def test_bracketed_quantiles_are_exact(df, numbers, monkeypatch, sketch, probs):
+    """Small sketches make brackets that hold a part of the values."""
+    monkeypatch.setattr(N, "SKETCH", sketch)
+    monkeypatch.setattr(N, "RANK_ERROR", 2.296 / sketch**0.9723)
+    got = N.exact_quantiles(N.long_form(df, COLUMNS, ["g"]), ["g", "column"], probs).collect()
+    assert len(got) == 2 * len(COLUMNS)
     for r in got:
         values = numbers[numbers["g"] == r["g"]][r["column"]].dropna()
-        assert r["quantile"] == pytest.approx(np.quantile(values, r["prob"]), abs=1e-9), r
+        for i, p in enumerate(probs):
+            assert r[f"q{i}"] == pytest.approx(np.quantile(values, p), abs=1e-9), (r, p)
+
+
+def test_a_missed_bracket_is_an_error(spark, df, monkeypatch):
+    monkeypatch.setattr(N, "SLACK", -90)  # brackets turned inside out hold nothing
+    monkeypatch.setattr(N, "SKETCH", 64)
+    with pytest.raises(Exception, match="outside of its bracket"):
+        N.exact_quantiles(N.long_form(df, ["smooth"]), ["column"]).collect()
+
+
+def test_not_a_number_sorts_last(spark):
+    nan = float("nan")
+    long = spark.createDataFrame([("c", v) for v in (1.0, 2.0, 3.0, nan, nan)] + [("n", nan)], "column STRING, value DOUBLE")
+    got = {r["column"]: (r["q0"], r["q1"], r["q2"]) for r in N.exact_quantiles(long, ["column"]).collect()}
+    assert got["c"][:2] == (2.0, 3.0) and all(np.isnan(x) for x in (got["c"][2], *got["n"]))
+
+
+def test_empty_table(spark):
+    got = N.describe(spark.createDataFrame([], "a DOUBLE, g STRING")).collect()
+    assert [(r["column"], r["count"], r["p50"]) for r in got] == [("a", 0, None)]
+    assert N.describe(spark.createDataFrame([], "a DOUBLE, g STRING"), by=["g"]).collect() == []
 
 
 def test_quantile_of_few_values(spark):
     long = spark.createDataFrame([("c", float(v)) for v in (4, 1, 3, 2)] + [("one", 9.0)], "column STRING, value DOUBLE")
-    got = {(r["column"], r["prob"]): r["quantile"] for r in N.exact_quantiles(long, ["column"]).collect()}
-    assert got["c", 0.25] == 1.75 and got["c", 0.5] == 2.5 and got["one", 0.75] == 9.0
+    got = {r["column"]: (r["q0"], r["q1"], r["q2"]) for r in N.exact_quantiles(long, ["column"]).collect()}
+    assert got == {"c": (1.75, 2.5, 3.25), "one": (9.0, 9.0, 9.0)}
 
 
 def test_nothing_runs_before_it_is_asked_for(spark, df):
@@ -109,22 +132,3 @@ def test_missing_values_are_left_out(spark):
     got = {r["column"]: (r["count"], r["std"], r["p50"]) for r in N.describe(df).collect()}
     assert got == {"a": (1, None, 2.0), "b": (1, None, 1.0)}
     assert N.numeric_columns(df.withColumn("s", F.lit("x"))) == ["a", "b"]
-
-
-@pytest.mark.parametrize(
-    "rank, passed, lo, hi, inside",
-    [
-        (10**13, 10, 1000.0, 2000.0, 5),  # both ranks lie on the upper edge
-        (5, 10**13, 0.0, 0.0, 0),  # both ranks lie on the lower edge
-        (12, 10, 399.0, 2000.0, 5),
-    ],
-)
-def test_brackets_next_to_a_very_heavy_edge(spark, rank, passed, lo, hi, inside):
-    row = ("c", 0.5, rank, 0.0, 0.0, 2000.0, [float(i) for i in range(N.GRID + 1)], 5, passed)
-    df = spark.createDataFrame(
-        [row],
-        "column STRING, prob DOUBLE, rank BIGINT, part DOUBLE, lo DOUBLE, hi DOUBLE, grid ARRAY<DOUBLE>, inner BIGINT, passed BIGINT",
-    )
-    got = N._tighter(df, ["column"]).first()
-    assert (got["lo"], got["hi"]) == (lo, hi)
-    assert got["inside"] <= inside

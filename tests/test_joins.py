@@ -31,6 +31,13 @@ def test_look_up_equals_left_join(skewed, rows, share, nulls_match):
     assert got.count() == left.count()
 
 
+def test_common_keys_need_no_counts(skewed):
+    left, right = skewed
+    assert {r["k"] for r in J.common_keys(left, "k", 0.08).collect()} == {"hot", "gone"}
+    assert J.common_keys(left.where("k LIKE 'k%'"), "k", 0.1).collect() == []
+    assert J.common_keys(left.limit(0), "k").collect() == []
+
+
 def test_heavy_rows_are_spread(skewed):
     left, right = skewed
     heavy = J.heaviest(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", 0.1)

@@ -35,10 +35,28 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def outer_plan(text):
+    """The plan that ran, with its subqueries' plans as they ran; the initial plans, of subqueries too, are left out.
+
+    Plans are nested by indentation: an initial plan goes on until a line that stands further out than its mark.
+    """
+    kept, skipped = [], None
+    for line in text.splitlines():
+        place = re.search(r"[^\s:|+-]", line)
+        place = place.start() if place else len(line)
+        if skipped is not None and (place > skipped or not line.strip()):
+            continue
+        skipped = None
+        if "== Initial Plan ==" in line:
+            skipped = line.index("==")
+            continue
+        kept.append(line)
+    return "\n".join(kept)
+
+
 def final_plan(df):
     df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return text.split("== Initial Plan ==")[0]
+    return outer_plan(df._jdf.queryExecution().executedPlan().toString())
 
 
 @pytest.fixture

@@ -77,3 +77,44 @@ def test_preview_needs_an_order_to_repeat(spark):
     df = spark.range(100).repartition(7)
     assert [r[0] for r in tables.preview(df, 3, ["id"]).collect()] == [0, 1, 2]
     assert tables.preview(df, 3).count() == 3
+
+
+def test_handover_is_made_once_and_removed(spark, tmp_path):
+    import os
+
+    from stayline.sources.handover import Handover
+
+    rows = spark.range(50).select("id", (F.col("id") % 3).alias("k"))
+    with Handover(spark) as kept:
+        stored = kept.stored(rows, "rows")
+        folder = kept.paths[0].removeprefix("file:")
+        assert stored.groupBy("k").count().count() == 3 and stored.where("k = 1").count() == 17
+        assert stored.dtypes == rows.dtypes and os.path.isdir(folder)
+    assert not os.path.exists(folder) and kept.paths == []
+
+
+def test_a_run_may_be_repeated(spark, tmp_path):
+    from stayline.sources import tables
+
+    path, rows = str(tmp_path / "runs"), spark.range(5)
+    for run, n in (("a", 5), ("b", 2), ("a", 4)):  # the second try of a run gives other rows
+        tables.append_run(rows.limit(n), path, run)
+    got = tables.read_runs(spark, path, rows.schema)
+    assert got.columns == ["id", tables.RUN]
+    assert {r[tables.RUN]: r["count"] for r in got.groupBy(tables.RUN).count().collect()} == {"a": 4, "b": 2}
+
+
+def test_tables_are_created_once_and_appended_to(spark):
+    import uuid
+
+    from stayline.sources import tables
+
+    name = f"teaming_{uuid.uuid4().hex}"
+    try:
+        tables.create_table(spark.range(3).select("id", F.lit("x").alias("v")), name)
+        with pytest.raises(Exception, match="already exists"):
+            tables.create_table(spark.range(3).select("id", F.lit("x").alias("v")), name)
+        tables.append_table(spark.range(2).select(F.lit("y").alias("v"), "id"), name)  # columns are found by name
+        assert sorted(tuple(r) for r in spark.table(name).collect()) == [(0, "x"), (0, "y"), (1, "x"), (1, "y"), (2, "x")]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
