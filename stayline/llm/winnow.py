@@ -34,8 +34,8 @@ from stayline.llm.common import written
 SPAN = 10
 #: Most bits of the filter, as a power of two, and bits for each fingerprint while there is room.
 FILTER, BITS = 25, 16
-#: Words a worker remembers the hash of; words looked at together.
-REMEMBERED, TOGETHER = 400_000, 1_000_000
+#: Words a worker remembers the hash of; texts taken from a batch at once; words looked at together.
+REMEMBERED, TEXTS, TOGETHER = 200_000, 256, 200_000
 #: Everything but 0-9, a-z and the bytes of longer code points parts words; A-Z is lowered first.
 _APART = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _ODD = [np.uint64(2 * x + 1) for x in np.random.default_rng(11).integers(1, 1 << 62, 64)]
@@ -168,10 +168,10 @@ def suspects(docs: DataFrame, spans: list[int], sieve: np.ndarray) -> DataFrame:
                             yield first_doc + doc, a - int(starts[doc]), span, p, b" ".join(of[a : z + span])
                         a, doc = int(ends[doc]), doc + 1
 
-        for batch in batches:
+        for batch in (b.slice(low, TEXTS) for b in batches for low in range(0, b.num_rows, TEXTS)):
             of, ends, start = [], [], 0
-            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                of += words(text)
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+                of += words(text.as_py())
                 ends.append(len(of))
                 if len(of) >= TOGETHER or i + 1 == batch.num_rows:
                     limits = np.array(ends)
