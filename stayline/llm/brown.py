@@ -5,12 +5,13 @@ exchange: every word is moved to the class that raises the likelihood of the tra
 half of the words at a time so that neighbours do not swap past each other.
 
 Texts are encoded once, in blocks of whole documents with a dictionary each, and written in buckets. Every known word
-moves by itself. The classes of the FREQUENT most frequent words travel with the tasks; those of all others lie in the
-shared folder, in parts by the word's hash: each half turn the blocks send their counts of (word, neighbour class) to the
-words' parts, which choose the classes and tell the blocks that hold the words. So nothing that grows with the vocabulary
-passes through the driver, and how many words are called frequent only decides which way they travel. The number of classes
-follows the number of words; half turns go on until the likelihood hardly rises. An unknown word takes the class that the words
-of its ending (one of ENDINGS, from the last three bytes) are in that were seen once. Emissions are of words.
+moves by itself, in two stages. First the FREQUENT most frequent words move until the likelihood hardly rises (at most ROUNDS
+half turns); their classes travel with the tasks, and a half turn is one pass over the blocks. Then all other words move
+(at most SINGLE half turns). Their classes lie in the shared folder, in parts by the word's hash: the blocks send their
+counts of (word, neighbour class) to the words' parts, which choose the classes and tell the blocks that hold the words. So
+nothing that grows with the vocabulary passes through the driver. The number of classes follows the number of words. An
+unknown word takes the class that the words of its ending (one of ENDINGS, from the last three bytes) are in that were seen
+once. Emissions are of words.
 
 Smoothing: transitions are mixed with class frequencies; emissions are discounted by the share of a class's words seen
 once, and what that frees is the class's unknown word (one type, as in the base score); the whole is mixed with the base.
@@ -35,11 +36,11 @@ from pyspark.sql import functions as F
 
 from stayline.llm.common import bucketed, streamed, words, written
 
-CLASSES, FREQUENT, ENDINGS, ROUNDS = 32, 32_768, 8_192, 40
+CLASSES, FREQUENT, ENDINGS, ROUNDS, SINGLE = 32, 32_768, 8_192, 10, 4
 #: Rise of the log likelihood per token, over two half turns, below which the exchange has settled.
 STILL = 0.02
 #: Tokens of a block; frequent words of a range, and other words of a part, of exchanged counts.
-BLOCK, RANGE, PART = 3_000_000, 512, 32_768
+BLOCK, RANGE, PART = 1_000_000, 512, 32_768
 BASE_SHARE = 0.02
 HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7 = 2, false)"
 BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, hashes array<long>, endings array<int>, counts array<int>"
@@ -259,34 +260,90 @@ def bigrams(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarra
     return matrix.reshape(k, k)
 
 
+def neighbours(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int) -> DataFrame:
+    """(part, n): per range of frequent words, how often each stands after and before each class; part -1: the class bigrams.
+
+    Each task sums its blocks and hands on one packed matrix per range; those of a range are summed as they arrive.
+    """
+    kinds, names = (pa.int32(), pa.binary()), ["part", "n"]
+
+    def batch_of(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), kinds[0]), pa.array([_pack(m, np.int64) for m in sums.values()], kinds[1])], names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, matrix = np.zeros((2, len(head) * k), np.int32), np.zeros(k * k, np.int64)
+        for batch in batches:
+            for _, b in _blocks(batch, units, head, counts, parts, k):
+                own, before = b.training()
+                matrix += np.bincount(b.classes[before] * k + b.classes[own], minlength=k * k)
+                for side, word, other in ((0, own, before), (1, before, own)):
+                    at = ~b.rare[word]
+                    cells = np.bincount(b.units[word[at]] * k + b.classes[other[at]], minlength=total.shape[1])
+                    np.add(total[side], cells, out=total[side], casting="unsafe")
+        if matrix.any():
+            both = np.concatenate([t.reshape(len(head), k) for t in total], axis=1)
+            yield batch_of({-1: matrix} | {r: both[r * RANGE : (r + 1) * RANGE] for r in range(-(-len(both) // RANGE))})
+
+    def add(asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for n in asked.column("n"):
+            total = total + _unpack(n.as_py(), np.int64)
+        yield batch_of({asked.column("part")[0].as_py(): total})
+
+    return written(streamed(told(blocks, []).mapInArrow(count, "part int, n binary"), ["part"], add, "part int, n binary"))
+
+
+def settle_frequent(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Classes of the frequent words after they have moved, half of them at a time, the class bigrams and their likelihood."""
+    reached, best = [], (head, np.zeros((k, k)), -np.inf)
+    for turn in range(rounds + 1):
+        sums = neighbours(blocks, units, head, counts, parts, k)
+        packed = sums.where("part = -1").first()
+        matrix = (_unpack(packed["n"], np.int64) if packed else np.zeros(k * k)).reshape(k, k).astype(float)
+        reached.append(likelihood(matrix, n))
+        if reached[-1] > best[2]:
+            best = head, matrix, reached[-1]
+        if turn == rounds or turn > 1 and reached[-1] < reached[-3] + STILL:
+            break
+
+        def move(batches: Iterator[pa.RecordBatch], head=head, matrix=matrix, turn=turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    places = np.arange(r * RANGE, min((r + 1) * RANGE, len(head)))
+                    places = places[(places // 2 + places) % 2 == turn % 2]
+                    to = best_classes(_unpack(n, np.int64).reshape(-1, 2 * k)[places - r * RANGE], head[places], matrix)
+                    yield pa.RecordBatch.from_arrays([pa.array(places[to != head[places]], pa.int32()), pa.array(to[to != head[places]], pa.int32())], ["place", "class"])
+
+        head = head.copy()
+        for row in sums.where("part >= 0").mapInArrow(move, "place int, class int").collect():
+            head[row["place"]] = row["class"]
+    return best
+
+
+def likelihood(matrix: np.ndarray, n: int) -> float:
+    """Log likelihood of the class bigrams, per token."""
+    return float((_phi(matrix).sum() - _phi(matrix.sum(0)).sum() - _phi(matrix.sum(1)).sum()) / max(n, 1))
+
+
 ASKED = "part int, block long, hashes binary, classes binary, words binary, cells binary, n binary"
 
 
 def exchanged(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, matrix: np.ndarray, turn: int) -> DataFrame:
-    """TOLD with the classes after the words of this half turn have moved.
+    """TOLD with the classes after the words of this half turn that are not frequent have moved.
 
-    Each block sends its counts of (word, class before or after): of frequent words as one matrix per task and range of
-    words (part below 0), of all others as triples to the word's part. There they are summed, each word takes its best
-    class, and the blocks that hold it are told. A frequent word's class is a row of block -1.
+    Each block sends its counts of (word, class before or after) to the word's part. There they are summed, each word takes
+    its best class, and the blocks that hold it are told.
     """
     k = len(matrix)
     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
     names = [c.split()[0] for c in ASKED.split(", ")]
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(head) * k), np.int64)
         for batch in batches:
             for _, b in _blocks(batch, units, head, counts, parts, k):
                 own, before = b.training()
-                for side, word, other in ((0, own, before), (1, before, own)):
-                    at = ~b.rare[word]
-                    at[at] = (b.units[word[at]] // 2 + b.units[word[at]]) % 2 == turn % 2
-                    total[side] += np.bincount(b.units[word[at]] * k + b.classes[other[at]], minlength=total.shape[1])
-                moves = b.rare & (b.counts > 0) & (_half(b.hashes) == turn % 2)
                 sent = b.rare & (_half(b.hashes) == turn % 2)
+                moves = sent & (b.counts > 0)
                 keys = np.concatenate([own[moves[own]] * np.int64(2 * k) + b.classes[before[moves[own]]], before[moves[before]] * np.int64(2 * k) + k + b.classes[own[moves[before]]]])
                 keys, n = np.unique(keys, return_counts=True)
                 word = keys // (2 * k)
@@ -299,22 +356,9 @@ def exchanged(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndar
                     places = np.searchsorted(at, word[part])
                     rows.append((p, b.number, b.hashes[at].tobytes(), _pack(b.classes[at], np.uint16), _pack(np.diff(places, prepend=0), np.int32), _pack(cell[part], np.uint16), _pack(n[part], np.int32)))
                 if rows:
-                    yield batch_of(rows)
-        if total.any():
-            both = np.concatenate([t.reshape(len(head), k) for t in total], axis=1)
-            yield batch_of([(-1 - r, -1, b"", b"", b"", b"", _pack(both[r * RANGE : (r + 1) * RANGE], np.int64)) for r in range(-(-len(both) // RANGE))])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def move(asked: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = asked.column("part")[0].as_py()
-        if part < 0:
-            low = (-1 - part) * RANGE
-            own = head[low : low + RANGE]
-            total = np.zeros((len(own), 2 * k), np.int64)
-            for n in asked.column("n"):
-                total += _unpack(n.as_py(), np.int64).reshape(total.shape)
-            best = best_classes(total, own, matrix)
-            yield _news(asked.slice(0, 1), turn % 2, [best], np.uint16)
-            return
         hashes = [np.frombuffer(x, np.int64) for x in asked.column("hashes").to_pylist()]
         sizes = np.cumsum([0, *(len(h) for h in hashes)])
         every, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
@@ -436,8 +480,7 @@ def trained(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS, frequent:
 def fitted(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
     """Exchange the classes and estimate the model; returns it and the blocks with their words' counts and classes.
 
-    Half turns go on until two of them raise the likelihood by less than STILL, or `rounds` are over; the best state counts. The
-    driver sees the frequent words, a class per ending and a few numbers per pair of classes; the classes of all other words
+    The driver sees the frequent words, a class per ending and a few numbers per pair of classes; the classes of all other words
     stay in the shared folder.
     """
     n, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -448,24 +491,18 @@ def fitted(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS, frequent:
     units = Units(hashes[order], order.astype(np.int64), len(top))
     head = np.arange(len(top)) % k
 
+    head, matrix, reached = settle_frequent(blocks, units, head, counts, parts, k, int(n), rounds)
     number = counted(blocks, units, parts)
-    halves: dict[int, DataFrame] = {}
-    reached: list[float] = []
-    for turn in range(rounds + 1):
-        now = told(blocks, [number, *halves.values()])
-        matrix = bigrams(now, units, head, counts, parts, k)
-        reached.append((_phi(matrix).sum() - _phi(matrix.sum(0)).sum() - _phi(matrix.sum(1)).sum()) / max(n, 1))
-        if reached[-1] == max(reached):
-            best = now, matrix, head
-        if turn == rounds or turn > 1 and reached[-1] < reached[-3] + STILL:
+    now, halves, last = told(blocks, [number]), {}, -np.inf
+    for turn in range(SINGLE if types > len(top) else 0):
+        halves[turn % 2] = exchanged(now, units, head, counts, parts, matrix, turn)
+        after = told(blocks, [number, *halves.values()])
+        moved = bigrams(after, units, head, counts, parts, k)
+        if likelihood(moved, n) <= reached:
+            break
+        now, matrix, last, reached = after, moved, reached, likelihood(moved, n)
+        if turn % 2 and reached < last + STILL:
             break
-        after = exchanged(now, units, head, counts, parts, matrix, turn)
-        head = head.copy()
-        for row in after.where("block < 0").collect():
-            low = (-1 - row["part"]) * RANGE
-            head[low : low + RANGE] = _unpack(row["data"], np.uint16)
-        halves[turn % 2] = after.where("block >= 0")
-    now, matrix, head = best
 
     total, each, once = (np.bincount(head, x, k) for x in (counts, np.ones(len(top)), counts == 1))
     rest = settled(now, units, head, counts, parts, k)
