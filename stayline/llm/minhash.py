@@ -39,6 +39,8 @@ SHINGLE, PERCENT = 5, 80
 COORDINATES = 64
 #: How often a link at the limit itself may fail to collide enough.
 MISSED = 1 / 4000
+#: Words a worker remembers the hash of; texts it takes from a batch at once.
+REMEMBERED, TEXTS = 200_000, 256
 #: Texts of a block of a posting list or group; shingles of a block of a group.
 BLOCK, SHINGLES = 128, 1_000_000
 
@@ -60,7 +62,7 @@ def enough(percent: int, coordinates: int) -> int:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -103,8 +105,8 @@ def signed(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Hashes()
-        for batch in batches:
-            found = [shingles(t, memory, width) for t in batch.column(1).to_pylist()]
+        for batch in (b.slice(low, TEXTS) for b in batches for low in range(0, b.num_rows, TEXTS)):
+            found = [shingles(t.as_py(), memory, width) for t in batch.column(1)]
             signatures = np.concatenate([signature(s, coordinates) for s in found]) if found else np.empty(0, np.int32)
             ends = np.arange(0, len(signatures) + 1, coordinates, dtype=np.int32)
             columns = [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_fingerprint(s) if len(s) else None for s in found], pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(signatures))]

@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 SAMPLE, ACCEPTED = 20_000, 50_000
 #: Lengths of word beginnings; least toxic texts with one; least log odds; chance beginnings to be expected, as a log.
 LENGTHS, SUPPORT, ODDS, CHANCE = (3, 4, 5, 6, 7), 4, 2.0, -3.0
+#: Raw tokens a worker remembers the weight of; texts it takes from a batch at once.
+REMEMBERED, TEXTS = 200_000, 256
 NEAR = 3
 NEGATED, REPORTED, AIMED = 0.4, 0.6, 1.25
 THRESHOLD = 0.3
@@ -99,7 +102,7 @@ class Weights(dict):
         self.accepted = accepted
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         word = bare(token)
         found = max([self.accepted.get(b, 0.0) for b in beginnings(word)], default=0.0)
@@ -217,17 +220,18 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     carried = docs.drop(name)
     schema = StructType([*carried.schema.fields, StructField(name, DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, line = Weights(model.accepted), np.array(model.curve)
         for batch in batches:
-            if len(line):
-                x = np.array([features(text, weights) for text in batch["text"]]).reshape(len(batch), len(FEATURES))
-                score = 1 / (1 + np.exp(-np.clip(line[0] + x @ line[1:], -30, 30)))
-            else:
-                score = np.zeros(len(batch))
-            yield pd.concat([batch, pd.Series(score, index=batch.index, name=name)], axis=1)
-
-    return carried.mapInPandas(run, schema)
+            # other columns stay in the batch; texts become Python's a few at a time
+            for part in (batch.slice(low, TEXTS) for low in range(0, batch.num_rows, TEXTS)):
+                score = np.zeros(part.num_rows)
+                if len(line):
+                    x = np.array([features(text.as_py(), weights) for text in part.column("text")]).reshape(part.num_rows, len(FEATURES))
+                    score = 1 / (1 + np.exp(-np.clip(line[0] + x @ line[1:], -30, 30)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, name])
+
+    return carried.mapInArrow(run, schema)
 
 
 def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
