@@ -606,6 +606,27 @@ def corr_matrix(a):
     return N.correlations(a.table("lineitem"), _NUMBERS)
 
 
+_MANY = [f"m{i}" for i in range(25)]
+
+
+def _many(i: int) -> str:
+    """SQL of the i-th of many measures of a line; the fifth of each five has gaps."""
+    a, b = _NUMBERS[i % 4], _NUMBERS[(i // 4 + 1) % 4]
+    mixed = f"({a} * {i + 1} + {b} * ((l_partkey + {i}) % 7))"
+    return f"CASE WHEN (l_orderkey + {i}) % 3 > 0 THEN {mixed} END" if i % 5 == 4 else mixed
+
+
+@register(
+    "corr_matrix_many",
+    "x:s y:s r:d9",
+    f"""SELECT unnest([{", ".join(f"{{'x': '{x}', 'y': '{y}', 'r': corr({x}, {y})}}" for x in _MANY for y in _MANY)}], recursive := true)
+FROM (SELECT {", ".join(f"CAST({_many(i)} AS DOUBLE) AS {m}" for i, m in enumerate(_MANY))} FROM lineitem) l""",
+)
+def corr_matrix_many(a):
+    """More columns than are worth an expression per pair."""
+    return N.correlations(a.table("lineitem").selectExpr(*[f"{_many(i)} AS {m}" for i, m in enumerate(_MANY)]))
+
+
 def _histogram_sql(c: str) -> str:
     return f"""SELECT '{c}' AS "column", bin, lo + (bin - 1) * ((hi - lo) / 10.0::DOUBLE) AS "from",
        lo + bin * ((hi - lo) / 10.0::DOUBLE) AS "to", count(*) AS n
@@ -665,6 +686,16 @@ def term_frequency_liked(a):
     return _answers(a, survey.WHATS_GOOD)
 
 
+@register(
+    "word_boundaries",
+    "lang:s word:s n:i",
+    f"""SELECT lang, word, count(*) AS n
+FROM (SELECT lang, unnest(regexp_extract_all(lower(text), $${oracle.UNICODE_WORD}$$)) AS word FROM v_texts) w GROUP BY lang, word""",
+)
+def word_boundaries(a):
+    return X.word_counts(X.explode_words(a.texts(), "text", S.unicode_words), "lang")
+
+
 @register(
     "frequent_terms",
     "order:i word:s n:i",

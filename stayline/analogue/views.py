@@ -48,6 +48,11 @@ LEXICON = [
 ]
 
 
+HARD_WORDS = [
+    "L·l can’t o’’clock rock’n’roll 3.5 1,000 1;2 a.5 5.a x_y a:b 1:2 e.g. .a. b’ ’c", "日本語テスト ガッコー 漢字かな 한국어 ไทย word中文2",
+    "cafe\u0301 e\u0301’e\u0301 co\u00adop \U0001f600 \U0001f468\u200d\U0001f469\u200d\U0001f467 naïve…x \U0001f1eb\U0001f1f7", "١٢٫٣ 1٬000 ½ x² Ⅳ a1b2.c3 3.14.15 v1.2b", "ÀÉÎ ß straße ÑANDÚ l’été d’accord",
+]
+
 _SCHEMAS: dict[str, StructType] = {}
 
 
@@ -185,6 +190,10 @@ class Analogue:
             "CASE WHEN doc_id % 10 <> 0 THEN CAST(doc_id % 70 AS INT) END AS CVENtime",
         )
 
+    def texts(self) -> DataFrame:
+        """The documents, each with one of a few hard cases of word boundaries behind it."""
+        return self.table("documents").select("lang", F.concat("text", F.lit(" "), F.expr(pick("doc_id", HARD_WORDS))).alias("text"))
+
     def stop_words(self) -> DataFrame:
         return small_table(self.spark, {"word": STOP_WORDS})
 

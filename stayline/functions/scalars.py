@@ -148,6 +148,50 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+# The default word boundaries of Unicode (UAX 29): fixed values, the classes of characters by name.
+_MARKS = r"\p{M}\p{Cf}"
+#: Between letters; between digits. Both hold the dots and single quotes.
+_BOTH = r"'.\x{2018}\x{2019}\x{2024}\x{FE52}\x{FF07}\x{FF0E}"
+MID_LETTER = r":\x{B7}\x{387}\x{55F}\x{5F4}\x{2027}\x{FE13}\x{FE55}\x{FF1A}" + _BOTH
+MID_NUMBER = r",;\x{37E}\x{589}\x{60C}\x{60D}\x{66C}\x{7F8}\x{2044}\x{FE10}\x{FE14}\x{FE50}\x{FE54}\x{FF0C}\x{FF1B}" + _BOTH
+#: Scripts without blanks between words, in which each character stands alone; a run of the last one is a word.
+_ALONE = ["Han", "Hiragana", "Thai", "Lao", "Khmer", "Myanmar"]
+_KATAKANA = r"\x{30FC}\x{FF70}"
+
+
+def word_classes(script: Callable[[str], str]) -> dict[str, str]:
+    """Insides of the character classes of the word rules; `script` writes the class of a script."""
+    alone = "".join(script(s) for s in _ALONE)
+    kana = script("Katakana") + _KATAKANA
+    return {"letter": rf"^\P{{L}}{alone}{kana}", "alone": alone, "kana": kana}
+
+
+_JAVA = word_classes(lambda s: rf"\p{{Is{s}}}")
+_LETTER, _DIGIT, _JOIN = f"[{_JAVA['letter']}]", r"\p{Nd}", r"\p{Pc}"
+#: A mark between two words' characters that does not join them: one that has not the same kind on both sides.
+LOOSE_MARK = (
+    rf"(?!(?<={_LETTER}[{_MARKS}]{{0,9}})[{MID_LETTER}](?=[{_MARKS}]*{_LETTER})"
+    rf"|(?<={_DIGIT}[{_MARKS}]{{0,9}})[{MID_NUMBER}](?=[{_MARKS}]*{_DIGIT}))[{MID_LETTER}{MID_NUMBER}]"
+)
+#: With only joining marks left, words are runs of one class, which no pattern has to go back in.
+UNICODE_WORD = (
+    rf"[{_LETTER}{_DIGIT}{_JOIN}][{_LETTER}{_DIGIT}{_JOIN}{_MARKS}{MID_LETTER}{MID_NUMBER}]*"
+    rf"|[{_JAVA['kana']}][{_JAVA['kana']}{_MARKS}]*|[{_JAVA['alone']}][{_MARKS}]*"
+)
+
+
+def unicode_words(text: Column) -> Column:
+    """Lower-cased words by the default Unicode word boundaries, without punctuation, symbols and emoji.
+
+    Letters, digits and connectors hang together, letters across one apostrophe, dot or middle dot, digits across one
+    comma or dot; combining marks go with what they stand on. Han, Hiragana and South-East Asian characters are words by
+    themselves, as the rules have it without a dictionary; Katakana runs are words. More than nine marks on the
+    character in front of a joining mark part the word there.
+    """
+    bare = F.regexp_replace(F.lower(text), F.lit(LOOSE_MARK), F.lit(" "))
+    return F.regexp_extract_all(bare, F.lit(UNICODE_WORD), F.lit(0))
+
+
 # --- recoding ----------------------------------------------------------------
 # Built as one SQL text per expression: the code lists are long, and a text is
 # one call where a chain of column objects is one per code.

@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stayline.operators import comoments
+
 QUARTILES = (0.25, 0.5, 0.75)
+#: Columns whose correlations are built-in aggregates, one per pair.
+FEW = 16
 #: Size of a quantile sketch, and how many times its error (at 99 % confidence) a bracket reaches to either side.
 SKETCH, SLACK = 4096, 5
 #: Error of a rank, as a share of the values, that a sketch of that size keeps to in 99 of 100 cases.
@@ -145,9 +149,12 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Pearson correlation of every pair of numeric columns, in long form.
 
     Each pair uses the rows where both are present. A constant column has no
-    correlation (NULL) rather than a division by zero.
+    correlation (NULL) rather than a division by zero. Up to FEW columns are
+    one built-in aggregate; more go by `comoments`, in one pass too.
     """
     columns = list(columns or numeric_columns(df))
+    if len(columns) > FEW:
+        return comoments.correlations(df, columns)
     x = {c: F.col(c).cast("double") for c in columns}
 
     def pair(a: str, b: str):
@@ -172,23 +179,26 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """Counts in equal-width bins per numeric column; the last bin is closed.
 
-    The ranges are one row per column, which bounds what is broadcast. A
-    constant column is spread over one unit around its value.
+    The ends of all columns are one row, which goes to the second pass as a
+    scalar: no join. A constant column is spread over one unit around its value.
     """
     columns = list(columns or numeric_columns(df))
-    long = long_form(df, columns)
-    ends = long.groupBy(F.col("column").alias("r_column")).agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    flat = F.col("a") == F.col("b")
-    ranges = ends.select(
-        "r_column",
-        F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"),
-        F.when(flat, F.col("b") + 0.5).otherwise(F.col("b")).alias("hi"),
-    )
-    bin_ = F.least(F.width_bucket("value", F.col("lo"), F.col("hi"), F.lit(bins)), F.lit(bins))
+    value = [F.col(c).cast("double") for c in columns]
+    ends = df.agg(F.struct(*[f(v).alias(f"{name}{i}") for i, v in enumerate(value) for name, f in (("a", F.min), ("b", F.max))]).alias("ends"))
+
+    def cell(i: int) -> Column:
+        a, b = F.col(f"__ends.a{i}"), F.col(f"__ends.b{i}")
+        lo, hi = F.when(a == b, a - 0.5).otherwise(a), F.when(a == b, b + 0.5).otherwise(b)
+        place = F.least(F.width_bucket(value[i], lo, hi, F.lit(bins)), F.lit(bins))
+        return F.struct(F.lit(columns[i]).alias("column"), lo.alias("lo"), hi.alias("hi"), place.alias("bin"))
+
+    cells = F.explode(F.array(*[F.when(v.isNotNull(), cell(i)) for i, v in enumerate(value)])).alias("cell")
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     return (
-        long.join(F.broadcast(ranges), F.col("column") == F.col("r_column"))
-        .groupBy("column", "lo", "hi", bin_.alias("bin"))
+        df.withColumn("__ends", ends.scalar())
+        .select(cells)
+        .where("cell IS NOT NULL")
+        .groupBy("cell.column", "cell.lo", "cell.hi", "cell.bin")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
             "column",

@@ -1,8 +1,8 @@
 """Survey answers: words, themes and sentiment."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline import constants as K
@@ -11,13 +11,13 @@ from stayline.operators.ordering import numbered
 
 
 # --- words -------------------------------------------------------------------
-def explode_words(df: DataFrame, text: str) -> DataFrame:
+def explode_words(df: DataFrame, text: str, words: Callable[[Column], Column] = S.words_of) -> DataFrame:
     """One row per word; the text column goes, the others stay.
 
-    Texts without a word, or missing, give no row.
+    Texts without a word, or missing, give no row. `words`: what a word is, `S.words_of` or `S.unicode_words`.
     """
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.explode(S.words_of(F.col(text))).alias("word"))
+    return df.select(*rest, F.explode(words(F.col(text))).alias("word"))
 
 
 def without_words(df: DataFrame, words: Sequence[str]) -> DataFrame:

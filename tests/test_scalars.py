@@ -159,3 +159,31 @@ def test_ids_that_are_no_number(spark):
 def test_unknown_mode_is_refused():
     with pytest.raises(ValueError, match="typo"):
         S.as_written("typo")
+
+
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("Can’t o'clock l·l", ["can’t", "o'clock", "l·l"]),
+        ("rock''n'roll 'x' y.", ["rock", "n'roll", "x", "y"]),
+        ("3.5 1,000 1;2 1'000", ["3.5", "1,000", "1;2", "1'000"]),
+        ("a.5 5.a a,b 1:2 a:b", ["a", "5", "5", "a", "a", "b", "1", "2", "a:b"]),
+        ("a1b2.c3 v1.2b x_y _", ["a1b2", "c3", "v1.2b", "x_y", "_"]),
+        ("a1.b a.1b e.g. a_.b", ["a1", "b", "a", "1b", "e.g", "a_", "b"]),
+        ("日本 テスト ガッコー かな", ["日", "本", "テスト", "ガッコー", "か", "な"]),
+        ("word中2 한국어", ["word", "中", "2", "한국어"]),
+        ("café é'é co­op", ["café", "é'é", "co­op"]),
+        ("\U0001f600 \U0001f468‍\U0001f469 x\U0001f600y", ["x", "y"]),
+        ("", []),
+        (" ’ . , ", []),
+    ],
+)
+def test_unicode_words(spark, text, words):
+    df = spark.createDataFrame([(text,)], "t STRING")
+    assert df.select(S.unicode_words(F.col("t"))).first()[0] == words
+
+
+def test_very_long_words_do_not_overflow(spark):
+    df = spark.range(1).select(F.expr("repeat('a1', 300000)").alias("a"), F.expr("repeat('a.', 300000)").alias("b"), F.expr("repeat('é', 300000)").alias("c"))
+    got = df.select(*[F.transform(S.unicode_words(F.col(c)), F.length).alias(c) for c in "abc"]).first()
+    assert got["a"] == [600000] and got["b"] == [599999] and got["c"] == [600000]
