@@ -725,6 +725,16 @@ def top_terms_liked(a):
     return survey.cloud_words(_answers(a, survey.WHATS_GOOD), a.stop_words())
 
 
+@register(
+    "top_terms_tracked",
+    "word:s n:i",
+    "SELECT word, count(*) AS n FROM kept_whatsgood GROUP BY word HAVING count(*) >= 3 ORDER BY n DESC, word LIMIT 50",
+)
+def top_terms_tracked(a):
+    """The same cloud, of a vocabulary too large to be counted."""
+    return survey.cloud_words_of(a.survey(), survey.WHATS_GOOD, a.stop_words(), V.DOMAIN_WORDS)
+
+
 def _survey_band(c: str) -> str:
     return oracle.bands(c, K.SURVEY_TENURE, K.SURVEY_TENURE_ABOVE, "NULL")
 

@@ -10,6 +10,10 @@ from stayline.functions import scalars as S
 from stayline.operators.ordering import numbered
 
 
+#: Words that are tracked for the most frequent ones; a bound on the share of an untracked word, times their number.
+TRACKED, UNTRACKED = 10_000, 3.5
+
+
 # --- words -------------------------------------------------------------------
 def explode_words(df: DataFrame, text: str, words: Callable[[Column], Column] = S.words_of) -> DataFrame:
     """One row per word; the text column goes, the others stay.
@@ -80,6 +84,25 @@ def top_terms(counts: DataFrame, k: int = 50, min_freq: int = 3) -> DataFrame:
     return counts.where(F.col("n") >= min_freq).orderBy(F.desc("n"), "word").limit(k)
 
 
+def top_words(words: DataFrame, k: int = 50, min_freq: int = 3, tracked: int = TRACKED) -> DataFrame:
+    """The k most frequent words of rows of words, as `top_terms` of all counts has them, without counting all words.
+
+    A sketch of fixed size first tracks the words that may be frequent: one that it does not track occurs in less than
+    `UNTRACKED / tracked` of the rows. The tracked ones alone are then counted, so what is shuffled does not grow with the
+    vocabulary. Where the k-th count does not lie above what an untracked word may reach, all words are counted after all;
+    else that branch reads rows and keeps none.
+    """
+    words = words.select("word").where("word IS NOT NULL")
+    top = words.agg(F.call_function("approx_top_k", F.col("word"), F.lit(tracked), F.lit(tracked)).alias("top"), F.count(F.lit(1)).alias("rows"))
+    likely = top.select(F.explode("top.item").alias("word"))
+    best = top_terms(word_counts(words.join(F.broadcast(likely), "word", "left_semi")), k, min_freq)
+    # what an untracked word would have to exceed to be among them
+    least = best.agg(F.when(F.count(F.lit(1)) >= k, F.min("n")).otherwise(F.lit(min_freq - 1))).scalar()
+    certain = top.select(F.col("rows") * (UNTRACKED / tracked)).scalar() < least
+    every = top_terms(word_counts(words.where(~certain)), k, min_freq)
+    return best.where(certain).unionByName(every)
+
+
 # --- themes ------------------------------------------------------------------
 def recode_themes(df: DataFrame, themes: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Replace the words of a theme by its name; other words stay."""

@@ -69,5 +69,12 @@ def cloud_words(counts: DataFrame, stop_words: DataFrame, k: int = 50, min_freq:
     return X.top_terms(X.without_stop_words(counts, stop_words), k, min_freq)
 
 
+def cloud_words_of(
+    survey: DataFrame, question: str, stop_words: DataFrame, domain_words: Sequence[str] = tuple(K.DOMAIN_WORDS), k: int = 50, min_freq: int = 3
+) -> DataFrame:
+    """The cloud of an answer that is not recoded, without counting all its words."""
+    return X.top_words(answer_words(survey.select(question), question, stop_words, domain_words), k, min_freq)
+
+
 def sentiment(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return X.sentiment_counts(counts, lexicon)

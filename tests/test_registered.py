@@ -38,13 +38,13 @@ def test_entry_runs(spark):
 def outer_plan(text):
     """The plan that ran, with its subqueries' plans as they ran; the initial plans, of subqueries too, are left out.
 
-    Plans are nested by indentation: an initial plan goes on until a line that stands further out than its mark.
+    Plans are nested by indentation: an initial plan goes on until a line that stands left of its mark.
     """
     kept, skipped = [], None
-    for line in text.splitlines():
+    for line in text.replace("\t\r\n", "").split("\n"):  # trimmed characters are shown as they are
         place = re.search(r"[^\s:|+-]", line)
         place = place.start() if place else len(line)
-        if skipped is not None and (place > skipped or not line.strip()):
+        if skipped is not None and (place >= skipped or not line.strip()):
             continue
         skipped = None
         if "== Initial Plan ==" in line:
@@ -79,7 +79,26 @@ def test_pay_fact_is_read_once(spark, no_broadcast):
 def test_summary_reads_pay_and_legs_once_each(spark, no_broadcast):
     plan = final_plan(RUNS["cohort_summary"](spark, FOLDER))
     assert len(re.findall(r"FileScan parquet \[l_", plan)) == 2
-    assert "Window" not in plan
+    # the numbers of the finished rows, range by range, are the only window
+    assert re.findall(r"Window \[(\w+)", plan) == ["row_number"] and re.search(r"AS __place#\d+\], \[__range#\d+\]", plan)
+
+
+def test_summary_is_made_once_for_its_numbers(spark, no_broadcast):
+    plan = final_plan(RUNS["cohort_summary"](spark, FOLDER))
+    assert len(re.findall(r"FileScan parquet \[c_", plan)) <= 5
+    assert plan.count("avg(endorsecount") <= plan.count("partial_avg(endorsecount") * 4 and plan.count("partial_avg(endorsecount") == 1
+
+
+def test_describe_reads_its_table_twice(spark):
+    df = RUNS["describe_numeric"](spark, FOLDER)
+    plan = final_plan(df)
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 2
+    assert len(df._jdf.queryExecution().executedPlan().toString()) < 60_000 and len(plan) < 30_000
+
+
+def test_codes_are_hashed_not_sorted(spark, no_broadcast):
+    plan = final_plan(RUNS["pay_code_buckets"](spark, FOLDER))
+    assert "SortAggregate" not in plan and "UTF8_LCASE_RTRIM" in plan
 
 
 def test_inner_orders_are_not_sorted(spark):

@@ -137,3 +137,24 @@ def test_long_text_is_read_to_its_end(spark):
     df = spark.createDataFrame([(text,)], "whyleft STRING")
     got = {r["word"]: r["n"] for r in X.word_counts(X.explode_words(df, "whyleft")).collect()}
     assert got == {"filler": 20000, "last": 1}
+
+
+@pytest.mark.parametrize("tracked", [8, 64, 1000, 10_000])
+@pytest.mark.parametrize("k, min_freq", [(5, 3), (40, 1), (3000, 1)])
+def test_top_words_equal_all_counts(spark, rows, tracked, k, min_freq):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{int(r.paretovariate(0.7)) % 4000}" for _ in range(20_000)] + [None] * 500
+    df = spark.createDataFrame([(w,) for w in words], "word STRING").repartition(6)
+    want = rows(X.top_terms(X.word_counts(df.where("word IS NOT NULL")), k, min_freq))
+    assert rows(X.top_words(df, k, min_freq, tracked)) == want
+
+
+def test_tracked_words_alone_are_shuffled(spark):
+    df = spark.range(200_000).selectExpr("CASE WHEN id % 4 = 0 THEN concat('hot', id % 100) ELSE concat('w', id) END AS word")
+    got = X.top_words(df, 10, 3, 2_000)
+    assert got.count() == 10
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "approx_top_k" in plan and "BroadcastHashJoin" in plan
+    assert X.top_words(df.limit(0)).collect() == []
