@@ -3,7 +3,8 @@
 The nodes are a page's block elements, each main text or not; the edges join parent and child. A node's own evidence comes
 from its tag, the words of its class, id and role, its text's length, links and marks, and the kinds of its parent and
 children; an edge's potential says how the labels of a parent and a child with these tags go together. Sum-product message passing, once upward and once downward,
-gives every node's exact marginal, and the text directly in the nodes with a marginal above one half is the main text.
+gives every node's exact marginal, and the text directly in the nodes with a marginal above one half is the main text. The
+page itself is a node too, so text outside of all elements is judged like any other.
 
 Both potentials are trained on labelled pages (`pages.py`), a sample of documented size: their nodes are counted and the
 node weights fitted there; the model is a few hundred numbers. Pages are then extracted partition by partition.
@@ -76,9 +77,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The tree of block elements in page order (node 0 is the page), and the text runs (node, text); a run of node -1 parts blocks."""
     nodes, runs, stack, links = [Node("#page", -1)], [], [0], 0
     at, size = 0, len(page)
+    # how many of each element are open, and open paragraphs by scope: what is not open is not looked for
+    opened, paragraphs = Counter(), [0]
 
     def close(depth: int) -> None:
         nonlocal links
+        for i in stack[depth:][::-1]:
+            tag = nodes[i].tag
+            opened[tag] -= 1
+            if tag in SCOPE:
+                paragraphs.pop()
+            elif tag == "p":
+                paragraphs[-1] -= 1
         del stack[depth:]
         links = 0
         runs.append((-1, " "))
@@ -101,7 +111,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if ending:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in INLINE or tag in ("span", "label"):
+            elif opened[tag]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if nodes[stack[depth]].tag == tag:
                         close(depth)
@@ -120,14 +130,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             words = _names(attributes) if attributes else ()
             if tag in INLINE and not words:
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and paragraphs[-1]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if nodes[stack[depth]].tag == "p":
                         close(depth)
                         break
                     if nodes[stack[depth]].tag in SCOPE:
                         break
-            if tag in SELF_CLOSING:
+            if tag in SELF_CLOSING and any(opened[x] for x in SELF_CLOSING[tag]):
                 for depth in range(len(stack) - 1, 0, -1):
                     inner = nodes[stack[depth]].tag
                     if inner in SELF_CLOSING[tag]:
@@ -136,6 +146,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     if inner in ENDS_AT.get(tag, ()):
                         break
             nodes.append(Node(tag, stack[-1], words))
+            opened[tag] += 1
+            if tag in SCOPE:
+                paragraphs.append(0)
+            elif tag == "p":
+                paragraphs[-1] += 1
             if tag not in INLINE:
                 runs.append((-1, " "))
             stack.append(len(nodes) - 1)
@@ -174,12 +189,12 @@ class Model:
 
 
 def marginals(nodes: list[Node], model: Model) -> list[float]:
-    """Probability of being main text, per node, by one upward and one downward pass. The page itself is not."""
+    """Probability of being main text, per node, by one upward and one downward pass."""
     n = len(nodes)
     own1 = [0.0] * n
     weights = model.weights
     shown = evidence(nodes)
-    for i in range(1, n):
+    for i in range(n):
         z = sum([weights.get(e, 0.0) for e in shown[i]], weights["bias"])
         own1[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
     # up0, up1: evidence of a subtree for its root's label; to0, to1: its message to the parent
@@ -193,7 +208,7 @@ def marginals(nodes: list[Node], model: Model) -> list[float]:
         p = nodes[i].parent
         x, y = up0[p] * to0[i], up1[p] * to1[i]
         up0[p], up1[p] = x / (x + y), y / (x + y)
-    all0, all1 = [1.0] * n, [0.0] * n
+    all0, all1 = up0[:1] + [1.0] * (n - 1), up1[:1] + [0.0] * (n - 1)
     for i in range(1, n):
         p, e = nodes[i].parent, edge[i]
         # what the parent knows without this child
@@ -220,28 +235,28 @@ def labelled(spark: SparkSession, pages: int, seed: int) -> DataFrame:
             for number in batch["id"]:
                 drawn = Writer(seed * 1_000_003 + int(number)).page()
                 nodes, _ = parse(html(drawn))
-                labels = [0, *flat(drawn)]
+                labels = [*([] if drawn.tag == "#page" else [0]), *flat(drawn)]
                 # controls and plain spans are no nodes; their parts carry no main text and are skipped in step
                 kept = [0, *_kept(drawn)]
                 if len(kept) != len(nodes):
                     raise ValueError("a labelled page does not parse into its own parts")
                 shown = evidence(nodes)
-                for i in range(1, len(nodes)):
-                    x = nodes[i]
-                    out.append((number, i, shown[i], x.tag, nodes[x.parent].tag, labels[kept[i]], labels[kept[x.parent]]))
+                for i, x in enumerate(nodes):
+                    above = x.parent if i else 0
+                    out.append((number, i, shown[i], x.tag, nodes[above].tag, labels[kept[i]], labels[kept[above]]))
             yield pd.DataFrame(out, columns=["page", "node", "evidence", "tag", "under", "label", "above"])
 
     return spark.range(pages).mapInPandas(run, "page long, node long, evidence array<string>, tag string, under string, label int, above int")
 
 
 def _kept(part) -> list[int]:
-    """Places, among all parts in page order (from 1), of those that are nodes."""
-    out, at = [], 0
+    """Places, among all parts in page order (from 1), of those that are nodes; the page itself is none of them."""
+    out, at = [], -1 if part.tag == "#page" else 0
 
     def walk(x) -> None:
         nonlocal at
         at += 1
-        if not (x.tag in RAW or x.tag in INLINE and not _names(x.attributes)):
+        if at and not (x.tag in RAW or x.tag in INLINE and not _names(x.attributes)):
             out.append(at)
         for c in x.children:
             if not isinstance(c, str):
@@ -280,6 +295,8 @@ def trained(spark: SparkSession, pages: int = LABELLED, seed: int = 3) -> Model:
 
     by_tag, every = defaultdict(Counter), Counter()
     for r in rows:
+        if not r["node"]:
+            continue  # no edge leads to the page
         by_tag[r["tag"]][r["above"], r["label"]] += 1
         by_tag[f"{r['under']} {r['tag']}"][r["above"], r["label"]] += 1
         every[r["above"], r["label"]] += 1

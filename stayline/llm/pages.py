@@ -1,8 +1,9 @@
 """Labelled pages to train the extraction model on.
 
 Page layouts are drawn from a small grammar of the parts pages are made of: menus, headers, breadcrumbs, notices,
-adverts, articles in various containers, asides and forms within them, share bars, comments, sidebars, footers. Every
-node carries the label its part has; texts are drawn words, as the model sees only their lengths and marks.
+adverts, articles in various containers, asides and forms within them, share bars, comments, sidebars, footers. Some pages
+have no elements at all, some have their article straight in the body, or in elements without names. Every node, the page
+itself included, carries the label its part has; texts are drawn words, as the model sees only their lengths and marks.
 """
 
 from __future__ import annotations
@@ -142,7 +143,40 @@ class Writer:
             return [Part(self.r.choice(("div", "div", "section")), self.named("content", "post", "entry", "article", "article-body", "story", "main", "text", "body"), blocks, 1)]
         return blocks
 
+    def inline(self) -> str:
+        """A stretch of text as it stands outside of blocks."""
+        text = self.prose(self.r.randint(1, 6)) if self.r.random() < 0.8 else self.phrase(2, 9)
+        if self.r.random() < 0.3:
+            text += f" <{(tag := self.r.choice(('b', 'i', 'em', 'span')))}>{self.phrase(1, 4)}</{tag}> " + self.r.choice((self.phrase(1, 6), self.prose(1)))
+        return text
+
+    def bare(self) -> list:
+        """An article without a container: stretches of text, parted by line breaks, and blocks among them."""
+        out: list = []
+        for _ in range(self.r.randint(1, 5)):
+            out += [self.inline(), self.r.choice(("<br>", "<br><br>", "<hr>"))] if self.r.random() < 0.7 else [self.block()]
+        return out
+
+    def nameless(self, depth: int) -> Part:
+        """An article in nested elements that say nothing."""
+        inner: list = []
+        for _ in range(self.r.randint(1, 4)):
+            kind = self.r.random()
+            inner.append(self.nameless(depth - 1) if depth and kind < 0.5 else Part("div", "", [f"<span>{self.inline()}</span>" if kind > 0.8 else self.inline()], 1) if kind < 0.9 else self.block())
+        return Part(self.r.choice(("div", "div", "section", "center")), "", inner, 1)
+
     def page(self) -> Part:
+        kind = self.r.random()
+        if kind < 0.06:
+            return Part("#page", "", [self.r.choice((self.inline, self.inline, lambda: self.phrase(1, 6)))(), *self.r.choice(([], ["<br>", self.inline()], [" ", self.inline()]))], 1)
+        if kind < 0.09:
+            return Part("#page", "", self.bare(), 1)
+        if kind < 0.18:
+            before = [make() for make, share in ((self.header, 0.4), (self.menu, 0.4), (self.advert, 0.3)) if self.r.random() < share]
+            return Part("body", "", [*before, *self.bare(), *([self.footer()] if self.r.random() < 0.5 else [])], 1)
+        if kind < 0.26:
+            before = [make() for make, share in ((self.header, 0.4), (self.menu, 0.4), (self.notice, 0.2)) if self.r.random() < share]
+            return Part("body", "", [*before, self.nameless(self.r.randint(0, 3)), *([self.footer()] if self.r.random() < 0.5 else [])])
         parts = []
         for make, share in ((self.header, 0.4), (self.menu, 0.7), (self.notice, 0.3), (self.advert, 0.5), (self.form, 0.15), (self.sidebar, 0.15)):
             if self.r.random() < share:
@@ -165,4 +199,4 @@ def flat(part: Part) -> list[int]:
 
 def html(part: Part) -> str:
     inner = "".join(html(c) if isinstance(c, Part) else c for c in part.children)
-    return f"<{part.tag}{' ' + part.attributes if part.attributes else ''}>{inner}</{part.tag}>"
+    return inner if part.tag == "#page" else f"<{part.tag}{' ' + part.attributes if part.attributes else ''}>{inner}</{part.tag}>"

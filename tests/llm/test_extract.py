@@ -46,10 +46,10 @@ def test_marginals_equal_enumeration(model):
     nodes, _ = extract.parse("<body><div class=ad>x</div><article><h1>Title</h1><p>Some text. More.</p><aside><p>Other.</p></aside></article></body>")
     shown = extract.evidence(nodes)
     n = len(nodes)
-    own = [0.0] + [1 / (1 + math.exp(-sum((model.weights.get(e, 0.0) for e in s), model.weights["bias"]))) for s in shown[1:]]
+    own = [1 / (1 + math.exp(-sum((model.weights.get(e, 0.0) for e in s), model.weights["bias"]))) for s in shown]
     total, ones = 0.0, [0.0] * n
-    for labels in itertools.product((0, 1), repeat=n - 1):
-        y, weight = (0, *labels), 1.0
+    for y in itertools.product((0, 1), repeat=n):
+        weight = own[0] if y[0] else 1 - own[0]
         for i in range(1, n):
             e = model.edges.get(f"{nodes[nodes[i].parent].tag} {nodes[i].tag}") or model.edges.get(nodes[i].tag, model.other)
             weight *= (own[i] if y[i] else 1 - own[i]) * e[2 * y[nodes[i].parent] + y[i]]
@@ -69,6 +69,31 @@ def test_any_markup_is_read(model, page):
     assert isinstance(extract.main_text(page, model), str)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("plain text only, a whole article.", "plain text only, a whole article."),
+        ("text <b>x</b> more", "text x more"),
+        ("One line &amp; another.<br>The second paragraph stands here, after a break.", "One line & another. The second paragraph stands here, after a break."),
+        ("<body>Straight in the body it stands, sentence by sentence. And on it goes.<br><br>A second paragraph of it, as long as that.</body>", "Straight in the body it stands, sentence by sentence. And on it goes. A second paragraph of it, as long as that."),
+        ("<body><div><div><span>First sentence of the article, which is long enough.</span></div><div>Second sentence of the article, which goes on and on.</div></div></body>", "First sentence of the article, which is long enough. Second sentence of the article, which goes on and on."),
+        ("<body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>An article without any container. It has two sentences.<footer>&copy; Us</footer></body>", "An article without any container. It has two sentences."),
+    ],
+)
+def test_pages_without_containers(model, page, text):
+    assert extract.main_text(page, model) == text
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    start = time.perf_counter()
+    nodes, _ = extract.parse("<div>" * 100_000 + "x</p></section>" + "<p>y<li>z" * 1000)
+    assert len(nodes) == 102_001 and time.perf_counter() - start < 10
+    nodes, _ = extract.parse("<div>" * 50_000 + "</nothing>" * 50_000)
+    assert len(nodes) == 50_001 and time.perf_counter() - start < 20
+
+
 def test_rows(spark, model):
     article = "<article><h1>Title here</h1><p>" + "A sentence of text. " * 2000 + "</p></article>"
     rows = [(1, "u", None, "t", 5), (2, None, "", "t", 5), (None, "u", article, "t", 5), (3, "u", article, "t", 5), (3, "u", article, "t", 5)]
