@@ -261,7 +261,7 @@ def _summary_sql(source: str) -> str:
     f"""SELECT *, row_number() OVER (ORDER BY Drivertype, seniority, stayed) AS "order" FROM ({_summary_sql("people")}) s""",
 )
 def cohort_summary(a):
-    return teaming.numbered_summary(pay_profile.summary(_workforce(a)))
+    return teaming.numbered_summary(pay_profile.people(_workforce(a)))
 
 
 @register("cohort_summary_as_written", _beyond_bigint(_SUMMARY), _summary_sql("people_as_written"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from stayline.llm.common import bucketed, streamed, words, written
 
-CLASSES, FREQUENT, ENDINGS, ROUNDS, SINGLE = 32, 32_768, 8_192, 10, 4
+CLASSES, FREQUENT, ENDINGS, ROUNDS, SINGLE = 32, 32_768, 8_192, 7, 2
 #: Rise of the log likelihood per token, over two half turns, below which the exchange has settled.
 STILL = 0.02
 #: Tokens of a block; frequent words of a range, and other words of a part, of exchanged counts.

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from stayline import constants as K
 from stayline.functions import scalars as S
 from stayline.operators.joins import heaviest, look_up
-from stayline.operators.ordering import numbered
 
 EXCLUDED_CLASS = "SOLU"
 UNKNOWN = "UNKNOWN"
@@ -238,8 +237,28 @@ def with_team_stats(
     return rows.distinct() if multiplied else rows
 
 
+SUMMARY_ORDER = ["Drivertype", "seniority", "stayed"]
+
+
 def cohort_summary(people: DataFrame, integers: str = "as_written") -> DataFrame:
-    """The cohorts side by side, by class and tenure band.
+    """The cohorts side by side, by class and tenure band, in the order of these."""
+    return cohort_means(people, integers).orderBy(*SUMMARY_ORDER)
+
+
+def numbered_summary(people: DataFrame, integers: str = "as_written") -> DataFrame:
+    """The same with the place of each row (`order`).
+
+    There is at most a row per cohort, class and band, all of them fixed lists: a few dozens, which are numbered as one
+    array.
+    """
+    means = cohort_means(people, integers)
+    rows = F.sort_array(F.collect_list(F.struct(*SUMMARY_ORDER, *[c for c in means.columns if c not in SUMMARY_ORDER])))
+    placed = means.agg(rows.alias("rows")).select(F.posexplode("rows").alias("place", "row"))
+    return placed.select((F.col("place") + 1).alias("order"), *[F.col("row")[c].alias(c) for c in means.columns])
+
+
+def cohort_means(people: DataFrame, integers: str = "as_written") -> DataFrame:
+    """Counts and means by cohort, class and tenure band.
 
     Measures that are whole numbers have whole averages, as the integer
     dialect computes them, unless integers is as_intended.
@@ -272,15 +291,9 @@ def cohort_summary(people: DataFrame, integers: str = "as_written") -> DataFrame
             whole("avgtenure").alias("avgtenure"),
             F.avg("stdevtenure").alias("stdevtenure"),
         )
-        .orderBy("Drivertype", "seniority", "stayed")
     )
 
 
-def numbered_summary(summary: DataFrame) -> DataFrame:
-    """The summary with the place of its rows (`order`): by class, tenure band and cohort."""
-    return numbered(summary, [F.col("Drivertype"), F.col("seniority"), F.col("stayed")])
-
-
 def with_expirations(people: DataFrame, expirations: DataFrame) -> DataFrame:
     """People whose id is on the expiration list, with the list's columns."""
     listed = expirations.withColumnsRenamed({c: f"eto_{c}" for c in expirations.columns if c in people.columns})

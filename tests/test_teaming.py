@@ -47,7 +47,7 @@ def test_clean_legs(spark, rows):
         ("F", "B", T0, "SOLU"),
     ]
     df = legs(spark, *items)
-    df = df.unionByName(legs(spark, ("G", "B", T0)).withColumn("lgh_class1", F.lit(None).cast("string")))
+    df = df.unionByName(legs(spark, ("G", "B", T0)).withColumn("lgh_class1", F.lit(None).cast(schemas.TYPES["CODE"])))
     df = df.unionByName(legs(spark, ("H", "B", T0)).withColumn("lgh_number", F.lit(None).cast("string")))
     df = df.unionByName(legs(spark, ("I", "B", T0)).withColumn("ord_hdrnumber", F.lit(None).cast("string")))
     assert rows(T.clean_legs(df, FIRST, LAST), *T.PAIR) == [("A", "B"), ("C", "B"), (None, "B")]
