@@ -1,15 +1,23 @@
-"""Toxicity by learned word weights and the states of a clause.
+"""Toxicity by a weighted finite-state grammar of clauses.
 
-One loop reads the words of a clause by word sets: insult and threat (words with weights), target (second person),
-negation and reported speech. It stands in for composed transducers; no pattern is longer than a word. What is open: a negation
-within the last NEAR words, reported speech until the clause ends or its quotation closes. A word with a weight is emitted
-with the factor of the state it is met in, and a clause that also names a target counts more. A text is scored by its
-matched clauses, not by its words as such: the strongest, the sum, and how many of all clauses they are.
+Five transducers read the words of a clause as symbols: what a word can be in a pattern (`SYMBOLS`).
 
-The word weights are an acceptor of word beginnings and whole words, learned from labels: the log odds of a beginning
-between toxic and other texts, kept where a likelihood-ratio test finds it far from chance and no longer beginning explains
-it better; a word has the weight of the strongest beginning that accepts it. A logistic curve over the clause features
-gives the score; its weights are fitted on features from which each training text's own contribution to the acceptor has been taken out.
+* insult: emits the weight of an insulting word, more after an address ("you are such a ...") or a compound's head
+  ("son of a ...") a few words before;
+* threat: emits a phrase's weight when intent, harm and target have come within a few words, in any order
+  ("I will hurt you", "werde dich verletzen"); none of its words need weigh anything;
+* negation and reported speech: scale what is emitted within a few words of a negation, and until a report's clause
+  ends or its quotation closes;
+* target: scales a clause that names the second person.
+
+Each is a table of states. They are composed into one machine (`composed`), whose states are the reachable tuples of
+theirs, and this one alone is run. A text is scored by its matched clauses, not by its words as such: the strongest, the sum,
+how many of all clauses they are, and the threats that are phrases.
+
+Which words insult is learned: an acceptor of word beginnings and whole words gives each its log odds between toxic and other
+texts, kept where a likelihood-ratio test finds it far from chance and no longer beginning explains it better; a word has the
+weight of the strongest beginning that accepts it. A logistic curve over the clause features gives the score; its weights
+are fitted on features from which each training text's own contribution to the acceptor has been taken out.
 
 Both are fitted on about SAMPLE labelled texts at most, chosen by a hash of the id. Nothing but the text enters a score.
 
@@ -20,11 +28,13 @@ out; without labels of both kinds every score is 0; an empty table gives an empt
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,15 +44,19 @@ from pyspark.sql import functions as F
 
 #: Labelled texts to learn from (expected number, if there are more) and beginnings to keep, at most.
 SAMPLE, ACCEPTED = 20_000, 50_000
+#: Words that a negation, an address or a begun threat reaches; factors; weight of a threat that is a phrase.
 #: Lengths of word beginnings; least toxic texts with one; least log odds; chance beginnings to be expected, as a log.
 LENGTHS, SUPPORT, ODDS, CHANCE = (3, 4, 5, 6, 7), 4, 2.0, -3.0
 #: Raw tokens a worker remembers the weight of; texts it takes from a batch at once.
-REMEMBERED, TEXTS = 200_000, 256
+REMEMBERED, TEXTS = 100_000, 256
 NEAR = 3
-NEGATED, REPORTED, AIMED = 0.4, 0.6, 1.25
+NEGATED, REPORTED, AIMED, ADDRESSED, PHRASE = 0.4, 0.6, 1.25, 1.2, 3.0
 THRESHOLD = 0.3
 
 THREATS = {w: 3.0 for w in "kill murder shoot stab strangle tuer étrangler töten umbringen erschießen matar".split()}
+HARMS = set(THREATS) | set("hurt harm beat burn break hang smash punch choke drown stabbing frapper blesser brûler pendre battre crever verletzen schlagen verbrennen hängen herir golpear quemar pegar ahorcar".split())
+INTENTS = set("will gonna going shall must should want i'll we'll ought werde werden wird will sollte muss müsste vais va allons veux doit devrait voy vamos quiero debe debería".split())
+HEADS = set("son daughter piece bunch pack fils fille sac bande tas stück haufen sohn pedazo hijo hija montón".split())
 TARGETS = set("you your yours yourself u tu te toi vous ton votre du dich dir dein deine ihr euch usted ustedes ti tus".split())
 NEGATIONS = set("not never no don't isn't aren't wasn't won't can't cannot ne pas jamais nicht nie kein keine nunca jamás".split())
 REPORTS = set("said says say called calls claimed wrote quoted according dit disait déclare sagte sagt nannte dijo dice llamó".split())
@@ -95,51 +109,166 @@ def loose(counts: dict[str, tuple[int, int]]) -> set[str]:
     return found
 
 
+#: What a word can be, as bits of a symbol.
+SYMBOLS = ("negation", "report", "target", "intent", "harm", "insult", "head", "opens", "closes")
+_BIT = {name: 1 << i for i, name in enumerate(SYMBOLS)}
+_WORDS = {"negation": NEGATIONS, "report": REPORTS, "target": TARGETS, "intent": INTENTS, "harm": HARMS, "head": HEADS}
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A table of states: reads some of a symbol's bits; for each state and combination of these, the next state and a number.
+
+    The number scales what is emitted (`scales`) or is emitted itself; `final` scales all of a clause by the state it ends in.
+    """
+
+    reads: tuple[str, ...]
+    table: dict[tuple[object, tuple[bool, ...]], tuple[object, float]]
+    start: object = 0
+    scales: bool = True
+    final: dict[object, float] = field(default_factory=dict)
+
+    def step(self, state, symbol: int) -> tuple[object, float]:
+        return self.table[state, tuple(bool(symbol & _BIT[name]) for name in self.reads)]
+
+
+def _combinations(names: tuple[str, ...]) -> list[tuple[bool, ...]]:
+    return list(itertools.product((False, True), repeat=len(names)))
+
+
+def negation() -> Machine:
+    """State: words left that the last negation reaches."""
+    table = {(s, (n,)): (NEAR if n else max(0, s - 1), NEGATED if s else 1.0) for s in range(NEAR + 1) for n in (False, True)}
+    return Machine(("negation",), table)
+
+
+def report() -> Machine:
+    """State: whether speech is reported. A quotation mark opens it for its own word, and closes it behind its word."""
+    reads = ("opens", "report", "closes")
+    table = {(s, c): (int((s or c[0] or c[1]) and not c[2]), REPORTED if s or c[0] else 1.0) for s in (0, 1) for c in _combinations(reads)}
+    return Machine(reads, table)
+
+
+def target() -> Machine:
+    """State: whether the second person has been named."""
+    return Machine(("target",), {(s, (t,)): (int(s or t), 1.0) for s in (0, 1) for t in (False, True)}, final={1: AIMED})
+
+
+def insult() -> Machine:
+    """State: words left in which an insult is addressed, or the rest of a compound."""
+    reads = ("target", "head", "insult")
+    table = {(s, c): (NEAR if c[0] or c[1] else max(0, s - 1), (ADDRESSED if s else 1.0) if c[2] else 0.0) for s in range(NEAR + 1) for c in _combinations(reads)}
+    return Machine(reads, table)
+
+
+def threat() -> Machine:
+    """State: words left for a phrase that has begun, and which of intent, harm and target it has; the last one emits PHRASE."""
+    reads = ("intent", "harm", "target")
+    table = {}
+    states = [(0, frozenset())] + [(left, frozenset(has)) for left in range(1, NEAR + 2) for k in (1, 2) for has in itertools.combinations(reads, k)]
+    for state in states:
+        for c in _combinations(reads):
+            new = {name for name, there in zip(reads, c) if there}
+            has = (state[1] if state[0] else frozenset()) | new
+            left = NEAR + 1 if new else state[0] - 1
+            if len(has) == 3:
+                table[state, c] = (0, frozenset()), PHRASE
+            elif left <= 0 or not has:
+                table[state, c] = (0, frozenset()), 0.0
+            else:
+                table[state, c] = (left, frozenset(has)), 0.0
+    return Machine(reads, table, start=(0, frozenset()), scales=False)
+
+
+def machines() -> tuple[Machine, ...]:
+    return insult(), threat(), negation(), report(), target()
+
+
+class Composed(dict):
+    """One machine for all five. By state times number of symbols plus symbol: the next state (times number of symbols), what
+    a word's weight is scaled by, and what is emitted besides. The product is taken lazily, as far as texts reach it."""
+
+    symbols = 1 << len(SYMBOLS)
+
+    def __init__(self):
+        super().__init__()
+        self.parts = machines()
+        start = tuple(m.start for m in self.parts)
+        self.states, self.numbers = [start], {start: 0}
+
+    def __missing__(self, at: int) -> tuple[int, float, float]:
+        number, symbol = divmod(at, self.symbols)
+        moves = [m.step(s, symbol) for m, s in zip(self.parts, self.states[number])]
+        to = tuple(s for s, _ in moves)
+        if to not in self.numbers:
+            self.numbers[to] = len(self.states)
+            self.states.append(to)
+        scale = math.prod(x for m, (_, x) in zip(self.parts[2:], moves[2:]) if m.scales)
+        self[at] = found = self.numbers[to] * self.symbols, moves[0][1] * scale, moves[1][1] * scale
+        return found
+
+    def final(self, at: int) -> float:
+        """What a clause that ends in a state is scaled by."""
+        return math.prod(m.final.get(s, 1.0) for m, s in zip(self.parts, self.states[at // self.symbols]))
+
+
+@lru_cache(maxsize=1)
+def composed() -> Composed:
+    return Composed()
+
+
 class Weights(dict):
-    """Weight of a raw token; remembers what it has seen, up to a bound."""
+    """Weight of a raw token, as an insult or alone as a threat; remembers what it has seen, up to a bound, with its symbol."""
 
     def __init__(self, accepted: dict[str, float]):
         self.accepted = accepted
+        self.symbols: dict[str, int] = {}
+        self.harms: set[str] = set()
 
     def __missing__(self, token: str) -> float:
         if len(self) > REMEMBERED:
             self.clear()
+            self.symbols.clear()
+            self.harms.clear()
         word = bare(token)
         found = max([self.accepted.get(b, 0.0) for b in beginnings(word)], default=0.0)
         self[token] = found = max(found, THREATS.get(word, 0.0))
+        symbol = sum(_BIT[name] for name, listed in _WORDS.items() if word in listed)
+        symbol |= (found > 0 and _BIT["insult"]) | (token[:1] in _QUOTES and _BIT["opens"]) | (token[-1:] in _QUOTES and _BIT["closes"])
+        self.symbols[token] = symbol
+        if symbol & _BIT["harm"]:
+            self.harms.add(token)
         return found
 
 
 def clause_weight(tokens: list[str], weights) -> tuple[float, float]:
-    """Run the composed machine over a clause: emitted weight with and without the factors of its states."""
-    negated, reported, aimed, emitted, raw = 0, False, False, 0.0, 0.0
+    """Run the composed machine over a clause: what it emits, and how much of that are phrases."""
+    machine, state, emitted, phrases = composed(), 0, 0.0, 0.0
     for token in tokens:
-        if token[0] in _QUOTES:
-            reported = True
         weight = weights[token]
+        state, scale, phrase = machine[state + weights.symbols[token]]
         if weight:
-            raw += weight
-            emitted += weight * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-        word = bare(token)
-        negated = NEAR if word in NEGATIONS else max(0, negated - 1)
-        reported = (reported or word in REPORTS) and token[-1] not in _QUOTES
-        aimed = aimed or word in TARGETS
-    return emitted * (AIMED if aimed else 1.0), raw
+            emitted += weight * scale
+        if phrase:
+            emitted += phrase
+            phrases += phrase
+    last = machine.final(state)
+    return emitted * last, phrases * last
 
 
-FEATURES = ("strongest", "total", "share", "raw")
+FEATURES = ("strongest", "total", "share", "phrases")
 
 
 def features(text: str | None, weights) -> tuple[float, ...]:
     """FEATURES of a text from its matched clauses; all 0 without a match."""
     tokens = (text or "").split()
-    if not any(map(weights.__getitem__, tokens)):
+    if not any(map(weights.__getitem__, tokens)) and weights.harms.isdisjoint(tokens):
         return (0.0,) * len(FEATURES)
     clauses = [c for c in (m[0].split() for m in _CLAUSE.finditer(text)) if c]
-    found = [w for w in (clause_weight(c, weights) for c in clauses) if w[1]]
+    found = [w for w in (clause_weight(c, weights) for c in clauses) if w[0]]
     if not found:
         return (0.0,) * len(FEATURES)
-    return max(w for w, _ in found), math.log1p(sum(w for w, _ in found)), len(found) / len(clauses), math.log1p(sum(r for _, r in found))
+    return max(w for w, _ in found), math.log1p(sum(w for w, _ in found)), len(found) / len(clauses), math.log1p(sum(p for _, p in found))
 
 
 @dataclass(frozen=True)
@@ -171,7 +300,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[low : low + TEXTS * 4] for b in batches for low in range(0, len(b), TEXTS * 4)):
             found = Counter(), Counter()
             for text, y in zip(batch["text"], batch["toxic"]):
                 found[y].update({b for w in {bare(t) for t in (text or "").split()} for b in beginnings(w)})

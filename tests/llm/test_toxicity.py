@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -33,17 +34,59 @@ def test_labels_held_out_are_not_learned(spark, learned):
 
 def test_states_of_the_grammar():
     weights = toxicity.Weights({"=fool": 4.0})
-    plain, _ = toxicity.clause_weight("he is a fool".split(), weights)
-    aimed, _ = toxicity.clause_weight("you are a fool".split(), weights)
-    negated, _ = toxicity.clause_weight("he is not a fool".split(), weights)
-    far, _ = toxicity.clause_weight("not that it was meant fool".split(), weights)
-    reported, _ = toxicity.clause_weight("she said he is a fool".split(), weights)
-    quoted, _ = toxicity.clause_weight('the word "fool" is old'.split(), weights)
-    assert aimed > plain == far == 4.0 and negated < plain and reported < plain and quoted < plain
-    assert toxicity.features("Not a fool. You fool!", weights)[0] == aimed
+
+    def weight(text):
+        return toxicity.clause_weight(text.split(), weights)[0]
+
+    plain, aimed = weight("he is a fool"), weight("you he knows is that fool")
+    assert aimed > plain == weight("not that it was meant fool") == 4.0
+    assert weight("you are a fool") > aimed  # addressed
+    assert weight("he is not a fool") < plain and weight("she said he is a fool") < plain and weight('the word "fool" is old') < plain
+    assert weight("a son of a fool") > plain
+    assert toxicity.features("Not a fool. You he knows is that fool!", weights)[0] == aimed
     assert toxicity.features(None, weights) == toxicity.features("", weights) == toxicity.features("fine words", weights) == (0.0,) * 4
 
 
+def test_threats_of_ordinary_words():
+    weights = toxicity.Weights({})
+    for said in ("I will hurt you badly", "ich werde dich verletzen", "je vais te frapper", "voy a golpear a ti"):
+        assert toxicity.features(said, weights)[3] > 0, said
+    hurt = toxicity.clause_weight("I will hurt you badly".split(), weights)
+    assert hurt == (toxicity.PHRASE * toxicity.AIMED,) * 2
+    assert toxicity.clause_weight("I will never hurt you".split(), weights)[0] < hurt[0]
+    assert toxicity.clause_weight("he said I will hurt you".split(), weights)[0] < hurt[0]
+    for said in ("I will help you", "hurt people will remember all that was said about you", "they hurt you", ""):
+        assert toxicity.clause_weight(said.split(), weights)[0] == 0, said
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_composition_equals_its_parts(seed):
+    """The five machines one after another: what is emitted, scaled by negation, by reports, at last by the target."""
+    r = random.Random(seed)
+    bits = 1 << len(toxicity.SYMBOLS)
+    clause = [(r.choice([0, 0, r.randrange(bits), 1 << r.randrange(len(toxicity.SYMBOLS))]), r.choice([0.0, 1.0, 2.5])) for _ in range(r.randrange(1, 40))]
+    insult, threat, negation, report, target = toxicity.machines()
+
+    def run(machine):
+        state, out = machine.start, []
+        for symbol, _ in clause:
+            state, x = machine.step(state, symbol)
+            out.append(x)
+        return state, out
+
+    emitted = [w * x for (_, w), x in zip(clause, run(insult)[1])]
+    emitted = [e + x for e, x in zip(emitted, run(threat)[1])]
+    for machine in (negation, report):
+        emitted = [e * x for e, x in zip(emitted, run(machine)[1])]
+    want = sum(emitted) * target.final.get(run(target)[0], 1.0)
+    one, state, got = toxicity.composed(), 0, 0.0
+    for symbol, w in clause:
+        state, scale, phrase = one[state + symbol]
+        got += w * scale + phrase
+    assert got * one.final(state) == pytest.approx(want)
+    assert len(one.states) <= 4 * 25 * 4 * 2 * 2
+
+
 def test_edge_rows(spark, learned):
     model = learned[2]
     docs = documents(spark, [(77, "vilex3 mudak " * 20_000)])
