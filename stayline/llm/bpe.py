@@ -31,7 +31,7 @@ CHUNK, OVERLAP = 65_536, 1_024
 #: Boundaries closer than this to the end of a chunk are not trusted: an alternative of the pattern may be cut there.
 MARGIN = 8
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class Pieces(dict):

@@ -41,8 +41,8 @@ COORDINATES = 64
 MISSED = 1 / 4000
 #: Words a worker remembers the hash of; texts it takes from a batch at once.
 REMEMBERED, TEXTS = 200_000, 256
-#: Texts of a block of a posting list or group; shingles of a block of a group.
-BLOCK, SHINGLES = 128, 1_000_000
+#: Texts of a block of a posting list, and of a group; shingles of a block of a group.
+LIST, BLOCK, SHINGLES = 256, 128, 500_000
 
 _DRAW = np.random.default_rng(20)
 _PLACE = _DRAW.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,7 +119,7 @@ def _pair(group: pa.Table) -> tuple[np.ndarray, int, int]:
     return np.array(group["own"].to_pylist()), group["low"][0].as_py(), group["high"][0].as_py()
 
 
-def candidates(classes: DataFrame, matches: int, block: int = BLOCK) -> DataFrame:
+def candidates(classes: DataFrame, matches: int, block: int = LIST) -> DataFrame:
     """Spanning forests (u, v) of the classes (rep, signature) that collide in at least `matches` coordinates."""
     pairs = classes.select("rep", F.posexplode("signature").alias("at", "value"))
     token = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -172,7 +172,7 @@ def verified(docs: DataFrame, groups: DataFrame, width: int, percent: int, block
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Hashes()
-        for batch in batches:
+        for batch in (b.slice(low, TEXTS) for b in batches for low in range(0, b.num_rows, TEXTS)):
             rows = []
             for rep, of, component, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = shingles(text, memory, width)
