@@ -6,12 +6,12 @@ half of the words at a time so that neighbours do not swap past each other.
 
 Texts are encoded once, in blocks of whole documents with a dictionary each, and written in buckets. Every known word
 moves by itself, in two stages. First the FREQUENT most frequent words move until the likelihood hardly rises (at most ROUNDS
-half turns); their classes travel with the tasks, and a half turn is one pass over the blocks. Then all other words move
-(at most SINGLE half turns). Their classes lie in the shared folder, in parts by the word's hash: the blocks send their
+half turns), and with them all other words by their ending (one of ENDINGS, from the last three bytes); these classes travel
+with the tasks, and a half turn is one pass over the blocks. Then all other words move one by one (at most SINGLE half turns),
+from their ending's class, or a drawn one where an ending holds more than a class's share of the words. Their classes lie in the shared folder, in parts by the word's hash: the blocks send their
 counts of (word, neighbour class) to the words' parts, which choose the classes and tell the blocks that hold the words. So
 nothing that grows with the vocabulary passes through the driver. The number of classes follows the number of words. An
-unknown word takes the class that the words of its ending (one of ENDINGS, from the last three bytes) are in that were seen
-once. Emissions are of words.
+unknown word takes the class of its ending. Emissions are of words.
 
 Smoothing: transitions are mixed with class frequencies; emissions are discounted by the share of a class's words seen
 once, and what that frees is the class's unknown word (one type, as in the base score); the whole is mixed with the base.
@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 
 from stayline.llm.common import bucketed, streamed, words, written
 
-CLASSES, FREQUENT, ENDINGS, ROUNDS, SINGLE = 32, 32_768, 8_192, 7, 2
-#: Rise of the log likelihood per token, over two half turns, below which the exchange has settled.
-STILL = 0.02
+CLASSES, FREQUENT, ENDINGS, ROUNDS, SINGLE = 32, 32_768, 8_192, 7, 6
+#: Rise of the log likelihood per token, over two half turns, below which the exchange has settled; that for single moves, which
+#: cost more, by one half turn.
+STILL, STILL_SINGLE = 0.02, 0.1
 #: Tokens of a block; frequent words of a range, and other words of a part, of exchanged counts.
 BLOCK, RANGE, PART = 1_000_000, 512, 32_768
 BASE_SHARE = 0.02
@@ -117,7 +118,8 @@ class Units:
 @dataclass(frozen=True)
 class Model:
     units: Units
-    classes: np.ndarray  # class of each frequent word, then of the unknown words of each ending
+    head: np.ndarray  # class of each frequent word, then of each ending, -1 where its words have a drawn class each
+    classes: np.ndarray  # the same, with a class for the unknown words of every ending
     counts: np.ndarray  # of each frequent word
     transition: np.ndarray  # log10-free: P(class | class before)
     discount: np.ndarray  # per class, off each word's count
@@ -200,9 +202,9 @@ def _blocks(batch: pa.RecordBatch, units: Units, head: np.ndarray, counts: np.nd
         rare = at >= units.first
         part = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int32)
         known = np.where(rare, 0, counts[np.where(rare, 0, at)]) if len(counts) else np.zeros(len(hashes), np.int64)
-        classes = np.where(rare, (hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(k), 0).astype(np.int64)
+        classes = ((hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
         if len(head):
-            classes = np.where(rare, classes, head[np.where(rare, 0, at)])
+            classes = np.where(head[at] >= 0, head[at], classes)
         block = Block(batch.column("block")[i].as_py(), _unpack(batch.column("tokens")[i].as_py(), np.int32), list_of("lengths"), list_of("held"), hashes, endings, at, rare, part, known, classes)
         news = {(x["kind"], x["part"]): x["data"] for x in batch.column("news")[i].as_py() or []}
         for kind in {kind for kind, _ in news}:
@@ -261,7 +263,7 @@ def bigrams(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarra
 
 
 def neighbours(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int) -> DataFrame:
-    """(part, n): per range of frequent words, how often each stands after and before each class; part -1: the class bigrams.
+    """(part, n): per range of places, how often each stands after and before each class; part -1: the class bigrams.
 
     Each task sums its blocks and hands on one packed matrix per range; those of a range are summed as they arrive.
     """
@@ -277,8 +279,7 @@ def neighbours(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.nda
                 own, before = b.training()
                 matrix += np.bincount(b.classes[before] * k + b.classes[own], minlength=k * k)
                 for side, word, other in ((0, own, before), (1, before, own)):
-                    at = ~b.rare[word]
-                    cells = np.bincount(b.units[word[at]] * k + b.classes[other[at]], minlength=total.shape[1])
+                    cells = np.bincount(b.units[word] * k + b.classes[other], minlength=total.shape[1])
                     np.add(total[side], cells, out=total[side], casting="unsafe")
         if matrix.any():
             both = np.concatenate([t.reshape(len(head), k) for t in total], axis=1)
@@ -294,7 +295,8 @@ def neighbours(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.nda
 
 
 def settle_frequent(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Classes of the frequent words after they have moved, half of them at a time, the class bigrams and their likelihood."""
+    """Classes of the frequent words and endings after they have moved, half of them at a time, the class bigrams and their
+    likelihood. A place of class -1 stays out: its words have a drawn class each."""
     reached, best = [], (head, np.zeros((k, k)), -np.inf)
     for turn in range(rounds + 1):
         sums = neighbours(blocks, units, head, counts, parts, k)
@@ -310,7 +312,7 @@ def settle_frequent(blocks: DataFrame, units: Units, head: np.ndarray, counts: n
             for batch in batches:
                 for r, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     places = np.arange(r * RANGE, min((r + 1) * RANGE, len(head)))
-                    places = places[(places // 2 + places) % 2 == turn % 2]
+                    places = places[((places // 2 + places) % 2 == turn % 2) & (head[places] >= 0)]
                     to = best_classes(_unpack(n, np.int64).reshape(-1, 2 * k)[places - r * RANGE], head[places], matrix)
                     yield pa.RecordBatch.from_arrays([pa.array(places[to != head[places]], pa.int32()), pa.array(to[to != head[places]], pa.int32())], ["place", "class"])
 
@@ -489,7 +491,16 @@ def fitted(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS, frequent:
     hashes, counts = np.array([r["hash"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)
     order = np.argsort(hashes)
     units = Units(hashes[order], order.astype(np.int64), len(top))
-    head = np.arange(len(top)) % k
+    # tokens of each ending but those of frequent words
+    held = np.zeros(ENDINGS, np.int64)
+    for row in known.groupBy("ending").agg(F.sum("c").alias("c")).collect():
+        held[row["ending"]] = row["c"]
+    for r in top:
+        held[r["ending"]] -= r["c"]
+    places = np.argsort(-np.concatenate([counts, held]), kind="stable")
+    head = np.empty(len(places), np.int64)
+    head[places] = np.arange(len(places)) % k
+    head[len(top) :][held * k > max(held.sum(), 1)] = -1
 
     head, matrix, reached = settle_frequent(blocks, units, head, counts, parts, k, int(n), rounds)
     number = counted(blocks, units, parts)
@@ -501,24 +512,26 @@ def fitted(blocks: DataFrame, known: DataFrame, rounds: int = ROUNDS, frequent:
         if likelihood(moved, n) <= reached:
             break
         now, matrix, last, reached = after, moved, reached, likelihood(moved, n)
-        if turn % 2 and reached < last + STILL:
+        if turn and reached < last + STILL_SINGLE:
             break
 
-    total, each, once = (np.bincount(head, x, k) for x in (counts, np.ones(len(top)), counts == 1))
+    total, each, once = (np.bincount(head[: len(top)], x, k) for x in (counts, np.ones(len(top)), counts == 1))
     rest = settled(now, units, head, counts, parts, k)
     for row in rest.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.sum("once").alias("once")).collect():
         total[row["class"]] += row["tokens"]
         each[row["class"]] += row["types"]
         once[row["class"]] += row["once"]
-    # an unknown word is taken for what the rarest words of its ending are
-    ending = np.full(ENDINGS, once.argmax())
+    # where an ending has no class, an unknown word is taken for what its rarest words are
+    ending = np.where(held > 0, head[len(top) :], -1)
     for row in rest.groupBy("ending").agg(F.max_by("class", F.struct("once", "types", "class")).alias("class")).collect():
-        ending[row["ending"]] = row["class"]
+        if ending[row["ending"]] < 0:
+            ending[row["ending"]] = row["class"]
+    ending[ending < 0] = once.argmax()
     share = total / n if n else total
     discount = np.where(each > 0, np.clip(once / np.maximum(each, 1), 0.05, 0.95), 0.0)
     free = np.where(total > 0, discount * each / np.maximum(total, 1), 0.0)
     transition = (matrix + k * share) / (matrix.sum(1, keepdims=True) + k)
-    return Model(units, np.concatenate([head, ending]), counts, transition, discount, free, total, int(n), int(types), parts), now
+    return Model(units, head, np.concatenate([head[: len(top)], ending]), counts, transition, discount, free, total, int(n), int(types), parts), now
 
 
 def log_probabilities(model: Model, tokens: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -540,7 +553,7 @@ def scored(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, b in _blocks(batch, model.units, model.classes, model.counts, model.parts, len(model.total)):
+            for i, b in _blocks(batch, model.units, model.head, model.counts, model.parts, len(model.total)):
                 lengths, counts = b.lengths, b.counts
                 base, own = log_probabilities(model, b.tokens, np.where(counts > 0, b.classes, model.classes[b.units]), counts)
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
