@@ -7,9 +7,10 @@ half of the words at a time so that neighbours do not swap past each other.
 Texts are encoded once, in blocks of whole documents with a dictionary each, and written in buckets. Every known word
 moves by itself, in two stages. First the FREQUENT most frequent words move until the likelihood hardly rises (at most ROUNDS
 half turns), and with them all other words by their ending (one of ENDINGS, from the last three bytes); these classes travel
-with the tasks, and a half turn is one pass over the blocks. Then all other words move one by one (at most SINGLE half turns),
-from their ending's class, or a drawn one where an ending holds more than a class's share of the words. Their classes lie in the shared folder, in parts by the word's hash: the blocks send their
-counts of (word, neighbour class) to the words' parts, which choose the classes and tell the blocks that hold the words. So
+with the tasks, and a half turn is one pass over lists, written once, of what the training tokens of each such place follow and
+precede. Then all other words move one by one (at most SINGLE half turns), from their ending's class, or a drawn one where an
+ending holds more than a class's share of the words. Their classes lie in the shared folder, in parts by the word's hash: the
+blocks send their counts of (word, neighbour class) to the words' parts, which choose the classes and tell the blocks that hold the words. So
 nothing that grows with the vocabulary passes through the driver. The number of classes follows the number of words. An
 unknown word takes the class of its ending. Emissions are of words.
 
@@ -29,12 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.common import bucketed, streamed, words, written
+from stayline.llm.common import bucketed, streamed, written
 
 CLASSES, FREQUENT, ENDINGS, ROUNDS, SINGLE = 32, 32_768, 8_192, 7, 6
 #: Rise of the log likelihood per token, over two half turns, below which the exchange has settled; that for single moves, which
@@ -44,49 +46,71 @@ STILL, STILL_SINGLE = 0.02, 0.1
 BLOCK, RANGE, PART = 1_000_000, 512, 32_768
 BASE_SHARE = 0.02
 HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7 = 2, false)"
-BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, hashes array<long>, endings array<int>, counts array<int>"
+BLOCKS = "block long, ids array<long>, held array<boolean>, lengths array<int>, tokens binary, hashes binary, endings binary, counts binary"
 
 
-class _Numbers(dict):
-    """Numbers of the words of a block in the order they come; the end token, an empty word, is 0."""
+_INSIDE = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
-    def __init__(self):
-        super().__init__({b"": 0})
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _words(texts: pa.LargeBinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of texts without nulls, lower-cased, one after another, and how many each text has."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = _LOWER[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    full = np.flatnonzero(np.diff(offsets))
+    inside = _INSIDE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    for marks, at in ((first, offsets[full]), (last, offsets[full + 1] - 1)):  # no word goes on in the next text
+        marks[at] = inside[at]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    # words and what is between them in turn; every other one is a word
+    turns = pa.py_buffer(np.stack([begin, end], 1).astype(np.int32).tobytes() if len(begin) else bytes(4))
+    found = pa.Array.from_buffers(pa.binary(), max(2 * len(begin) - 1, 0), [None, turns, pa.py_buffer(data.tobytes())])
+    return found.take(pa.array(np.arange(0, len(found), 2))), np.diff(np.searchsorted(begin, offsets))
 
 
 def encoded(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per block: its documents, their tokens as numbers of its dictionary, and the dictionary with the words' hashes,
-    endings and counts in training texts."""
-
-    def packed(ids: list, held: list, tokens: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
-        train = [t for t, h in zip(tokens, held) if not h]
-        counts = np.bincount(np.concatenate(train), minlength=len(numbers)) if train else np.zeros(len(numbers), np.int64)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers)).view(np.int64)
+    endings and counts in training texts. The end token, an empty word, has number 0."""
+
+    def packed(ids: list, held: list, found: list[pa.BinaryArray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        coded, sizes, held = pa.concat_arrays(found).dictionary_encode(), np.concatenate(sizes), np.array(held, bool)
+        numbers = [b"", *coded.dictionary.to_pylist()]
+        lengths = sizes + 1
+        tokens = np.zeros(lengths.sum(), np.int32)
+        tokens[np.arange(len(coded)) + np.repeat(np.arange(len(sizes)), sizes)] = coded.indices.to_numpy() + 1
+        counts = np.bincount(tokens[~np.repeat(held, lengths)], minlength=len(numbers))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
         endings = np.fromiter((xxhash.xxh32_intdigest(w[-3:]) % ENDINGS for w in numbers), np.int32, len(numbers))
-        row = [uuid.uuid4().int >> 65, ids, held, [len(t) for t in tokens], zstandard.ZstdCompressor(level=1).compress(np.concatenate(tokens).tobytes()), hashes, endings, counts.astype(np.int32)]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        names = ["block", "ids", "held", "lengths", "tokens", "hashes", "endings", "counts"]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+        row = [uuid.uuid4().int >> 65, ids, held, lengths.astype(np.int32), _pack(tokens, np.int32), hashes.tobytes(), _pack(endings, np.int32), _pack(counts, np.int32)]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, tokens, numbers, size = [], [], [], _Numbers(), 0
+        ids, held, found, sizes, size = [], [], [], [], 0
         for batch in batches:
-            for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns)):
-                of = words(text)
-                of.append(b"")
-                tokens.append(np.fromiter(map(numbers.__getitem__, of), np.int32, len(of)))
-                ids.append(doc_id)
-                held.append(out)
-                size += len(of)
+            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+            bytes_to = np.cumsum(pc.binary_length(texts).to_numpy())
+            low = 0
+            while low < batch.num_rows:
+                # as many texts as cannot have more tokens than a block, one at least
+                high = max(low + 1, int(np.searchsorted(bytes_to, (bytes_to[low - 1] if low else 0) + block, "right")))
+                some, n = _words(texts.slice(low, high - low))
+                ids += batch.column("doc_id").slice(low, high - low).to_pylist()
+                held += batch.column("held").slice(low, high - low).to_pylist()
+                found.append(some)
+                sizes.append(n)
+                size += len(some) + len(n)
+                low = high
                 if size >= block:
-                    yield packed(ids, held, tokens, numbers)
-                    ids, held, tokens, numbers, size = [], [], [], _Numbers(), 0
+                    yield packed(ids, held, found, sizes)
+                    ids, held, found, sizes, size = [], [], [], [], 0
         if ids:
-            yield packed(ids, held, tokens, numbers)
+            yield packed(ids, held, found, sizes)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(HELD).alias("held"))
     return bucketed(rows.mapInArrow(run, BLOCKS), "block")
@@ -94,9 +118,15 @@ def encoded(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
     """(hash, ending, c) of the words of the training texts."""
-    entry = F.explode(F.arrays_zip("hashes", "endings", "counts")).alias("e")
-    entries = blocks.select(entry).select(F.col("e.hashes").alias("hash"), F.col("e.endings").alias("ending"), F.col("e.counts").alias("n")).where("n > 0")
-    return written(entries.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("n").alias("c")))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, endings, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                n = _unpack(counts, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x[n > 0]) for x in (np.frombuffer(hashes, np.int64), _unpack(endings, np.int32), n)], ["hash", "ending", "n"])
+
+    each = blocks.select("hashes", "endings", "counts").mapInArrow(entries, "hash long, ending int, n int")
+    return written(each.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("n").alias("c")))
 
 
 @dataclass(frozen=True)
@@ -142,7 +172,7 @@ class Block:
     endings: np.ndarray
     units: np.ndarray
     rare: np.ndarray  # whether a word is not among the frequent ones
-    part: np.ndarray
+    part: np.ndarray  # of the shortest kind: such numbers sort by digits
     counts: np.ndarray
     classes: np.ndarray
 
@@ -156,7 +186,7 @@ class Block:
         """(part, numbers of its words) for the words of a mask, by part and number."""
         at = np.flatnonzero(of)
         at = at[np.argsort(self.part[at], kind="stable")]
-        ends = np.flatnonzero(np.diff(self.part[at])) + 1
+        ends = np.flatnonzero(self.part[at][1:] != self.part[at][:-1]) + 1
         for piece in np.split(at, ends) if len(at) else []:
             yield int(self.part[piece[0]]), piece
 
@@ -197,10 +227,10 @@ def _blocks(batch: pa.RecordBatch, units: Units, head: np.ndarray, counts: np.nd
         def list_of(name: str) -> np.ndarray:
             return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
 
-        hashes, endings = list_of("hashes"), list_of("endings")
+        hashes, endings = np.frombuffer(batch.column("hashes")[i].as_py(), np.int64), _unpack(batch.column("endings")[i].as_py(), np.int32)
         at = units.of(hashes, endings)
         rare = at >= units.first
-        part = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        part = (hashes.view(np.uint64) % np.uint64(parts)).astype(np.min_scalar_type(parts))
         known = np.where(rare, 0, counts[np.where(rare, 0, at)]) if len(counts) else np.zeros(len(hashes), np.int64)
         classes = ((hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
         if len(head):
@@ -223,7 +253,7 @@ def counted(blocks: DataFrame, units: Units, parts: int) -> DataFrame:
         none = np.zeros(0, np.int64)
         for batch in batches:
             for i, b in _blocks(batch, units, none, none, parts, 1):
-                own = batch.column("counts")[i].values.to_numpy()
+                own = _unpack(batch.column("counts")[i].as_py(), np.int32)
                 rows = [(p, b.number, b.hashes[at].tobytes(), _pack(own[at], np.int32)) for p, at in b.pieces(b.rare)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "hashes", "n"])
@@ -262,44 +292,88 @@ def bigrams(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarra
     return matrix.reshape(k, k)
 
 
-def neighbours(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int) -> DataFrame:
-    """(part, n): per range of places, how often each stands after and before each class; part -1: the class bigrams.
+BESIDE = "half int, n_after binary, after binary, n_before binary, before binary"
+
+
+def halves(head: np.ndarray, k: int) -> list[np.ndarray]:
+    """The places that may move in even half turns, those that may in odd ones, and one place per drawn class, which follow
+    all others and stay."""
+    places = np.arange(len(head))
+    return [*(places[((places // 2 + places) % 2 == half) & (head >= 0)] for half in (0, 1)), np.arange(len(head), len(head) + k)]
+
+
+def beside(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int) -> DataFrame:
+    """BESIDE: per block and half of the places, what places the training tokens of each place follow and precede, and how many
+    those are. Written once: half turns change the classes of places, never these."""
+    sets = halves(head, k)
+    rank = np.zeros(len(head) + k, np.int64)
+    rank[np.concatenate(sets)] = np.arange(sum(map(len, sets)))
+    ends = np.cumsum([len(x) for x in sets])
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, b in _blocks(batch, units, head, counts, parts, k):
+                own, before = b.training()
+                place = np.where(head[b.units] >= 0, b.units, len(head) + b.classes)
+                rows = [[half] for half in range(len(sets))]
+                for word, other in ((own, before), (before, own)):
+                    keys = rank[place][word] << 32 | place[other]
+                    keys.sort()
+                    n = np.bincount(keys >> 32, minlength=ends[-1])
+                    stops = np.concatenate([[0], np.cumsum(n)])[ends]
+                    for row, low, high, start, stop in zip(rows, [0, *ends], ends, [0, *stops], stops):
+                        row += _pack(n[low:high], np.int32), _pack(keys[start:stop] & 0xFFFFFFFF, np.min_scalar_type(len(rank)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], [c.split()[0] for c in BESIDE.split(", ")])
+
+    return written(told(blocks, []).mapInArrow(sides, BESIDE))
+
+
+def neighbours(sides: DataFrame, head: np.ndarray, k: int, half: int) -> DataFrame:
+    """(part, n): per range of the places that move in a half turn, how often each stands after and before each class; part -1:
+    the class bigrams, which are all there is if no half is given (-1).
 
     Each task sums its blocks and hands on one packed matrix per range; those of a range are summed as they arrive.
     """
     kinds, names = (pa.int32(), pa.binary()), ["part", "n"]
+    sets, now = halves(head, k), np.concatenate([head, np.arange(k)])
+    moving = len(sets[half]) if half >= 0 else 0
 
-    def batch_of(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), kinds[0]), pa.array([_pack(m, np.int64) for m in sums.values()], kinds[1])], names)
+    def kind_of(part: int) -> type:
+        return np.int64 if part < 0 else np.int32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, matrix = np.zeros((2, len(head) * k), np.int32), np.zeros(k * k, np.int64)
+        total, matrix = np.zeros((2, moving * k), np.int32), np.zeros(k * k, np.int64)
         for batch in batches:
-            for _, b in _blocks(batch, units, head, counts, parts, k):
-                own, before = b.training()
-                matrix += np.bincount(b.classes[before] * k + b.classes[own], minlength=k * k)
-                for side, word, other in ((0, own, before), (1, before, own)):
-                    cells = np.bincount(b.units[word] * k + b.classes[other], minlength=total.shape[1])
-                    np.add(total[side], cells, out=total[side], casting="unsafe")
+            for own, *data in zip(*(c.to_pylist() for c in batch.columns)):
+                for side in (0, 1) if own == half else (0,):
+                    n, other = _unpack(data[2 * side], np.int32), now[_unpack(data[2 * side + 1], np.min_scalar_type(len(now)))]
+                    if not side:
+                        matrix += np.bincount(np.repeat(now[sets[own]], n) + other * k, minlength=k * k)
+                    if own == half:
+                        cells = np.bincount(np.repeat(np.arange(moving) * k, n) + other, minlength=moving * k)
+                        np.add(total[side], cells, out=total[side], casting="unsafe")
         if matrix.any():
-            both = np.concatenate([t.reshape(len(head), k) for t in total], axis=1)
-            yield batch_of({-1: matrix} | {r: both[r * RANGE : (r + 1) * RANGE] for r in range(-(-len(both) // RANGE))})
+            both = np.concatenate([t.reshape(moving, k) for t in total], axis=1)
+            sums = {-1: matrix} | {r: both[r * RANGE : (r + 1) * RANGE] for r in range(-(-moving // RANGE))}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), kinds[0]), pa.array([_pack(m, kind_of(p)) for p, m in sums.items()], kinds[1])], names)
 
     def add(asked: pa.Table) -> Iterator[pa.RecordBatch]:
-        total = 0
+        part, total = asked.column("part")[0].as_py(), 0
         for n in asked.column("n"):
-            total = total + _unpack(n.as_py(), np.int64)
-        yield batch_of({asked.column("part")[0].as_py(): total})
+            total = total + _unpack(n.as_py(), kind_of(part)).astype(np.int64, copy=False)
+        yield pa.RecordBatch.from_arrays([pa.array([part], kinds[0]), pa.array([_pack(total, np.int64)], kinds[1])], names)
 
-    return written(streamed(told(blocks, []).mapInArrow(count, "part int, n binary"), ["part"], add, "part int, n binary"))
+    return written(streamed(sides.mapInArrow(count, "part int, n binary"), ["part"], add, "part int, n binary"))
 
 
 def settle_frequent(blocks: DataFrame, units: Units, head: np.ndarray, counts: np.ndarray, parts: int, k: int, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Classes of the frequent words and endings after they have moved, half of them at a time, the class bigrams and their
     likelihood. A place of class -1 stays out: its words have a drawn class each."""
+    sides = beside(blocks, units, head, counts, parts, k)
+    sets = halves(head, k)
     reached, best = [], (head, np.zeros((k, k)), -np.inf)
     for turn in range(rounds + 1):
-        sums = neighbours(blocks, units, head, counts, parts, k)
+        sums = neighbours(sides, head, k, turn % 2 if turn < rounds else -1)
         packed = sums.where("part = -1").first()
         matrix = (_unpack(packed["n"], np.int64) if packed else np.zeros(k * k)).reshape(k, k).astype(float)
         reached.append(likelihood(matrix, n))
@@ -308,12 +382,11 @@ def settle_frequent(blocks: DataFrame, units: Units, head: np.ndarray, counts: n
         if turn == rounds or turn > 1 and reached[-1] < reached[-3] + STILL:
             break
 
-        def move(batches: Iterator[pa.RecordBatch], head=head, matrix=matrix, turn=turn) -> Iterator[pa.RecordBatch]:
+        def move(batches: Iterator[pa.RecordBatch], head=head, matrix=matrix, moving=sets[turn % 2]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    places = np.arange(r * RANGE, min((r + 1) * RANGE, len(head)))
-                    places = places[((places // 2 + places) % 2 == turn % 2) & (head[places] >= 0)]
-                    to = best_classes(_unpack(n, np.int64).reshape(-1, 2 * k)[places - r * RANGE], head[places], matrix)
+                    places = moving[r * RANGE : (r + 1) * RANGE]
+                    to = best_classes(_unpack(n, np.int64).reshape(-1, 2 * k), head[places], matrix)
                     yield pa.RecordBatch.from_arrays([pa.array(places[to != head[places]], pa.int32()), pa.array(to[to != head[places]], pa.int32())], ["place", "class"])
 
         head = head.copy()
@@ -391,8 +464,8 @@ def best_classes(counts: np.ndarray, own: np.ndarray, matrix: np.ndarray) -> np.
     n_in, n_out = after.sum(1)[:, None], before.sum(1)[:, None]
     rows, columns = matrix.sum(1), matrix.sum(0)
     gain = np.empty((len(counts), k))
-    for low in range(0, len(counts), 64):
-        part = slice(low, low + 64)
+    for low in range(0, len(counts), 4):  # few at a time, so that the arrays in between stay in the processor's cache
+        part = slice(low, low + 4)
         gain[part] = _phi(matrix[None] + before[part, None, :]).sum(2) + _phi(matrix.T[None] + after[part, None, :]).sum(2)
     gain -= _phi(matrix).sum(1) + _phi(matrix.T).sum(1)
     gain -= _phi(rows + n_out) - _phi(rows) + _phi(columns + n_in) - _phi(columns)
@@ -416,20 +489,23 @@ def best_of_few(words: np.ndarray, cells: np.ndarray, n: np.ndarray, own: np.nda
     plus, minus = _phi(now + times) - _phi(now), _phi(now) - _phi(now - times)
     starts = np.flatnonzero(np.diff(words, prepend=-1))
     ends = np.append(starts[1:], len(words))
-    for low in range(0, len(starts), 4_096):
-        begin, end = starts[low : low + 4_096], ends[low : low + 4_096]
+    after, before = (np.add.reduceat(np.where(side, n, 0), starts) if len(starts) else starts for side in (cells < k, cells >= k))
+    # what a number of words more or less does to the totals of each class, by number
+    (many_in, into), (many_out, out) = (np.unique(x, return_inverse=True) for x in (after, before))
+    out_plus, in_plus = _phi(rows + many_out[:, None]) - _phi(rows), _phi(columns + many_in[:, None])
+    columns_now = _phi(columns)
+    for low in range(0, len(starts), 256):
+        begin, end = starts[low : low + 256], ends[low : low + 256]
         part = slice(begin[0], end[-1])
-        at = words[begin]
+        at, these = words[begin], slice(low, low + 256)
         i, old = np.arange(len(at)), own[at]
-        after = np.add.reduceat(np.where(cells[part] < k, n[part], 0), begin - begin[0])[:, None]
-        before = np.add.reduceat(np.where(cells[part] < k, 0, n[part]), begin - begin[0])[:, None]
         gain = np.add.reduceat(plus[kind[part]], begin - begin[0])
-        gain -= _phi(rows + before) - _phi(rows) + _phi(columns + after) - _phi(columns)
+        gain -= out_plus[out[these]] + in_plus[into[these]] - columns_now
         stay = np.add.reduceat(minus[kind[part], own[words[part]]], begin - begin[0])
-        stay -= _phi(rows[old]) - _phi(rows[old] - before[:, 0]) + _phi(columns[old]) - _phi(columns[old] - after[:, 0])
+        stay -= _phi(rows[old]) - _phi(rows[old] - before[these]) + _phi(columns[old]) - _phi(columns[old] - after[these])
         gain[i, old] = stay
         to = gain.argmax(1)
-        best[at] = np.where((gain[i, to] > stay + 1e-9) & (after[:, 0] > 0), to, old)
+        best[at] = np.where((gain[i, to] > stay + 1e-9) & (after[these] > 0), to, old)
     return best
 
 

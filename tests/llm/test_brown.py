@@ -1,10 +1,13 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from stayline.llm import brown
+from stayline.llm.common import words
 from tests.llm.samples import documents, empty, prose
 
 
@@ -82,3 +85,60 @@ def test_few_and_many_neighbours_choose_alike():
 
 def test_classes_follow_the_vocabulary():
     assert brown.classes_for(1_000) == brown.CLASSES < brown.classes_for(400_000) < brown.classes_for(4_000_000)
+
+
+def test_words_of_arrays_are_the_words_of_texts():
+    r = random.Random(1)
+    texts = ["", " ", "A  B\tC\n", "\u00dc\u0085x \x0b\x0c\u00c0B", "\x1cq \x1fz\x00", *("".join(r.choice("ab \t\n\u00c4Z") for _ in range(r.randrange(9))) for _ in range(300))]
+    for part in (slice(0, None), slice(3, 90), slice(0, 2), slice(0, 0)):
+        found, sizes = brown._words(pa.array(texts, pa.large_string()).cast(pa.large_binary())[part])
+        want = [words(t) for t in texts[part]]
+        assert found.to_pylist() == [w for t in want for w in t] and sizes.tolist() == [len(t) for t in want]
+
+
+def test_half_turns_read_the_tokens_once(spark, monkeypatch):
+    docs = documents(spark, [(i, prose(i, 60, 150)) for i in range(200, 230)])
+    reads = []
+    told, settle = brown.told, brown.settle_frequent
+    monkeypatch.setattr(brown, "told", lambda *a: reads.append(1) or told(*a))
+
+    def counting(*a):
+        reads.clear()
+        out = settle(*a)
+        assert len(reads) == 1
+        return out
+
+    monkeypatch.setattr(brown, "settle_frequent", counting)
+    blocks = brown.encoded(docs)
+    brown.trained(blocks, brown.vocabulary(blocks))
+    assert reads
+
+
+def test_neighbours_are_counted_as_the_tokens_stand(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30, 40)) for i in range(40)], "doc_id long, text string")
+    blocks = brown.encoded(docs, 200)
+    top, k = brown.most_frequent(brown.vocabulary(blocks), 20), 5
+    hashes = np.array([r["hash"] for r in top])
+    order = np.argsort(hashes)
+    units = brown.Units(hashes[order], order, len(top))
+    head = np.random.default_rng(1).integers(0, k, len(top) + brown.ENDINGS)
+    head[len(top) :: 2] = -1  # these words have a drawn class each
+    place, own = {}, {}
+    for w in {w for r in docs.collect() for w in [*words(r["text"]), b""]}:
+        h = np.array([brown.xxhash.xxh64_intdigest(w)], np.uint64)
+        place[w] = int(units.of(h.view(np.int64), np.array([brown.xxhash.xxh32_intdigest(w[-3:]) % brown.ENDINGS]))[0])
+        own[w] = head[place[w]] if head[place[w]] >= 0 else int(h[0] >> np.uint64(20)) % k
+    counts, matrix = np.zeros((len(head), 2 * k), int), np.zeros((k, k), int)
+    for r in docs.collect():
+        if not held(r["doc_id"]):
+            text = [b"", *words(r["text"]), b""]
+            for before, word in zip(text, text[1:]):
+                matrix[own[before], own[word]] += 1
+                counts[place[word], own[before]] += 1
+                counts[place[before], k + own[word]] += 1
+    sides = brown.beside(blocks, units, head, np.zeros(len(top), int), 1, k)
+    for half in (0, 1, -1):
+        got = {r["part"]: brown._unpack(r["n"], np.int64) for r in brown.neighbours(sides, head, k, half).collect()}
+        assert (got.pop(-1).reshape(k, k) == matrix).all()
+        if half >= 0:
+            assert (np.concatenate([got[r] for r in sorted(got)]).reshape(-1, 2 * k) == counts[brown.halves(head, k)[half]]).all()
